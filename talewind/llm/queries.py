@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, chat_format, kd_shards, pareto_mix
+from . import best_fit_pack, chat_format, kd_shards, pareto_mix, pigeonhole_join, prefix_forest
 from .common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -71,6 +71,32 @@ WINDOW w AS (PARTITION BY source ORDER BY ord NULLS LAST, doc_id, size ROWS BETW
 """
 
 
+def op5_pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+OP5_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a), least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
+FROM embeddings v LEFT JOIN counted c ON c.a = v.vec_id LEFT JOIN least_id l ON l.a = v.vec_id
+"""
+
+
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -119,5 +145,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_pareto_mix, op8_prefix_targets, op10_kd_shards)}
-SQL = {"op4_pareto_mix": OP4_SQL, "op8_prefix_targets": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op8_prefix_targets, op10_kd_shards)}
+SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL}
