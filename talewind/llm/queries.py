@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, chat_format, kd_shards, pareto_mix, pigeonhole_join, prefix_forest
+from . import best_fit_pack, chat_format, kd_shards, pareto_mix, pigeonhole_join, prefix_forest, style_tree
 from .common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -97,6 +97,10 @@ FROM embeddings v LEFT JOIN counted c ON c.a = v.vec_id LEFT JOIN least_id l ON
 """
 
 
+def op7_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -145,5 +149,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op8_prefix_targets, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op10_kd_shards)}
 SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL}
