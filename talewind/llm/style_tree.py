@@ -3,9 +3,11 @@
 The element trees of a host's pages are merged: elements with the same path of tags, classes and ids are one node of the
 host's tree. A node's presentation matters as much as the sequences of its children vary over the host's pages (their
 entropy to the base of the number of pages), a node's content as little as its texts repeat (one minus their mean entropy);
-the importance of a branch is both, weighed by its depth. Branches of low importance are cut from every page of the host.
-What HTML itself says comes first: landmarks and names of menus, adverts, notices, forms and comments have the importance
-0, ``main`` and ``article`` and the plain text elements in them 1, so small hosts work as well.
+the measured importance of a branch is both, weighed by its depth. It is set against what HTML itself says of the branch:
+nothing for landmarks and names of menus, adverts, notices, forms and comments, and for what stands beside a page's
+``main`` or ``article``; everything for these and the plain text elements in them; half for all others. Text whose branch has
+a joint importance below ``LOW`` is cut from every page of the host. A branch that few pages have counts as half important
+by measure.
 """
 
 from __future__ import annotations
@@ -20,8 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A branch below this importance is cut, if the host has at least so many pages with it.
-LOW = 0.3
+from .common import durable
+
+#: A branch below this importance is cut.
+LOW = 0.5
+#: Weight of what HTML says against what the host's pages show.
+PRIOR = 0.55
+#: Pages that a branch needs to be measured.
 LEAST_PAGES = 4
 #: How much more a branch's content than its presentation counts, for each level below it.
 DECAY = 0.9
@@ -48,7 +55,7 @@ _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre table tbody thead
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _FENCES = frozenset("ul ol table article section main body div td th blockquote".split())
 
-CUT, OPEN, SURE = 0, 1, 2  # what HTML says of a branch: noise, nothing, main text
+CUT, OPEN, SURE = 0, 1, 2  # what HTML says of a branch: noise, nothing, main text; half of it is the importance before measuring
 
 
 def _verdict(tag: str, attributes: str, above: int, in_article: bool) -> tuple[int, str]:
@@ -107,6 +114,8 @@ class Page:
             elif tag == "br":
                 self._parts.append(" ")
         self._block()
+        if any(inside and verdict != CUT for _, verdict, inside, _ in self.blocks):  # then what stands beside is noise
+            self.blocks = [(path, verdict if inside else CUT, inside, text) for path, verdict, inside, text in self.blocks]
 
     def _block(self) -> None:
         if self._parts:
@@ -143,41 +152,26 @@ def _feature(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def page_features(source: str) -> set[tuple[str, int, int]]:
-    """(path, kind, feature) of a page: 0 for its being there, 1 a block's text, 2 a sequence of children."""
+def page_features(source: str) -> set[tuple[str, int, int, int]]:
+    """(path, kind, prior, feature) of a page: kind 0 for its being there, 1 a block's text, 2 a sequence of children."""
     page, out = Page(source), set()
     for path, verdict, _, text in page.blocks:
-        if verdict == OPEN:
-            out.add((path, 1, _feature(text)))
+        out.add((path, 1, verdict, _feature(text)))
     for path, names in page.children.items():
         squeezed = [n for i, n in enumerate(names) if i == 0 or n != names[i - 1]] + [str(len(names))]
-        out.add((path, 2, _feature(" ".join(squeezed))))
-    for path in {p for p, _, _ in out}:
-        out.add((path, 0, 0))
+        out.add((path, 2, 0, _feature(" ".join(squeezed))))
+    for path in {p for p, *_ in out}:
+        out.add((path, 0, 0, 0))
     return out
 
 
 def main_text(source: str, low: frozenset[str]) -> str:
-    """The text of a page's blocks that no branch of low importance holds; in its main part, where it has one."""
-    blocks = [b for b in Page(source).blocks if b[1] == SURE or (b[1] == OPEN and not _under(b[0], low))]
-    if any(inside for _, _, inside, _ in blocks):
-        blocks = [b for b in blocks if b[2]]
-    return "\n\n".join(text for _, _, _, text in blocks)
-
+    """The text of a page's blocks but for those whose branch is ``low`` (prior and path)."""
+    return "\n\n".join(text for path, verdict, _, text in Page(source).blocks if f"{verdict}{path}" not in low)
 
-def _under(path: str, low: frozenset[str]) -> bool:
-    if not low:
-        return False
-    at = len(path)
-    while at > 0:
-        if path[:at] in low:
-            return True
-        at = path.rfind("/", 0, at)
-    return False
 
-
-def low_branches(pages: DataFrame) -> DataFrame:
-    """host, low (paths of the branches to cut); ``pages`` has host and html."""
+def branch_importance(pages: DataFrame) -> DataFrame:
+    """host, path, prior, measured, importance of every branch that holds text; ``pages`` has host and html."""
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -185,29 +179,46 @@ def low_branches(pages: DataFrame) -> DataFrame:
             for host, source in zip(part.host, part.html, strict=True):
                 found.update((host, *f) for f in page_features(source or ""))
             rows = [(*k, n) for k, n in found.items()]
-            yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature", "pages"]).astype({"kind": "int32", "feature": "int64", "pages": "int64"})
+            yield pd.DataFrame(rows, columns=["host", "path", "kind", "prior", "feature", "pages"]).astype({"kind": "int32", "prior": "int32", "feature": "int64", "pages": "int64"})
 
-    each = pages.select("host", "html").mapInPandas(features, "host string, path string, kind int, feature long, pages long")
-    each = each.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").cast("double").alias("k"))
+    each = pages.select("host", "html").mapInPandas(features, "host string, path string, kind int, prior int, feature long, pages long")
+    each = each.groupBy("host", "path", "kind", "prior", "feature").agg(F.sum("pages").cast("double").alias("k"))
     of = lambda kind, value: F.sum(F.when(F.col("kind") == kind, value).otherwise(0.0))
     weighed = F.col("k") * F.log("k")
-    nodes = each.groupBy("host", "path").agg(
-        of(0, F.col("k")).alias("m"), of(1, weighed).alias("text_klogk"), of(1, F.col("k")).alias("texts"), of(2, weighed).alias("style_klogk"), of(2, F.col("k")).alias("styles")
-    )
-    up = F.transform(
-        F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), F.lit(1), i), "/")
+    nodes = durable(
+        each.groupBy("host", "path").agg(
+            of(0, F.col("k")).alias("m"),
+            of(1, weighed).alias("text_klogk"),
+            of(1, F.col("k")).alias("texts"),
+            of(2, weighed).alias("style_klogk"),
+            of(2, F.col("k")).alias("styles"),
+            F.collect_set(F.when(F.col("kind") == 1, F.col("prior"))).alias("priors"),
+        )
     )
+    steps = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     log_m = F.log("m")
     branches = (
         nodes.filter("m > 1 AND texts > 0")
-        .select("host", F.size(F.split("path", "/")).alias("depth"), F.explode(up).alias("path"), "texts", (F.col("text_klogk") / log_m).alias("repeated"))
+        .select("host", F.size(steps).alias("depth"), F.explode(ancestors).alias("path"), "texts", (F.col("text_klogk") / log_m).alias("repeated"))
         .groupBy("host", "path")
-        .agg((1 - F.sum("repeated") / F.sum("texts")).alias("content"), (F.max("depth") - F.max(F.size(F.split("path", "/")))).alias("levels"))
+        .agg((1 - F.sum("repeated") / F.sum("texts")).alias("content"), (F.max("depth") - F.max(F.size(steps))).alias("levels"))
     )
     style = F.when(F.col("styles") > 0, 1 - F.col("style_klogk") / F.col("styles") / log_m).otherwise(0.0)
     share = F.pow(F.lit(DECAY), F.col("levels"))
-    scored = branches.join(nodes.filter(F.col("m") >= LEAST_PAGES), ["host", "path"]).select("host", "path", ((1 - share) * style + share * F.col("content")).alias("importance"))
-    return scored.filter((F.col("importance") < LOW) & (F.col("path") != "")).groupBy("host").agg(F.collect_list("path").alias("low"))
+    measured = F.coalesce(F.when(F.col("m") >= LEAST_PAGES, (1 - share) * style + share * F.col("content")), F.lit(0.5))
+    return (
+        nodes.filter("texts > 0")
+        .join(branches, ["host", "path"], "left")
+        .select("host", "path", F.explode("priors").alias("prior"), measured.alias("measured"))
+        .withColumn("importance", PRIOR * F.col("prior") / 2 + (1 - PRIOR) * F.col("measured"))
+    )
+
+
+def low_branches(pages: DataFrame) -> DataFrame:
+    """host, low: prior and path of the branches to cut."""
+    low = branch_importance(pages).filter(F.col("importance") < LOW)
+    return low.groupBy("host").agg(F.collect_list(F.concat(F.col("prior").cast("string"), "path")).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
