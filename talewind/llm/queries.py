@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, chat_format, kd_shards, pareto_mix, pigeonhole_join, prefix_forest, style_tree, toxicity
+from . import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, pigeonhole_join, prefix_forest, style_tree, toxicity
 from .common import held_out, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -21,6 +21,11 @@ def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_piece_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piece_lm.predict(docs, piece_lm.fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pareto_mix.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -155,5 +160,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op3_piece_lm, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op10_kd_shards)}
 SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL}
