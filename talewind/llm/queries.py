@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, pigeonhole_join, prefix_forest, style_tree, toxicity
+from . import best_fit_pack, chat_format, kd_shards, minhash_join, pareto_mix, piece_lm, pigeonhole_join, prefix_forest, style_tree, toxicity
 from .common import held_out, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -155,10 +155,14 @@ FROM escaped GROUP BY conv_id
 """
 
 
+def op9_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=0.85)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op3_piece_lm, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op3_piece_lm, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op9_minhash_join, op10_kd_shards)}
 SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL}
