@@ -20,14 +20,18 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a checkpoint in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, a laptop) a temporary one is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set (tests, a laptop) a temporary folder."""
+    context = spark.sparkContext
+    if (folder := context.getCheckpointDir()) is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="talewind-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,20 @@ def components(links: DataFrame) -> DataFrame:
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = durable(small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+
+
+def roots(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The roots of nodes of a forest inside one task."""
+    i = parent[i]
+    while (up := parent[i]).size and (up != i).any():
+        i = up
+    return i
+
+
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of i and j; a root is the least index of its tree."""
+    while i.size:
+        a, b = roots(parent, i), roots(parent, j)
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))

@@ -6,8 +6,10 @@ two such texts share a posting among the first ``COORDINATES - matches + 1`` of
 stand first and need no list), so only these prefixes are merged; the lists of frequent values are skipped and their
 collisions counted from the signatures. Pairs above the match threshold are confirmed on the full sets.
 
-Equal sets are one node. Members of a short list meet pair by pair; those of a long one meet a few pivots first, and then,
-as links within one component add nothing, only members of components that are still apart meet.
+Equal sets are one node. Members of a short list meet pair by pair; those of a long one meet a few pivots first. As links
+within one component add nothing, only members of components that are still apart meet then: a list is cut into chunks of
+bounded size, two chunks are compared in a task, a pair only in the first list that both its texts are in, and the task
+returns which components became one.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .components import components
+from .components import components, roots, unite
 
 COORDINATES = 32
 #: Members of a list that meet pair by pair at once.
 SHORT = 12
 #: Pivots that all members of a longer list meet first.
 PIVOTS = 3
+#: Members of a list in one chunk; a task compares two.
+CHUNK = 1024
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX[0]
 
@@ -136,6 +140,60 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     return both.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+def joined_lists(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of component ids that links join; ``members`` (token, id, c) are long lists of several components."""
+    percent = round(similarity * 100)
+    chunks = members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    lists = members.groupBy("id").agg(F.collect_list("token").alias("lists"))  # at most a prefix each
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    tile = F.transform(
+        F.sequence(F.lit(0), F.col("chunks") - 1),
+        lambda x: F.struct(F.least(x, F.col("chunk")).alias("i"), F.greatest(x, F.col("chunk")).alias("j"), F.when(F.col("chunk") <= x, 0).otherwise(1).alias("side")),
+    )
+    placed = members.join(chunks, "token").join(lists, "id").withColumn("chunk", chunk).select("token", "id", "c", "lists", F.explode(tile).alias("t"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = placed.select("token", "id", "c", "lists", "t.*").join(texts, "id")
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        token, i, j = int(key[0]), int(key[1]), int(key[2])
+        part = part.sort_values(["id", "side"], kind="stable").reset_index(drop=True)
+        shingler = Shingler(words)
+        left, right = np.flatnonzero(part.side == 0), np.flatnonzero(part.side == (0 if i == j else 1))
+        ids, c = part.id.to_numpy(), part.c.to_numpy()
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        sets = [shingler.shingles(t) for t in part.text]
+        size = np.array([len(x) for x in sets])
+        earlier = sorted({t for x in part.lists for t in x if t < token})
+        member = np.array([[t in x for t in earlier] for x in map(set, part.lists)], dtype=np.float32).reshape(len(part), len(earlier))
+        vocabulary, at = np.unique(np.concatenate([sets[r] for r in right]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+        _, parent = np.unique(c, return_inverse=True)  # trees of components, not of texts
+        of = parent.copy()
+        parent = np.arange(parent.max() + 1)
+        for a in left:
+            open_ = (c[right] != c[a]) & (100 * np.minimum(size[right], size[a]) >= percent * np.maximum(size[right], size[a]))
+            if i == j:
+                open_ &= ids[right] > ids[a]
+            if earlier:
+                open_ &= member[right] @ member[a] == 0
+            if not open_.any():
+                continue
+            flags = np.zeros(len(vocabulary), np.int32)
+            place = np.searchsorted(vocabulary, sets[a])
+            place[place == len(vocabulary)] = 0
+            flags[place[vocabulary[place] == sets[a]]] = 1
+            common = np.add.reduceat(flags[at], starts)
+            linked = right[open_ & (100 * common >= percent * (size[right] + size[a] - common))]
+            unite(parent, np.full(len(linked), of[a]), of[linked])
+        root = roots(parent, np.arange(len(parent)))
+        names = np.unique(c)
+        moved = root != np.arange(len(root))
+        return pd.DataFrame({"a": names[moved], "b": names[root[moved]]})
+
+    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept, for every row.
 
@@ -169,17 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     reached = durable(components(linked))
     apart = long_.join(reached.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c"))
     mixed = apart.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
-    apart = durable(apart.join(mixed, "token").join(known, "id"))
-    one = apart.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "c", "sig", "size")])
-    two = apart.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "c", "sig", "size")])
-    rest = one.join(
-        two,
-        (one["token"] == two["token"])
-        & (F.col("c_a") < F.col("c_b"))
-        & (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * round(similarity * 100))
-        & (matches(F.col("sig_a"), F.col("sig_b")) >= least),
-    ).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    more = confirmed(durable(rest.distinct()), docs, words, similarity)
+    more = durable(joined_lists(durable(apart.join(mixed, "token")), docs, words, similarity))
     classes = components(linked.unionByName(more).unionByName(same.select("a", "b"))).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
     out = rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

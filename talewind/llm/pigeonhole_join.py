@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .components import components
+from .components import components, roots, unite
 
 BLOCKS = 4
 #: Rows of a cell that one task compares with as many others.
@@ -53,22 +53,6 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return raw, raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
-def _roots(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
-    i = parent[i]
-    while (up := parent[i]).size and (up != i).any():
-        i = up
-    return i
-
-
-def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Joins the trees of i and j; a root is the least index of its tree."""
-    while i.size:
-        a, b = _roots(parent, i), _roots(parent, j)
-        apart = a != b
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def compare(left: np.ndarray, right: np.ndarray, left_w: np.ndarray, right_w: np.ndarray, block: int, cosine: float, same: bool):
     """Weights of links for both sides and the forest (over left, then right) of the pairs that ``block`` counts."""
     dims = left.shape[1]
@@ -104,7 +88,7 @@ def compare(left: np.ndarray, right: np.ndarray, left_w: np.ndarray, right_w: np
             np.add.at(n_left, x, right_w[y])
             np.add.at(n_right, y, left_w[x])
             unite(parent, x, y + shift)
-    return n_left, n_right, _roots(parent, np.arange(parent.size))
+    return n_left, n_right, roots(parent, np.arange(parent.size))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
