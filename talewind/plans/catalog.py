@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graph",)
+_MODULES = ("graph", "text")
 
 
 def queries() -> dict:
