@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def drop_repeats(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -60,7 +61,7 @@ def batches(rows: DataFrame, key: str, start: str, end: str, cap: float, span: f
             out.append(batch)
         return part.assign(batch=out)
 
-    schema = rows.schema.add("batch", "integer")
+    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
     return rows.groupBy(key).applyInPandas(fold, schema)
 
 
@@ -77,4 +78,4 @@ def accepted_hits(hits: DataFrame, key: str, ts: str, order: str, window_s: floa
                 recent.append(t)
         return part.assign(accepted=out)
 
-    return hits.groupBy(key).applyInPandas(fold, hits.schema.add("accepted", "boolean"))
+    return hits.groupBy(key).applyInPandas(fold, StructType([*hits.schema.fields, StructField("accepted", BooleanType())]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graph", "text")
+_MODULES = ("graph", "text", "changes")
 
 
 def queries() -> dict:

@@ -134,11 +134,11 @@ def common_contacts(spark: SparkSession, d: str) -> DataFrame:
     return g.common_contacts(e, pairs)
 
 
-@query(""", k AS (SELECT id FROM nodes WHERE price < 1400)
+@query(""", k AS (SELECT id FROM nodes WHERE tag <> 'BOSS')
 SELECT 'src' AS side, src AS id, src, dst, type FROM edges WHERE src NOT IN (SELECT id FROM k)
 UNION ALL SELECT 'dst', dst, src, dst, type FROM edges WHERE dst NOT IN (SELECT id FROM k)""")
 def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
-    return g.dangling(edges(spark, d), nodes(spark, d).filter("price < 1400"))
+    return g.dangling(edges(spark, d), nodes(spark, d).filter("tag <> 'BOSS'"))
 
 
 @query(""", k AS (SELECT id FROM nodes WHERE tag <> 'KP')
