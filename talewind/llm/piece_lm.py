@@ -148,6 +148,8 @@ def fit(docs: DataFrame, path: str | None = None) -> Model:
             for lang, text in zip(part.lang, part.text, strict=True):
                 for w, n in Counter(words_of(text)).items():
                     found[number[lang], w] += n
+            if not found:
+                continue
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"]).astype({"lang": "int32", "n": "float64"})
 
     words = durable(texts.mapInPandas(counted, "lang int, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")))

@@ -178,6 +178,8 @@ def branch_importance(pages: DataFrame) -> DataFrame:
             found: Counter = Counter()
             for host, source in zip(part.host, part.html, strict=True):
                 found.update((host, *f) for f in page_features(source or ""))
+            if not found:
+                continue
             rows = [(*k, n) for k, n in found.items()]
             yield pd.DataFrame(rows, columns=["host", "path", "kind", "prior", "feature", "pages"]).astype({"kind": "int32", "prior": "int32", "feature": "int64", "pages": "int64"})
 

@@ -109,6 +109,7 @@ class Matcher(dict):
         self.lexicon, self.most = lexicon, most
         # one error leaves one half of a term as it is: descend by that half, run the automaton on the rest
         self.forward, self.backward = trie(lexicon.fuzzy), trie(t[::-1] for t in lexicon.fuzzy)
+        self.whole = frozenset(lexicon.fuzzy)
         self.halves = sorted({len(t) // 2 for t in lexicon.fuzzy} | {len(t) - len(t) // 2 for t in lexicon.fuzzy})
 
     def __missing__(self, raw: str) -> float:
@@ -132,6 +133,10 @@ class Matcher(dict):
         """Whether the word has one error against a term."""
         if not LEAST - 1 <= len(word) <= 40:
             return False
+        middle = len(word) // 2
+        for n in {middle, len(word) - middle}:  # a swap across the middle alters both halves
+            if word[: n - 1] + word[n : n + 1] + word[n - 1] + word[n + 1 :] in self.whole:
+                return True
         for letters, node in ((word, self.forward), (word[::-1], self.backward)):
             at = 0
             for n in self.halves:
@@ -200,6 +205,8 @@ def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for w in words:
                     k[w] += weight
                     families[w] = families.get(w, 0) | bit
+        if not n:
+            continue
         yield pd.DataFrame({"word": list(n), "n": list(n.values()), "k": [float(k[w]) for w in n], "families": [families.get(w, 0) for w in n]}).astype({"families": "int64", "n": "float64"})
 
 
