@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -120,6 +121,22 @@ def word_scores(words: list[str], lookup: Pieces, p: np.ndarray) -> np.ndarray:
     return out
 
 
+class Places(dict):
+    """Numbers words in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def run_scores(runs: list[str], lookup: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each run of letters in each language, and (last column) how many words it is cut into."""
+    cut = [words_of(x) for x in runs]
+    n = np.array([len(x) for x in cut])
+    scores = word_scores([w for ws in cut for w in ws], lookup, p)
+    return np.column_stack([np.add.reduceat(scores, np.cumsum(n) - n, axis=0), n])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -198,29 +215,26 @@ def predict(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lookup, q, k = Pieces(model.pieces), scaled(model.p, model.pieces), len(model.languages)
-        places: dict[str, int] = {}
-        table = np.zeros((0, k))
+        places, table = Places(), np.zeros((0, k + 1))
+        nothing = np.zeros(0, np.int64)
         for part in parts:
             langs, scores = [], []
             for chunk in _chunks(part):
-                found = [words_of(t) if t and k else [] for t in chunk]
                 if len(places) > 300_000:
-                    places, table = {}, table[:0]
-                new = list({w for ws in found for w in ws if w not in places})
-                for i, w in enumerate(new, len(places)):
-                    places[w] = i
-                if new:
-                    table = np.vstack([table, word_scores(new, lookup, q)])
-                for ws in found:
-                    if not ws:
+                    places, table = Places(), table[:0]
+                found = [np.fromiter(map(places.__getitem__, _LETTERS.findall(t.lower())), np.int64) if t and k else nothing for t in chunk]
+                if len(places) > len(table):
+                    table = np.vstack([table, run_scores(list(islice(places, len(table), None)), lookup, q)])
+                for at in found:
+                    if not at.size:
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
-                    fit_ = table[np.fromiter((places[w] for w in ws), np.int64, len(ws))].sum(axis=0)
-                    fit_ = fit_ + model.prior
+                    total = table[at].sum(axis=0)
+                    fit_ = total[:k] + model.prior
                     best = int(fit_.argmax())
                     # the posterior of a text of at most 20 words as sure as this one on average
-                    odds = np.exp((fit_ - fit_[best]) * min(1.0, 20 / len(ws)))
+                    odds = np.exp((fit_ - fit_[best]) * min(1.0, 20 / total[k]))
                     langs.append(model.languages[best])
                     scores.append(float(1 / odds.sum()))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
