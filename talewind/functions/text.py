@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import difflib
+import html
+import io
 import re
+import zipfile
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 # White space and the punctuation that a comparison of lines ignores.
 _IGNORED = r"[\s,.!?;:，。！？；：、…~～\"'“”‘’（）()《》<>\-—]"
@@ -53,13 +57,24 @@ def json_reply(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-@F.pandas_udf("double")
+def attributes(text: Column) -> Column:
+    """A map of lines ``name: value、value``; lines without a colon and names without values are left out, of repeated names
+    the last counts (null: empty)."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.contains(x, F.lit(":")))
+    name = lambda x: F.trim(F.substring_index(x, ":", 1))
+    values = lambda x: F.filter(F.transform(F.split(F.substr(x, F.instr(x, ":") + 1), "、"), lambda v: F.trim(v)), lambda v: v != "")
+    pairs = F.transform(lines, lambda x: F.struct(name(x).alias("key"), values(x).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.filter(last, lambda p: (p["key"] != "") & (F.size(p["value"]) > 0)))
+
+
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts (null: empty); Spark has distances only."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv1a_utf16(text: pd.Series) -> pd.Series:
     """32-bit FNV-1a over UTF-16 code units (null: empty)."""
     out = []
@@ -72,7 +87,7 @@ def fnv1a_utf16(text: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """Text of a file's bytes: by its mark, else UTF-8, GB 18030, Latin-1; null for binary files (a zero byte, no mark)."""
 
@@ -95,6 +110,22 @@ def decoded(content: pd.Series) -> pd.Series:
     return pd.Series([one(x) for x in content], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def docx_text(content: pd.Series) -> pd.Series:
+    """The paragraphs of a .docx file's body, a line each; null where the bytes are no such archive."""
+
+    def one(raw: bytes | None) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(raw or b""))) as packed:
+                body = packed.read("word/document.xml").decode("utf-8", "replace")
+        except (zipfile.BadZipFile, KeyError):
+            return None
+        paragraphs = re.findall(r"<w:p[ >].*?</w:p>", body, re.S)
+        return "\n".join(html.unescape("".join(re.findall(r"<w:t(?: [^>]*)?>(.*?)</w:t>", p, re.S))) for p in paragraphs)
+
+    return pd.Series([one(x) for x in content], dtype=object)
+
+
 def glob_pattern(glob: str) -> str:
     """A regular expression for a path glob; ``dir/**`` is any depth below dir."""
     parts = re.split(r"(\*\*/?|\*|\?)", glob)

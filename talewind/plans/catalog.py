@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graph", "text", "changes")
+_MODULES = ("graph", "text", "changes", "records")
 
 
 def queries() -> dict:
