@@ -23,7 +23,7 @@ from .components import components, roots, unite
 
 BLOCKS = 4
 #: Rows of a cell that one task compares with as many others.
-CHUNK = 8192
+CHUNK = 16384
 _TILE = 512
 _SLACK = 1e-5  # of the block test, which runs in single precision
 
@@ -59,15 +59,20 @@ def compare(left: np.ndarray, right: np.ndarray, left_w: np.ndarray, right_w: np
     edges, most, turn = block_edges(dims), budgets(dims, cosine), rotation(dims)
     (lraw, lu), (rraw, ru) = unit(left), unit(right)
     lt, rt = (lu @ turn).astype(np.float32), (ru @ turn).astype(np.float32)
-    squares = [((lt[:, a:b] ** 2).sum(1), (rt[:, a:b] ** 2).sum(1)) for a, b in zip(edges, edges[1:], strict=False)]
+    a, b = edges[block], edges[block + 1]
+    # |x - y|^2 = |x|^2 - 2xy + |y|^2 as one product of two matrices
+    one = lambda m: np.ones((len(m), 1), np.float32)
+    square = lambda m: (m[:, a:b] ** 2).sum(1, keepdims=True)
+    wide, tall = np.hstack([-2 * lt[:, a:b], square(lt), one(lt)]), np.hstack([rt[:, a:b], one(rt), square(rt)]).T
     n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
     parent = np.arange(len(left) + (0 if same else len(right)))
     shift = 0 if same else len(left)
     for s in range(0, len(left), _TILE):
         rows = slice(s, min(s + _TILE, len(left)))
-        a, b = edges[block], edges[block + 1]
-        gap = squares[block][0][rows, None] + squares[block][1][None] - 2 * (lt[rows, a:b] @ rt[:, a:b].T)
-        i, j = np.nonzero(gap <= most[block] + _SLACK)
+        # of a chunk with itself, only what comes after
+        after = s if same else 0
+        i, j = np.divmod(np.flatnonzero(wide[rows] @ tall[:, after:] <= most[block] + _SLACK), len(right) - after)
+        j = j + after
         if same:
             upper = j > i + s
             i, j = i[upper], j[upper]
@@ -109,7 +114,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                     cell = np.floor(turned[:, start] / np.sqrt(most)).astype(np.int32)
                     yield same.assign(dims=dims, block=block, cell=cell)[["rep", "copies", "embedding", "dims", "block", "cell"]]
 
-    schema = "rep long, copies long, embedding array<double>, dims int, block int, cell int"
+    schema = f"rep long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, dims int, block int, cell int"
     cells = groups.mapInPandas(placed, schema)
     # a cell is as wide as its block's radius and vectors have length 1: a few cells for each block
     counts = {(r.dims, r.block, r.cell): r["count"] for r in cells.groupBy("dims", "block", "cell").count().collect()}
