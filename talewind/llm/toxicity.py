@@ -188,10 +188,13 @@ def _fit_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, n and k (weights of all and of toxic texts with it), families (a bit for each of 63 groups of toxic texts)."""
+    """word, n and k (weights of all and of toxic texts with it), rows and toxic_rows (texts drawn that have it, unweighted),
+    families (a bit for each of 63 groups of toxic texts)."""
     for part in parts:
         n: Counter = Counter()
         k: Counter = Counter()
+        rows: Counter = Counter()
+        toxic_rows: Counter = Counter()
         families: dict[str, int] = {}
         for text, toxic, weight in zip(part.text, part.toxic, part.weight, strict=True):
             words = {plain(w) for w in (text or "").lower().split()}
@@ -200,44 +203,59 @@ def _counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for w in words:
                 n[w] += weight
+            rows.update(words)
             if toxic:
+                toxic_rows.update(words)
                 bit = 1 << min(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words) % 63
                 for w in words:
                     k[w] += weight
                     families[w] = families.get(w, 0) | bit
         if not n:
             continue
-        yield pd.DataFrame({"word": list(n), "n": list(n.values()), "k": [float(k[w]) for w in n], "families": [families.get(w, 0) for w in n]}).astype({"families": "int64", "n": "float64"})
+        counts = {"word": list(n), "n": list(n.values()), "k": [float(k[w]) for w in n], "rows": [rows[w] for w in n], "toxic_rows": [toxic_rows[w] for w in n]}
+        yield pd.DataFrame({**counts, "families": [families.get(w, 0) for w in n]}).astype({"n": "float64", "rows": "int64", "toxic_rows": "int64", "families": "int64"})
+
+
+def _smoothed(k, n, rows, toxic: float, all_: float):
+    """Share of toxic texts, k of n by weight, as ``rows`` drawn rows tell it beside ``toxic`` of ``all_`` assumed ones.
+
+    Weights say what the share is, never how sure it is: one row that stands for a hundred is still one row.
+    """
+    return (k / n * rows + toxic) / (rows + all_)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """The lexicon that the labelled rows outside the held-out quarter teach."""
-    words = _fit_rows(docs, labels).mapInPandas(_counted, "word string, n double, k double, families long")
-    words = durable(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.bit_or("families").alias("families")))
-    base = _fit_rows(docs, labels).agg(F.sum(F.when(F.col("toxic"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).first()[0] or 0.1
+    """The lexicon that the labelled rows outside the held-out quarter teach.
+
+    Where rows are drawn, shares are those of all rows (by weight); what is rare, apart or evident counts the rows drawn.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "k", "rows", "toxic_rows")] + [F.bit_or("families").alias("families")]
+    words = _fit_rows(docs, labels).mapInPandas(_counted, "word string, n double, k double, rows long, toxic_rows long, families long")
+    words = durable(words.groupBy("word").agg(*sums))
+    base = _fit_rows(docs, labels).agg(F.avg(F.when(F.col("toxic"), 1.0).otherwise(0.0))).first()[0] or 0.1
     base = min(max(base, 0.01), 0.5)
-    share = (F.col("k") + 0.2) / (F.col("n") + 1)
+    share = _smoothed(F.col("k"), F.col("n"), F.col("rows"), 0.2, 1)
     support = F.bit_count("families")
-    evidence = F.col("k") * F.log(share / base) + (F.col("n") - F.col("k")) * F.log((1 - share) / (1 - base))
-    # k independent texts fall into so many of the 63 families on average; copies of one text into far fewer
-    apart = support >= 0.5 * 63 * (1 - F.pow(F.lit(62 / 63), F.col("k")))
+    drawn = (F.col("toxic_rows") + 0.2) / (F.col("rows") + 1)
+    evidence = F.col("toxic_rows") * F.log(drawn / base) + (F.col("rows") - F.col("toxic_rows")) * F.log((1 - drawn) / (1 - base))
+    # so many independent texts fall into so many of the 63 families on average; copies of one text into far fewer
+    apart = support >= 0.5 * 63 * (1 - F.pow(F.lit(62 / 63), F.col("toxic_rows")))
     strong = words.filter((share >= PRECISION) & (support >= FAMILIES) & apart & (evidence >= EVIDENCE)).select("word", share.alias("p"), support.alias("support"))
     lexicon = Lexicon()
     best = strong.orderBy(F.desc("support"), F.desc("p"), "word").limit(TERMS).collect()
     lexicon.terms = {r.word: r.p for r in best if len(r.word) > 2}
-    seen = {r.word: (r.n, r.k) for r in words.filter(F.col("word").isin(list(SEEDS))).collect()}
+    seen = {r.word: (r.k, r.n, r.rows) for r in words.filter(F.col("word").isin(list(SEEDS))).collect()}
     for w in SEEDS:
-        n, k = seen.get(w, (0, 0))
-        if (p := (k + 2) / (n + 2.5)) >= PRECISION:
+        if (p := _smoothed(*seen.get(w, (0, 1, 0)), 2, 2.5)) >= PRECISION:
             lexicon.terms[w] = p
         else:
             lexicon.terms.pop(w, None)
     stem = F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.lit(STEMS[1]), F.length("word"))), lambda n: F.substring("word", F.lit(1), n))).alias("stem")
     stems = (
         words.filter(F.length("word") >= STEMS[0])
-        .select(stem, "n", "k", "families")
+        .select(stem, "n", "k", "rows", "toxic_rows", "families")
         .groupBy("stem")
-        .agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.bit_or("families").alias("families"), F.sum(F.when(F.col("k") > 0, 1).otherwise(0)).alias("words"))
+        .agg(*sums, F.sum(F.when(F.col("k") > 0, 1).otherwise(0)).alias("words"))
         .filter((F.col("k") >= 0.9 * F.col("n")) & (F.bit_count("families") >= 2 * FAMILIES) & (F.col("words") >= STEM_WORDS))
         .select("stem", share.alias("p"), F.bit_count("families").alias("support"))
         .orderBy(F.desc("support"), "stem")
@@ -254,14 +272,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         matcher = Matcher(Lexicon(fuzzy=lexicon.fuzzy))
         for part in parts:
             known = lambda w: w in lexicon.terms or any(w[:n] in lexicon.stems for n in range(STEMS[0], STEMS[1] + 1))
-            yield part.loc[[not known(w) and matcher.missed(w) for w in part.word], ["word", "n", "k"]]
+            yield part.loc[[not known(w) and matcher.missed(w) for w in part.word], ["word", "n", "k", "rows"]]
 
-    near = durable(words.mapInPandas(variants, "word string, n double, k double"))
+    near = durable(words.mapInPandas(variants, "word string, n double, k double, rows long"))
     # rare near misses tell what one that was never seen is worth; the others speak for themselves
-    rare = near.filter("n <= 4").agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0.0)).alias("k")).first()
-    lexicon.miss = p if (p := (rare.k + 0.5) / (rare.n + 1)) >= THRESHOLD else 0.0
-    common = near.filter("n > 4").orderBy(F.desc("n"), "word").limit(TERMS).collect()  # near misses of at most FUZZY_TERMS terms
-    lexicon.variants = {r.word: p if (p := (r.k + 0.2) / (r.n + 1)) >= PRECISION else 0.0 for r in common}
+    rare = near.filter("rows <= 4").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("rows").alias("rows")).first()
+    lexicon.miss = p if (p := _smoothed(rare.k or 0, rare.n or 1, rare.rows or 0, 0.5, 1)) >= THRESHOLD else 0.0
+    common = near.filter("rows > 4").orderBy(F.desc("rows"), "word").limit(TERMS).collect()  # near misses of at most FUZZY_TERMS terms
+    lexicon.variants = {r.word: p if (p := _smoothed(r.k, r.n, r.rows, 0.2, 1)) >= PRECISION else 0.0 for r in common}
     return lexicon
 
 

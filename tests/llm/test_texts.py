@@ -63,6 +63,32 @@ def test_toxicity_held_out(spark):
     assert right / max(1, sum(t for _, t in known)) > 0.7
 
 
+def test_a_drawn_fit_weighs_near_misses_like_one_with_all_rows(spark, monkeypatch):
+    terms = ["glimworth", "brastaken", "snorvelik", "klumperon", "drastivol", "plinkorat"]
+    docs, labels = [], []
+    for i in range(6_000):
+        toxic = i % 10 == 0
+        words = [f"u{i}x{j}" for j in range(12)]
+        if toxic:
+            words += [terms[i // 10 % 6], terms[i // 10 % 5 + 1]]
+        elif i % 9 == 4:  # each near miss is a word of one or two clean texts
+            t, at = terms[i // 9 % 6], i // 54 % 8
+            words.append(t[:at] + "cfjqxyz"[i // 540 % 7] + t[at + 1 :])
+        if toxic and i < 30:  # in three texts only, however many those stand for
+            words.append("zzyxoquat")
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "FIT_TOXIC", 100)
+    monkeypatch.setattr(toxicity, "FIT_CLEAN", 400)
+    drawn = toxicity.fit(docs, labels)
+    assert set(terms) <= set(drawn.terms)
+    assert set(drawn.terms) == set(whole.terms)
+    assert whole.miss == drawn.miss == 0
+    assert toxicity.score_text("a klumpezon of an ordinary day", toxicity.Matcher(drawn))[0] == toxicity.NOTHING
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     got = toxicity.score(odd, toxicity.fit(odd, spark.createDataFrame([], "doc_id long, toxic int"))).select("text", "score", "toxicity.*").collect()
     assert len(got) == len(ODD) + 1
