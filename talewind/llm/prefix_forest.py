@@ -3,12 +3,15 @@
 A tree is the sorted array of all vectors' hash strings (one bit for each of ``DEPTH`` random hyperplanes through the mean
 of the data). The vectors are dealt into shards of bounded size; a shard holds its run of every tree's array. A query
 descends each tree to the longest prefix it shares with anything, then all trees ascend together, one bit at a time, until
-the subtrees under the shared prefix hold at least ``SHARE`` of the vectors over all trees; their union is compared exactly.
+the subtrees under the shared prefix hold at least ``SHARE`` of the vectors over all trees and one of them ``k`` vectors, the
+query itself and its copies not counted; their union is compared exactly. Where there are fewer, all vectors are compared.
 Two passes do this: the first counts what each prefix length would gather, the second gathers at the length so chosen.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,18 +76,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
 
     def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"vec_id": [], "length": [], "n": []}).astype("int64")
-        (_, have), (ids, want) = grown(left), grown(right)
-        found = np.zeros((len(ids), DEPTH + 1), np.int64)
+            return pd.DataFrame({"vec_id": [], "length": [], "n": [], "most": []}).astype("int64")
+        (have_ids, have), (ids, want) = grown(left), grown(right)
+        # a query and its copies lie in every subtree; a row of its vec_id with another vector takes no part either
+        alike = Counter((v + 0.0).tobytes() for v in have)
+        place = {i: at for at, i in enumerate(have_ids)}
+        own = np.array([place.get(i, -1) for i in ids])
+        copies = np.array([alike[(v + 0.0).tobytes()] for v in want])[:, None]
+        apart = ((own >= 0) & (have[own] != want).any(1))[:, None]
+        lengths = np.arange(DEPTH + 1, dtype=np.uint64)[None]
+        found, most = np.zeros((2, len(ids), DEPTH + 1), np.int64)
         for t in range(trees):
-            order, hashed = np.sort(hashes(have, mean, t)), hashes(want, mean, t)
-            low, high = subtree(order, hashed[:, None], np.arange(DEPTH + 1)[None])
-            found += high - low
-        return pd.DataFrame({"vec_id": np.repeat(ids, DEPTH + 1), "length": np.tile(np.arange(DEPTH + 1), len(ids)), "n": found.ravel()})
+            keys, hashed = hashes(have, mean, t), hashes(want, mean, t)
+            low, high = subtree(np.sort(keys), hashed[:, None], lengths)
+            others = high - low - copies - (apart & ((keys[own] ^ hashed)[:, None] >> (np.uint64(DEPTH) - lengths) == 0))
+            found += others
+            np.maximum(most, others, out=most)
+        return pd.DataFrame({"vec_id": np.repeat(ids, DEPTH + 1), "length": np.tile(np.arange(DEPTH + 1), len(ids)), "n": found.ravel(), "most": most.ravel()})
 
     pairs = held.groupBy("shard", "block").cogroup(spread(asked).groupBy("shard", "block"))
-    gathered = pairs.applyInPandas(counted, "vec_id long, length int, n long").groupBy("vec_id", "length").agg(F.sum("n").alias("n"))
-    enough = F.max(F.when((F.col("n") >= share * n) | (F.col("length") == 0), F.col("length"))).alias("length")
+    gathered = pairs.applyInPandas(counted, "vec_id long, length int, n long, most long").groupBy("vec_id", "length").agg(F.sum("n").alias("n"), F.sum("most").alias("most"))
+    enough = F.max(F.when((F.col("n") >= share * n) & (F.col("most") >= k) | (F.col("length") == 0), F.col("length"))).alias("length")
     lengths = gathered.groupBy("vec_id").agg(enough)
     told = durable(asked.join(lengths, "vec_id"))
 

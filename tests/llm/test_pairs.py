@@ -126,6 +126,22 @@ def test_search_finds_the_nearest(spark):
     assert prefix_forest.nearest(spark.createDataFrame([], VECTORS), frame).count() == 0
 
 
+@pytest.mark.parametrize(("n", "copies"), [(4, 0), (40, 0), (80, 8), (200, 8)])
+def test_search_in_small_tables_finds_k_others(spark, n, copies):
+    points = np.random.default_rng(n).standard_normal((n, 16))
+    points[1 : 1 + copies] = points[0]  # beside the first, and near it no one
+    frame = spark.createDataFrame([(i, v.tolist(), 1, "x") for i, v in enumerate(points)], "vec_id long, embedding array<double>, rep long, copies string")
+    got = prefix_forest.nearest(frame, frame, k=10).collect()
+    hits = 0
+    for q in range(n):
+        distance = np.sqrt(((points - points[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        mine = {r.vec_id for r in got if r.query_id == q}
+        assert len(mine) == min(10, n - 1)
+        hits += len(mine & set(np.lexsort((np.arange(n), distance))[: min(10, n - 1)].tolist()))
+    assert hits >= 0.9 * n * min(10, n - 1)
+
+
 def test_recall_of_the_registered_search(spark):
     import duckdb
 
