@@ -11,7 +11,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from talewind.llm import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, style_tree, toxicity
-from talewind.llm.queries import QUERIES
+from talewind.llm.queries import QUERIES, conversation_digest
 
 DOCS = "doc_id long, text string, lang string, source string, size long, score double, bin int"
 ODD = [None, "", " \n", "12 34", "wort " * 50_000, "same text here", "same text here"]
@@ -215,6 +215,18 @@ def test_chat_round_trip_and_expansion(spark):
     assert formatted.limit(0).count() == 0
 
 
+def test_digest_is_made_of_the_expanded_examples(spark, monkeypatch):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|{i}") for i in range(6)] + [(None, 0, "assistant", "a"), (2, 0, "user", "b")]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.conv_id: r.loss_chars for r in conversation_digest(formatted).collect()} == {1: 9, None: 1, 2: 0}
+    whole = chat_format.expand_targets
+    monkeypatch.setattr(chat_format, "expand_targets", lambda f: whole(f).filter("example = 0"))
+    assert {r.conv_id: r.loss_chars for r in conversation_digest(formatted).collect()} == {1: 3, None: 1, 2: 0}
+    monkeypatch.setattr(chat_format, "expand_targets", lambda f: whole(f).withColumn("context", F.substring("context", 2, 1_000_000)))
+    with pytest.raises(Exception, match="a context lacks turns"):
+        conversation_digest(formatted).collect()
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Title&nbsp;%d</h1><p>First &amp; best %d<p>a &lt;tag&gt;
  here %d</article><div class="comments"><p>reader %d</p></div><script>var t="</p>";</script><footer>foot</footer></body>"""
