@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from oracle import DATA, assert_same
 
-from talewind.plans import catalog
+from talewind.plans import catalog, changes, graph, records
+from talewind.sources import tables
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -22,3 +25,10 @@ def test_entry_works_without_the_optional_folders(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for n, sql in SQL.items() if "l_quantity >= " in sql and n != "isolated_nodes"))  # without the filter none is isolated
+def test_query_over_all_relations_equals_its_sql(spark, monkeypatch, name):
+    for module in (changes, graph, records):
+        monkeypatch.setattr(module, "edges", lambda spark, d, least=1: tables.edges(spark, d, 1))
+    assert_same(QUERIES[name](spark, DATA), re.sub(r"l_quantity >= \d+ GROUP BY", "l_quantity >= 1 GROUP BY", SQL[name]))
