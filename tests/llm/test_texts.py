@@ -1,4 +1,4 @@
-"""Scores, packing, mixing, sharding, chat and page text: brute force, round trips and held-out accuracy."""
+"""Scores, packing, mixing, sharding and chat: brute force, round trips and held-out accuracy."""
 
 import itertools
 import math
@@ -10,7 +10,7 @@ import pytest
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from talewind.llm import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, style_tree, toxicity
+from talewind.llm import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, toxicity
 from talewind.llm.queries import QUERIES, conversation_digest
 
 DOCS = "doc_id long, text string, lang string, source string, size long, score double, bin int"
@@ -225,25 +225,3 @@ def test_digest_is_made_of_the_expanded_examples(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "expand_targets", lambda f: whole(f).withColumn("context", F.substring("context", 2, 1_000_000)))
     with pytest.raises(Exception, match="a context lacks turns"):
         conversation_digest(formatted).collect()
-
-
-PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav>
-<div class="cookie-notice">We use cookies</div><article><h1>Title&nbsp;%d</h1><p>First &amp; best %d<p>a &lt;tag&gt;
- here %d</article><div class="comments"><p>reader %d</p></div><script>var t="</p>";</script><footer>foot</footer></body>"""
-
-
-def test_main_text(spark):
-    rows = [(i, f"https://www.a.org/{i}", PAGE % (i, i, i, i), "x", "y") for i in range(6)]
-    rows += [(10, None, None, "x", "y"), (11, "https://b.org/", "", "x", "y"), (12, "https://b.org/2", "<p>cut <b>off", "x", "y"), (12, "https://b.org/2", "<p>cut <b>off", "x", "y")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, low string")
-    got = [(r.page_id, r.text) for r in style_tree.extract(pages).orderBy("page_id").collect()]
-    assert got[:6] == [(i, f"Title {i}\n\nFirst & best {i}\n\na <tag> here {i}") for i in range(6)]
-    assert got[6:] == [(10, ""), (11, ""), (12, "cut off"), (12, "cut off")]
-    assert style_tree.extract(pages.limit(0)).count() == 0
-
-
-def test_a_branch_that_repeats_on_a_host_weighs_less(spark):
-    page = "<body><div><p>always the same</p></div><section><p>own text %d</p></section></body>"
-    pages = spark.createDataFrame([(i, "https://c.org/x", page % i) for i in range(8)], "page_id long, url string, html string").withColumn("host", F.lit("c.org"))
-    found = {r.path: r.importance for r in style_tree.branch_importance(pages).collect()}
-    assert found["/body/div/p"] < style_tree.LOW <= found["/body/section/p"]
