@@ -1,63 +1,106 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-A tree is the sorted array of all vectors' hash strings (one bit for each of ``DEPTH`` random hyperplanes through the mean
-of the data). The vectors are dealt into shards of bounded size; a shard holds its run of every tree's array. A query
-descends each tree to the longest prefix it shares with anything, then all trees ascend together, one bit at a time, until
-the subtrees under the shared prefix hold at least ``SHARE`` of the vectors over all trees and one of them ``k`` vectors, the
-query itself and its copies not counted; their union is compared exactly. Where there are fewer, all vectors are compared.
-Two passes do this: the first counts what each prefix length would gather, the second gathers at the length so chosen.
+A tree is the sorted array of the vectors' hash strings, one bit for each of ``DEPTH`` random hyperplanes through the mean
+of the data. The vectors are dealt by a hash into shards of bounded size, each with a forest of ``TREES`` trees of its own.
+A query descends every tree to its longest shared prefix; then all trees ascend together, one bit at a time, until the
+subtrees under the shared prefix hold ``GATHER`` entries for each candidate wanted and as many different vectors as are
+wanted. Of these the ones that most trees hold are the candidates and are compared exactly: ``BUDGET`` times ``k`` of the
+whole table, dealt over the shards in proportion, at least ``LEAST`` times ``k`` in each shard; ties in the number of trees
+are all compared. So a query's comparisons stay a fixed number until there are ``BUDGET / LEAST`` shards and are from then on
+``LEAST * k / SHARD`` of the vectors.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable
 from .pigeonhole_join import usable
 
-TREES = 48
+TREES = 320
 DEPTH = 32
-#: Candidates to gather (repeats over trees counted) as a share of the vectors. Neighbours in data whose distances hardly
-#: differ take a large share; see the README for the recall measured.
-SHARE = 0.6
-SHARD = 16384
-QUERY_BLOCK = 2048
+#: Vectors to compare for each neighbour asked, over the whole table and in one shard at least; entries to gather for each.
+BUDGET, LEAST, GATHER = 60, 4, 160
+#: Vectors of a shard, and queries that meet it in one task.
+SHARD, QUERY_BLOCK = 16384, 65536
+_TOGETHER = 8  # trees whose planes are multiplied at once
 
 
-def hashes(vectors: np.ndarray, mean: np.ndarray, tree: int) -> np.ndarray:
-    """The hash strings as integers: the first plane is the highest bit."""
-    planes = np.random.default_rng([tree, len(mean)]).standard_normal((len(mean), DEPTH))
-    bits = (vectors - mean) @ planes > 0
-    return bits @ (np.uint64(1) << np.arange(DEPTH - 1, -1, -1, dtype=np.uint64))
+def hashes(vectors: np.ndarray, mean: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """The hash strings as integers, a row for each tree: the first plane is the highest bit."""
+    centred, out = (vectors - mean).astype(np.float32), np.empty((trees, len(vectors)), np.uint32)
+    half = np.float32(2) ** np.arange(15, -1, -1, dtype=np.float32)
+    for t in range(0, trees, _TOGETHER):
+        many = min(_TOGETHER, trees - t)
+        planes = np.random.default_rng([t, len(mean)]).standard_normal((len(mean), many * DEPTH), dtype=np.float32)
+        bits = (centred @ planes > 0).reshape(len(vectors), many, 2, DEPTH // 2).astype(np.float32) @ half
+        out[t : t + many] = (bits.astype(np.uint32) @ np.array([1 << 16, 1], np.uint32)).T
+    return out
 
 
 def subtree(order: np.ndarray, hashed: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """Where in the sorted array the strings lie that share the first ``length`` bits."""
     low = np.uint64(DEPTH) - np.asarray(length, dtype=np.uint64)
-    first = hashed >> low << low
+    first = hashed.astype(np.uint64) >> low << low
     return np.searchsorted(order, first, "left"), np.searchsorted(order, first + (np.uint64(1) << low), "left")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, share: float = SHARE) -> DataFrame:
+class Forest:
+    """The trees of one shard: ids in rising order, their vectors, and each tree's sorted strings."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, mean: np.ndarray, trees: int = TREES) -> None:
+        at = np.lexsort((*vectors.T[::-1], ids))
+        self.ids, self.vectors, self.mean = ids[at], vectors[at], mean
+        codes = hashes(self.vectors, mean, trees)
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes, self.order, axis=1).astype(np.uint64)
+
+    def candidates(self, asked_ids: np.ndarray, asked: np.ndarray, wanted: int, gather: int = GATHER):
+        """For each query the places of its candidates; never those of its own id."""
+        n = len(self.ids)
+        if n <= wanted:
+            for i in asked_ids:
+                yield np.flatnonzero(self.ids != i)
+            return
+        codes = hashes(asked, self.mean, len(self.order))
+        lengths = np.arange(DEPTH + 1, dtype=np.uint64)[None]
+        held = np.zeros((len(asked), DEPTH + 1), np.int64)
+        for run, hashed in zip(self.sorted, codes, strict=True):
+            low, high = subtree(run, hashed[:, None], lengths)
+            held += high - low
+        own = [np.searchsorted(self.ids, asked_ids, side) for side in ("left", "right")]
+        start = DEPTH - np.argmax(held[:, ::-1] >= gather * wanted, axis=1)
+        start[held.max(axis=1) < gather * wanted] = 0
+        for q, length in enumerate(start.tolist()):
+            while True:
+                low, high = zip(*(subtree(run, hashed, length) for run, hashed in zip(self.sorted, codes[:, q], strict=True)), strict=True)
+                trees = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=n)
+                trees[own[0][q] : own[1][q]] = 0  # the query itself
+                if length == 0 or np.count_nonzero(trees) >= wanted:
+                    break
+                length -= 1
+            least = max(1, np.partition(trees, n - wanted)[n - wanted])
+            yield np.flatnonzero(trees >= least)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, budget: int = BUDGET) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the ``k`` nearest found by Euclidean distance, ties to the smaller id.
 
     ``queries`` has the columns of ``vectors`` (vec_id, embedding). Vectors that are null, zero or hold null or non-finite
     components, and rows without vec_id, take no part; nor does a row compare with itself (its own vec_id) or with vectors
-    of another length than most have. Rows that repeat a vec_id count once. Empty tables give no rows; other columns
-    are ignored.
+    of another length than most have. Of equal vectors the ``k + 1`` smallest ids take part, as no more can be among the
+    nearest. A vec_id that is repeated counts with the nearest of its vectors, and asks with all of them. Empty tables give no
+    rows; other columns are ignored.
     """
     good = lambda df: df.filter(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     points, asked = good(vectors), good(queries)
     sizes = points.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, vec_id long, score double"
     if sizes is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, n = sizes.dims, sizes["count"]
     points, asked = points.filter(F.size("embedding") == dims), asked.filter(F.size("embedding") == dims)
     centre = points.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).collect()  # one row for each dimension
@@ -65,65 +108,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
     for r in centre:
         mean[r.i] = r.x
     shards, blocks = -(-n // SHARD), -(-max(1, asked.count()) // QUERY_BLOCK)
-    held = points.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def spread(some: DataFrame) -> DataFrame:
-        return some.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1))))
-
-    def grown(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        part.drop_duplicates("vec_id", inplace=True)
-        return part.vec_id.to_numpy(), np.stack(list(part.embedding))
-
-    def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"vec_id": [], "length": [], "n": [], "most": []}).astype("int64")
-        (have_ids, have), (ids, want) = grown(left), grown(right)
-        # a query and its copies lie in every subtree; a row of its vec_id with another vector takes no part either
-        alike = Counter((v + 0.0).tobytes() for v in have)
-        place = {i: at for at, i in enumerate(have_ids)}
-        own = np.array([place.get(i, -1) for i in ids])
-        copies = np.array([alike[(v + 0.0).tobytes()] for v in want])[:, None]
-        apart = ((own >= 0) & (have[own] != want).any(1))[:, None]
-        lengths = np.arange(DEPTH + 1, dtype=np.uint64)[None]
-        found, most = np.zeros((2, len(ids), DEPTH + 1), np.int64)
-        for t in range(trees):
-            keys, hashed = hashes(have, mean, t), hashes(want, mean, t)
-            low, high = subtree(np.sort(keys), hashed[:, None], lengths)
-            others = high - low - copies - (apart & ((keys[own] ^ hashed)[:, None] >> (np.uint64(DEPTH) - lengths) == 0))
-            found += others
-            np.maximum(most, others, out=most)
-        return pd.DataFrame({"vec_id": np.repeat(ids, DEPTH + 1), "length": np.tile(np.arange(DEPTH + 1), len(ids)), "n": found.ravel(), "most": most.ravel()})
-
-    pairs = held.groupBy("shard", "block").cogroup(spread(asked).groupBy("shard", "block"))
-    gathered = pairs.applyInPandas(counted, "vec_id long, length int, n long, most long").groupBy("vec_id", "length").agg(F.sum("n").alias("n"), F.sum("most").alias("most"))
-    enough = F.max(F.when((F.col("n") >= share * n) & (F.col("most") >= k) | (F.col("length") == 0), F.col("length"))).alias("length")
-    lengths = gathered.groupBy("vec_id").agg(enough)
-    told = durable(asked.join(lengths, "vec_id"))
+    copy = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    held = (
+        points.withColumn("copy", copy)
+        .filter(F.col("copy") <= k + 1)
+        .select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    )
+    spread = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1))))
 
     def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        (ids, have), (asked_ids, want) = grown(left), grown(right)
-        length = right.length.to_numpy()
-        inside = np.zeros((len(want), len(have)), bool)
-        for t in range(trees):
-            keys = hashes(have, mean, t)
-            at = np.argsort(keys, kind="stable")
-            low, high = subtree(keys[at], hashes(want, mean, t), length)
-            for q, (a, b) in enumerate(zip(low, high, strict=True)):
-                inside[q, at[a:b]] = True
         out = []
-        for q, v in enumerate(want):
-            near = np.flatnonzero(inside[q])
-            near = near[ids[near] != asked_ids[q]]
-            score = np.sqrt(((have[near] - v) ** 2).sum(1))
-            if near.size > k:  # the k-th distance and its ties
-                some = score <= np.partition(score, k - 1)[k - 1]
-                near, score = near[some], score[some]
-            best = np.lexsort((ids[near], score))[:k]
-            out.append(pd.DataFrame({"query_id": asked_ids[q], "vec_id": ids[near][best], "score": score[best]}))
-        return pd.concat(out)
-
-    near = held.groupBy("shard", "block").cogroup(spread(told).groupBy("shard", "block")).applyInPandas(searched, "query_id long, vec_id long, score double")
+        if not left.empty and not right.empty:
+            forest = Forest(left.vec_id.to_numpy(), np.stack(list(left.embedding)), mean)
+            asked_ids, want = right.vec_id.to_numpy(), np.stack(list(right.embedding))
+            wanted = max(LEAST * k, -(-budget * k * len(left) // n))
+            for i, v, near in zip(asked_ids, want, forest.candidates(asked_ids, want, wanted), strict=True):
+                score = np.sqrt(((forest.vectors[near] - v) ** 2).sum(1))
+                best = np.lexsort((forest.ids[near], score))
+                ids, first = np.unique(forest.ids[near][best], return_index=True)
+                best = best[np.sort(first)[:k]]
+                out.append(pd.DataFrame({"query_id": i, "vec_id": forest.ids[near][best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"score": "float64"})
+
+    near = held.groupBy("shard", "block").cogroup(spread.groupBy("shard", "block")).applyInPandas(searched, schema)
+    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
     return near.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)

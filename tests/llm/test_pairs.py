@@ -142,16 +142,52 @@ def test_search_in_small_tables_finds_k_others(spark, n, copies):
     assert hits >= 0.9 * n * min(10, n - 1)
 
 
-def test_recall_of_the_registered_search(spark):
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_and_share_compared_of_the_registered_search(spark, scale):
     import duckdb
 
-    truth = duckdb.sql(
-        f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM '{DATA}/embeddings.parquet' WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0 AND isfinite(x))) > 0)
-        SELECT q.vec_id, c.vec_id FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
-        QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id) <= 10"""
-    ).fetchall()
-    got = {(r.query_id, r.vec_id) for r in QUERIES["op6_prefix_forest"](spark, DATA).collect()}
-    assert len(got & set(truth)) >= 0.9 * len(truth)
+    folder = DATA.replace("sf0.01", scale)
+    rows = duckdb.sql(f"SELECT vec_id, embedding::DOUBLE[] FROM '{folder}/embeddings.parquet' WHERE embedding IS NOT NULL ORDER BY vec_id").fetchall()
+    good = [(i, np.array(v)) for i, v in rows if None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    ids, points = np.array([i for i, _ in good]), np.stack([v for _, v in good])
+    asked = np.flatnonzero(ids % 100 == 0)
+    forest = prefix_forest.Forest(ids, points, points.mean(0))
+    compared = [len(c) for c in forest.candidates(ids[asked], points[asked], prefix_forest.BUDGET * 10)]
+    truth = set()
+    for q in asked:
+        distance = np.sqrt(((points - points[q]) ** 2).sum(1))
+        distance[q] = np.inf
+        truth |= {(ids[q], i) for i in ids[np.lexsort((ids, distance))[:10]]}
+    got = {(r.query_id, r.vec_id) for r in QUERIES["op6_prefix_forest"](spark, folder).collect()}
+    print(f"{scale}: recall {len(got & truth) / len(truth)}, compared {np.mean(compared)} of {len(ids)}")
+    assert len(got & truth) >= 0.9 * len(truth)
+    assert max(compared) < 2.5 * prefix_forest.BUDGET * 10
+
+
+def test_candidates_stay_few_as_the_shard_grows():
+    points = np.random.default_rng(0).standard_normal((12_000, 16))
+    means = []
+    for n in (3_000, 12_000):
+        forest = prefix_forest.Forest(np.arange(n), points[:n], points[:n].mean(0))
+        means.append(np.mean([len(c) for c in forest.candidates(np.arange(40), points[:40], 200)]))
+    assert means[1] < 1.5 * means[0] < 600
+
+
+def test_search_with_copies_near_copies_and_repeated_ids(spark):
+    draw = np.random.default_rng(4)
+    points = draw.standard_normal((900, 16))
+    points[100:700] = points[100]  # more copies than are ever asked for
+    points[700:708] = points[7] + 1e-4 * draw.standard_normal((8, 16))  # near copies, fewer than k
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(points)] + [(3, points[8].tolist(), 1, "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long, copies string")
+    got = prefix_forest.nearest(frame, frame.filter("vec_id IN (3, 7, 100, 650)"), k=10, budget=10).collect()
+    found = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in (3, 7, 100, 650)}
+    assert found[100] == list(range(101, 111))
+    assert found[650] == list(range(100, 110))
+    assert set(range(700, 708)) < set(found[7])
+    assert len(found[7]) == 10
+    assert found[3][0] == 8  # asks with both of its vectors
+    assert sorted(map(repr, got)) == sorted(map(repr, prefix_forest.nearest(frame, frame.filter("vec_id IN (3, 7, 100, 650)"), k=10, budget=10).collect()))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
