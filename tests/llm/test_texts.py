@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -11,6 +12,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from talewind.llm import best_fit_pack, chat_format, kd_shards, pareto_mix, piece_lm, toxicity
+from talewind.llm.common import held_out
 from talewind.llm.queries import QUERIES, conversation_digest
 
 DOCS = "doc_id long, text string, lang string, source string, size long, score double, bin int"
@@ -37,14 +39,50 @@ def edits(a, b):
 
 
 def test_automaton_equals_the_edit_distance():
-    terms = ["idiot", "loser", "moron", "pathetic", "scum"]
-    matcher = toxicity.Matcher(toxicity.Lexicon(fuzzy=terms))
-    words = {t[:i] + c + t[j:] for t in terms for i in range(len(t)) for j in (i, i + 1, i + 2) for c in ("", "a", "r")}
-    words |= {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for t in terms for i in range(len(t) - 1)} | {"lo", "harmless", "idiotically"}
-    for w in words:
+    terms = ["idiot", "loser", "moron", "pathetic", "worthless", "disgusting", "abababababab", "abcabcabc", "scum"]
+    speller = toxicity.Speller(terms)
+    draw = random.Random(3)
+
+    def altered(word, edits):
+        for _ in range(edits):
+            i = draw.randrange(len(word) + 1)
+            kind, c = draw.randrange(4), draw.choice("abcorst")
+            word = (word[:i] + c + word[i:], word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :])[kind]
+        return word
+
+    words = {altered(t, n) for t in terms for n in (1, 2, 2, 2, 3) for _ in range(60)} | {"", "lo", "harmless", "idiotically", "x" * 5_000, "worthless" * 300}
+    for w in sorted(words):
+        expected = {t: d for t in terms if len(t) >= toxicity.LEAST and abs(len(t) - len(w)) < 3 and (d := edits(w, t)) <= (2 if len(t) >= toxicity.LONG else 1)}
+        got = speller.near(w)
         # equal words are found before the automaton is asked
-        expected = len(w) >= toxicity.LEAST - 1 and any(edits(w, t) <= 1 for t in terms)
-        assert matcher.missed(w) == expected, w
+        assert {t: d for t, d in got.items() if d} == {t: d for t, d in expected.items() if d}, w
+
+
+def test_misspellings_that_training_lacks_are_caught(spark):
+    folder = DATA.replace("sf0.01", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    seen = {toxicity.plain(w) for r in docs.select("text").collect() for w in (r.text or "").lower().split()}
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").filter(held_out(F.col("doc_id"))).select("text").orderBy("doc_id").limit(300).collect()]
+    draw = random.Random(5)
+    planted = []
+    for text in clean:
+        t = draw.choice(["idiot", "loser", "stupid", "trash", "clown", "pathetic", "worthless", "disgusting"])
+        word = t
+        while word in seen or word == t:
+            word = t
+            for _ in range(2 if len(t) >= toxicity.LONG else 1):
+                i = draw.randrange(len(word) - 1)
+                word = draw.choice((word[:i] + draw.choice("bfgkxyz") + word[i + 1 :], word[:i] + word[i + 1 :], word[:i] + word[i] + word[i:], word[:i] + word[i + 1] + word[i] + word[i + 2 :]))
+        words = (text or "x").split(" ")
+        words.insert(draw.randrange(len(words) + 1), word)
+        planted.append(" ".join(words))
+    hit = lambda texts, lex: [toxicity.score_text(t or "", m)[0] >= toxicity.THRESHOLD for m in [toxicity.Matcher(lex)] for t in texts]
+    caught, false = sum(hit(planted, lexicon)), sum(hit(clean, lexicon))
+    assert caught / (caught + false) >= 0.9
+    assert caught >= 0.9 * len(planted)
+    blind = toxicity.Lexicon(lexicon.terms, lexicon.stems)  # without the automaton
+    assert sum(hit(planted, blind)) <= false + 0.05 * len(planted)
 
 
 def test_quotation_counts_less_than_abuse():
@@ -59,8 +97,8 @@ def test_toxicity_held_out(spark):
     labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{larger}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
     known = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     right = sum(p and t for p, t in known)
-    assert right / max(1, sum(p for p, _ in known)) > 0.8
-    assert right / max(1, sum(t for _, t in known)) > 0.7
+    assert right / max(1, sum(p for p, _ in known)) >= 0.9
+    assert right / max(1, sum(t for _, t in known)) >= 0.9
 
 
 def test_a_drawn_fit_weighs_near_misses_like_one_with_all_rows(spark, monkeypatch):
@@ -85,7 +123,7 @@ def test_a_drawn_fit_weighs_near_misses_like_one_with_all_rows(spark, monkeypatc
     drawn = toxicity.fit(docs, labels)
     assert set(terms) <= set(drawn.terms)
     assert set(drawn.terms) == set(whole.terms)
-    assert whole.miss == drawn.miss == 0
+    assert not set(terms) & (set(whole.near) | set(drawn.near))
     assert toxicity.score_text("a klumpezon of an ordinary day", toxicity.Matcher(drawn))[0] == toxicity.NOTHING
 
 
