@@ -199,7 +199,57 @@ def test_best_fit_equals_the_plain_rule():
         else:
             assert b == len(rooms)
             rooms.append(512 - n)
-    assert best_fit_pack.pack_group(sizes, (128, 256, 512))[2].sum() <= fitted.sum() + best_fit_pack.OPENING * len(fitted)
+    cost = lambda lengths: sum(map(best_fit_pack.bin_cost, lengths.tolist()))
+    assert cost(best_fit_pack.pack_group(sizes, (128, 256, 512))[2]) <= cost(fitted)
+
+
+def least_cost(sizes, lengths):
+    """The cost of the best packing, by trying every partition into bins."""
+
+    def tried(i, bins):
+        if i == len(sizes):
+            return sum(best_fit_pack.bin_cost(min(x for x in lengths if x >= used)) for used in bins)
+        fits = [b for b, used in enumerate(bins) if used + sizes[i] <= lengths[-1]]
+        return min([tried(i + 1, [*bins, sizes[i]]), *(tried(i + 1, [*bins[:b], bins[b] + sizes[i], *bins[b + 1 :]]) for b in fits)])
+
+    return tried(0, [])
+
+
+def test_packing_comes_near_the_least_cost():
+    lengths, draw = (512, 1024, 2048, 4096), random.Random(2)
+    total, best, exact = 0.0, 0.0, 0
+    for _ in range(60):
+        sizes = sorted((draw.choice((draw.randrange(1, 500), draw.randrange(1, 2000), draw.randrange(1, 4097))) for _ in range(7)), reverse=True)
+        fitted = best_fit_pack.pack_group(np.array(sizes), lengths)[2]
+        found, least = sum(map(best_fit_pack.bin_cost, fitted.tolist())), least_cost(sizes, lengths)
+        assert least - 1e-6 <= found <= 1.35 * least
+        total, best, exact = total + found, best + least, exact + (found < least + 1e-6)
+    assert total <= 1.05 * best
+    assert exact >= 30
+
+
+def test_a_bin_is_opened_by_its_own_cost():
+    lengths = (512, 1024, 2048, 4096)
+    opening = lambda n, rest: best_fit_pack.cheapest_opening(n, np.bincount(rest, minlength=4097).tolist(), sum(1 << s for s in set(rest)), lengths)
+    assert opening(500, [300, 300]) == 512  # nothing fills a longer one
+    assert opening(500, [500, 10, 10]) == 1024  # two fill 1,024, cheaper a token than 512 and 2,048
+    assert opening(1500, [500, 40]) == 2048
+    assert opening(2100, [1990] + [500] * 9) == 4096
+    sizes = np.array([2100, 1990, 500, 500, 500, 300])
+    own = best_fit_pack.best_fit(sizes, lengths, None)[2]
+    assert len(set(own.tolist())) > 1
+    cost = lambda fitted: sum(map(best_fit_pack.bin_cost, fitted.tolist()))
+    draw = np.random.default_rng(7)
+    mixed = [np.sort(draw.integers(1, 1400, 400))[::-1] for _ in range(5)]
+    assert sum(cost(best_fit_pack.best_fit(m, lengths, None)[2]) for m in mixed) < sum(cost(best_fit_pack.best_fit(m, lengths, 4096)[2]) for m in mixed)
+
+
+def test_rows_alike_are_dealt_over_all_groups(spark):
+    rows = best_fit_pack.pack(docs_frame(spark, [(None, "a b c", "en", "a")] * 2_000), group_tokens=1_000).collect()
+    groups = Counter(r.bin_id >> 32 for r in rows)
+    assert len(rows) == 2_000
+    assert len(groups) == 8
+    assert max(groups.values()) < 400
 
 
 def test_mix_reaches_its_targets(spark, odd):
