@@ -2,8 +2,8 @@
 
 The pieces are those of a fixed public vocabulary. For each language, expectation maximisation over the words of labelled
 texts gives every piece a probability; a word's likelihood is the sum over all its segmentations into pieces, by a forward
-recursion, a text's that of its words. Words are scored once for each task and all languages together, many words of one
-length at a time.
+recursion over the whole word, a text's that of its words. Words are scored once for each task and all languages together,
+many words of one length at a time; long words are summed in logarithms.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import durable, held_out
 #: The classifier is fitted on about so many texts of each language at most, drawn by a hash of the id.
 FIT_TEXTS = 3_000
 ROUNDS = 3
-#: Letters of a piece, and of a word: longer runs of letters are cut into words of that length.
-PIECE, WORD = 10, 60
+#: Words of so many letters and more are summed in logarithms, as their sums leave the range of numbers.
+LOG_FROM = 60
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Each letter of a piece multiplies its probability by this, so that long words don't underflow; taken back in the logarithm.
@@ -45,24 +45,24 @@ def vocabulary(path: str | None = None) -> list[str]:
     model = sentencepiece.SentencePieceProcessor(model_file=str(path))
     n = model.get_piece_size()
     pieces = {model.id_to_piece(i).lower() for i in range(n) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return sorted(p for p in pieces if len(p) <= PIECE and _LETTERS.fullmatch(p.replace(_START, "", 1) or "a"))
+    return sorted(p for p in pieces if _LETTERS.fullmatch(p.replace(_START, "", 1) or "a"))
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text: its runs of letters in lower case, marked at their start."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        out += [_START + w] if len(w) < WORD else [(_START if i == 0 else "") + w[i : i + WORD - 1] for i in range(0, len(w), WORD - 1)]
-    return out
+    return [_START + w for w in _LETTERS.findall(text.lower())]
 
 
 class Pieces:
     """Looks up the pieces of many words of one length at once, by rolling hashes. A letter that is no piece is the last id."""
 
+    COMMON = 8  # longer pieces are looked up only where so many letters begin one
+
     def __init__(self, pieces: list[str]) -> None:
         self.n = len(pieces)
-        self.powers = _BASE ** np.arange(WORD + PIECE, dtype=np.uint64)
-        self.ids = pd.Index(np.array([self._hash(p) for p in pieces], dtype=np.uint64))
+        hashes, lengths = np.array([self._hash(p) for p in pieces], dtype=np.uint64), np.array([len(p) for p in pieces], dtype=np.int64)
+        self.by_length = {int(n): (pd.Index(hashes[lengths == n]), np.append(np.flatnonzero(lengths == n), -1)) for n in np.unique(lengths)}
+        self.beginnings = pd.Index(np.unique(np.array([self._hash(p[: self.COMMON]) for p in pieces if len(p) > self.COMMON], dtype=np.uint64)))
 
     def _hash(self, piece: str) -> np.uint64:
         h = np.uint64(0)
@@ -71,20 +71,38 @@ class Pieces:
                 h = h * _BASE + np.uint64(ord(c) + 1)
         return h
 
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, ids) for all spans of words of one length, by end; -1 where the span is no piece."""
+    def lookup(self, words: list[str]) -> dict[int, np.ndarray]:
+        """Length of a piece: ids (words, starts) of the pieces of that length, -1 where none is."""
         codes = np.array([[ord(c) for c in w] for w in words], dtype=np.uint64) + np.uint64(1)
         size = codes.shape[1]
         sums = np.zeros((len(words), size + 1), np.uint64)
         for j in range(size):
             sums[:, j + 1] = sums[:, j] * _BASE + codes[:, j]
-        for end in range(1, size + 1):
-            for start in range(max(0, end - PIECE), end):
-                ids = self.ids.get_indexer(sums[:, end] - sums[:, start] * self.powers[end - start])
-                if end - start == 1:
-                    ids = np.where(ids < 0, self.n, ids)
-                if (ids >= 0).any():
-                    yield start, end, ids
+        hashed = lambda n: sums[:, n:] - sums[:, : size + 1 - n] * _BASE ** np.uint64(n)
+        out, begin = {}, None
+        for n, (index, ids) in self.by_length.items():
+            if n > size:
+                break
+            if n <= self.COMMON:
+                out[n] = ids[index.get_indexer(hashed(n).ravel())].reshape(len(words), size + 1 - n)
+                continue
+            if begin is None:
+                begin = np.nonzero(self.beginnings.get_indexer(hashed(self.COMMON).ravel()).reshape(len(words), -1) >= 0)
+            row, start = (x[begin[1] <= size - n] for x in begin)
+            if row.size:
+                out[n] = np.full((len(words), size + 1 - n), -1)
+                out[n][row, start] = ids[index.get_indexer(sums[row, start + n] - sums[row, start] * _BASE ** np.uint64(n))]
+        one = out.get(1, np.full((len(words), size), -1))
+        out[1] = np.where(one < 0, self.n, one)
+        return out
+
+    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(start, end, ids) for all spans of words of one length that are pieces, by end; -1 for words where they aren't."""
+        found = [(n, ids, (ids >= 0).any(axis=0)) for n, ids in sorted(self.lookup(words).items(), reverse=True)]
+        for end in range(1, len(words[0]) + 1):
+            for n, ids, some in found:
+                if n <= end and some[end - n]:
+                    yield end - n, end, ids[:, end - n]
 
 
 def forward(spans: list[tuple[int, int, np.ndarray]], p: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -96,6 +114,15 @@ def forward(spans: list[tuple[int, int, np.ndarray]], p: np.ndarray, n: int, siz
     return a
 
 
+def log_forward(spans: list[tuple[int, int, np.ndarray]], log_p: np.ndarray, n: int, size: int) -> np.ndarray:
+    """As :func:`forward`, of logarithms."""
+    a = np.full((n, size + 1, log_p.shape[1]), -np.inf)
+    a[:, 0] = 0
+    for start, end, ids in spans:
+        a[:, end] = np.logaddexp(a[:, end], a[:, start] + log_p[ids])
+    return a
+
+
 def scaled(p: np.ndarray, pieces: list[str]) -> np.ndarray:
     """Probabilities by id with the gain for each letter; id -1 (the last row) is no piece."""
     gain = _GAIN ** np.array([len(x) for x in pieces] + [1])
@@ -115,9 +142,13 @@ def word_scores(words: list[str], lookup: Pieces, p: np.ndarray) -> np.ndarray:
     """Log-likelihood of each word in each language."""
     out = np.empty((len(words), p.shape[1]))
     for at, some in by_length(words):
-        size = len(some[0])
-        whole = forward(list(lookup.spans(some)), p, len(some), size)[:, size]
-        out[at] = np.log(np.maximum(whole, 1e-300)) - size * np.log(_GAIN)
+        size, spans = len(some[0]), lookup.spans(some)
+        if size < LOG_FROM:
+            whole = np.log(np.maximum(forward(spans, p, len(some), size)[:, size], 1e-300))
+        else:
+            with np.errstate(divide="ignore"):
+                whole = log_forward(spans, np.log(p), len(some), size)[:, size]
+        out[at] = whole - size * np.log(_GAIN)
     return out
 
 
@@ -129,14 +160,6 @@ class Places(dict):
         return n
 
 
-def run_scores(runs: list[str], lookup: Pieces, p: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each run of letters in each language, and (last column) how many words it is cut into."""
-    cut = [words_of(x) for x in runs]
-    n = np.array([len(x) for x in cut])
-    scores = word_scores([w for ws in cut for w in ws], lookup, p)
-    return np.column_stack([np.add.reduceat(scores, np.cumsum(n) - n, axis=0), n])
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -153,6 +176,20 @@ def _fit_texts(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return known.filter(u < share).select("lang", "text"), sizes
 
 
+def _expect_long(spans: list[tuple[int, int, np.ndarray]], p: np.ndarray, n: np.ndarray, size: int, out: np.ndarray) -> None:
+    """Adds the expected counts of the pieces of long words, ``n`` times each."""
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    a = log_forward(spans, log_p, len(n), size)[:, :, 0]
+    b = np.full_like(a, -np.inf)
+    b[:, size] = 0
+    for start, end, ids in reversed(spans):
+        b[:, start] = np.logaddexp(b[:, start], b[:, end] + log_p[ids, 0])
+    for start, end, ids in spans:
+        use = n * np.exp(a[:, start] + log_p[ids, 0] + b[:, end] - a[:, size])
+        out += np.bincount(ids[ids >= 0], use[ids >= 0], minlength=len(out))
+
+
 def fit(docs: DataFrame, path: str | None = None) -> Model:
     """Piece probabilities of every language that texts outside the held-out quarter are labelled with."""
     texts, sizes = _fit_texts(docs)
@@ -182,6 +219,9 @@ def fit(docs: DataFrame, path: str | None = None) -> Model:
                 for at, some in by_length(list(of.word)):
                     size, spans = len(some[0]), list(lookup.spans(some))
                     one = q[:, [lang]]
+                    if size >= LOG_FROM:
+                        _expect_long(spans, one, n[at], size, out[:, lang])
+                        continue
                     a = forward(spans, one, len(some), size)[:, :, 0]
                     b = np.zeros_like(a)
                     b[:, size] = 1
@@ -215,7 +255,7 @@ def predict(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predicted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lookup, q, k = Pieces(model.pieces), scaled(model.p, model.pieces), len(model.languages)
-        places, table = Places(), np.zeros((0, k + 1))
+        places, table = Places(), np.zeros((0, k))
         nothing = np.zeros(0, np.int64)
         for part in parts:
             langs, scores = [], []
@@ -224,17 +264,17 @@ def predict(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
                     places, table = Places(), table[:0]
                 found = [np.fromiter(map(places.__getitem__, _LETTERS.findall(t.lower())), np.int64) if t and k else nothing for t in chunk]
                 if len(places) > len(table):
-                    table = np.vstack([table, run_scores(list(islice(places, len(table), None)), lookup, q)])
+                    table = np.vstack([table, word_scores([_START + w for w in islice(places, len(table), None)], lookup, q)])
                 for at in found:
                     if not at.size:
                         langs.append(UNDETERMINED)
                         scores.append(0.0)
                         continue
                     total = table[at].sum(axis=0)
-                    fit_ = total[:k] + model.prior
+                    fit_ = total + model.prior
                     best = int(fit_.argmax())
                     # the posterior of a text of at most 20 words as sure as this one on average
-                    odds = np.exp((fit_ - fit_[best]) * min(1.0, 20 / total[k]))
+                    odds = np.exp((fit_ - fit_[best]) * min(1.0, 20 / at.size))
                     langs.append(model.languages[best])
                     scores.append(float(1 / odds.sum()))
             yield pd.DataFrame({"lang_pred": langs, "score": scores})

@@ -135,16 +135,47 @@ def test_toxicity_of_odd_rows(spark, odd):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "babababab", "abababababab"]
     p = np.full((len(pieces) + 1, 1), 0.1)
-    got = piece_lm.word_scores(["▁abab"], piece_lm.Pieces(pieces), piece_lm.scaled(p, pieces))[0, 0]
-
-    def total(rest):
-        if not rest:
-            return 1.0
-        return sum(0.1 * total(rest[n:]) for n in range(1, len(rest) + 1) if rest[:n] in pieces)
-
-    assert math.isclose(got, math.log(total("▁abab")))
+    lookup = piece_lm.Pieces(pieces)
+
+    def total(word):  # of all segmentations of each beginning, by logarithm
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            parts = [sums[end - len(x)] + math.log(0.1) for x in pieces if word[:end].endswith(x)]
+            sums.append(max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts)))
+        return sums[-1]
+
+    words = ["▁", "▁abab", "▁" + "ab" * 12, "▁" + "ab" * 29, "▁" + "ab" * 30, "▁" + "ba" * 2_000]
+    got = piece_lm.word_scores(words, lookup, piece_lm.scaled(p, pieces))[:, 0]
+    for w, score in zip(words, got, strict=True):
+        assert math.isclose(score, total(w), rel_tol=1e-9), len(w)
+
+
+def test_long_words_are_expected_like_short_ones():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
+    q = piece_lm.scaled(np.array([[0.1], [0.2], [0.1], [0.3], [0.2], [0.05], [0.05]]), pieces)
+    spans = list(piece_lm.Pieces(pieces).spans(["▁ababbab"]))
+    a = piece_lm.forward(spans, q, 1, 8)[0, :, 0]
+    b = np.zeros(9)
+    b[8] = 1
+    for start, end, ids in reversed(spans):
+        b[start] += b[end] * q[ids[0], 0]
+    expected = np.zeros(7)
+    for start, end, ids in spans:
+        expected[ids[0]] += 3 * a[start] * q[ids[0], 0] * b[end] / a[8]
+    out = np.zeros(7)
+    piece_lm._expect_long(spans, q, np.array([3.0]), 8, out)
+    assert np.allclose(out, expected)
+    assert math.isclose(sum(n * len(x) for n, x in zip(out, [*pieces, "?"], strict=True)), 3 * 8)
+
+
+def test_the_whole_vocabulary_counts():
+    pieces = piece_lm.vocabulary()
+    longest = max(pieces, key=len)
+    assert len(longest) > 10
+    ids = [i[0] for start, end, i in piece_lm.Pieces(pieces).spans([longest]) if (start, end) == (0, len(longest))]
+    assert ids == [pieces.index(longest)]
 
 
 def test_language_held_out_and_odd_rows(spark, odd):
