@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINABLE = "assistant"
@@ -44,36 +45,23 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     escaped code points; a conversation without an assistant turn has no targets.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
-    rows = turns.select(
+    head, tail = F.concat(F.lit(START), escape_role(role), F.lit("\n")), F.concat(escape(text), F.lit(END + "\n"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), tail.alias("tail"))
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    chars = F.sum(F.length("head") + F.length("tail")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    # the window and the groups are dealt by conv_id once
+    placed = rows.withColumns({"before": F.row_number().over(order) - 1, "start": (chars - F.length("tail")).cast("long")}).select(
         "conv_id",
-        F.struct(
-            F.col("turn"), role.alias("role"), text.alias("text"), head.alias("head"), F.concat(escape(text), F.lit(END + "\n")).alias("tail")
-        ).alias("row"),
-    )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    tail = len(END) + 1
-    steps = F.aggregate(
-        F.transform("rows", lambda r, i: F.struct((r["role"] == TRAINABLE).alias("on"), F.length(r["head"]).alias("head"), F.length(r["tail"]).alias("tail"), i.alias("before"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<struct<start: bigint, length: bigint, before: int>>)").alias("found")),
-        lambda acc, r: F.struct(
-            (acc["at"] + r["head"] + r["tail"]).alias("at"),
-            F.when(
-                r["on"],
-                F.concat(
-                    acc["found"],
-                    F.array(F.struct((acc["at"] + r["head"]).alias("start"), (r["tail"] - tail).cast("long").alias("length"), r["before"].cast("int").alias("before"))),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
+        F.struct("before", "start", (F.length("tail") - len(END) - 1).cast("long").alias("length"), (F.col("role") == TRAINABLE).alias("on"), F.concat("head", "tail").alias("turn")).alias("row"),
     )
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     return whole.select(
         "conv_id",
-        F.array_join(F.transform("rows", lambda r: F.concat(r["head"], r["tail"])), "").alias("formatted"),
-        F.transform(steps, lambda t, i: F.struct(i.alias("example"), t["start"].alias("start"), t["length"].alias("length"), t["before"].alias("before"))).alias("targets"),
+        F.array_join(F.col("rows.turn"), "").alias("formatted"),
+        F.transform(
+            F.filter("rows", lambda r: r["on"]),
+            lambda r, i: F.struct(i.alias("example"), r["start"].alias("start"), r["length"].alias("length"), r["before"].alias("before")),
+        ).alias("targets"),
     )
 
 

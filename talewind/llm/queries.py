@@ -124,26 +124,30 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def losses(examples: DataFrame) -> DataFrame:
-    """conv_id and the trainable text of its examples in order; fails on a context that doesn't hold the turns it should."""
+    """Length and digest of each conversation's trainable text, its examples in order; fails on a context that doesn't hold
+    the turns it should."""
     starts = F.regexp_count("context", F.lit(chat_format.START.replace("|", r"\|")))
     header = F.endswith("context", F.lit(f"{chat_format.START}{chat_format.TRAINABLE}\n"))
     reply = F.when(header & (starts == F.col("context_turns") + 1), F.col("reply")).otherwise(F.raise_error(F.lit("a context lacks turns")))
     each = examples.select("conv_id", F.struct("example", reply.alias("reply")).alias("e"))
-    replies = F.transform(F.array_sort(F.collect_list("e")), lambda e: chat_format.unescape(e["reply"]))
-    return each.groupBy("conv_id").agg(F.array_join(replies, "").alias("loss"))
+    loss = F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: chat_format.unescape(e["reply"])), "")
+    return each.groupBy("conv_id").agg(loss.alias("loss")).select("conv_id", F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"))
 
 
 def conversation_digest(formatted: DataFrame) -> DataFrame:
+    # both sides are digests when they meet, so no text is moved again
     trained = losses(chat_format.expand_targets(formatted)).withColumnRenamed("conv_id", "of")
-    loss = F.coalesce("loss", F.lit(""))
-    back = chat_format.read_back(formatted).join(trained, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select(
+    back = chat_format.read_back(formatted).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"), "formatted_chars"
+    )
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return back.join(trained, F.col("conv_id").eqNullSafe(F.col("of")), "left").select(
         "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        "n_turns",
+        "turns_sha256",
+        F.coalesce("loss_chars", F.lit(0).cast("long")).alias("loss_chars"),
+        F.coalesce("loss_sha256", nothing).alias("loss_sha256"),
         "formatted_chars",
     )
 

@@ -35,3 +35,23 @@ def test_odd_rows_pass_through_every_stage(spark):
         some = stage(spark, docs, DATA)
         assert some.count() <= 3 * len(rows), name
         assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
+def test_of_rows_with_one_id_the_least_stays(spark):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    rows = [(3, t, lang, None, 0) for t, lang in (("zzz", "en"), ("mmm", "en"), ("aaa", "fr"), ("aaa", "en"))] + [(None, "aaa", "en", None, 0)]
+    for some in (rows, rows[::-1]):
+        kept = stage(spark, spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long"), DATA).collect()
+        assert sorted((r.doc_id or 0, r.text, r.lang) for r in kept) == [(0, "aaa", "en"), (3, "aaa", "en")]
+
+
+def test_a_run_leaves_its_last_stage_alone(spark):
+    from pathlib import Path
+
+    from talewind.llm.common import shared_folder
+
+    packed = corpus_pipeline.run(spark, DATA)
+    assert packed.filter("piece = 0").count() > 0
+    folder = Path(packed.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert str(folder).startswith(shared_folder(spark).removeprefix("file:").replace("//", "/")) or folder.name.startswith("pipeline-")
+    assert [x.name for x in folder.iterdir()] == ["packing"]
