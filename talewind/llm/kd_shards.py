@@ -26,7 +26,8 @@ _DIGEST_BITS = 31
 _SPAN = 1 << 62
 #: A cut is good enough when the bin that holds it weighs under this share of a shard.
 _TOLERANCE = 1e-3
-_BLOCKS = 256
+#: Rows of a shard that one task numbers.
+_BLOCK_ROWS = 20_000
 
 
 @dataclass
@@ -165,7 +166,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, dimensions: Mapping[str, C
 
 def with_slots(placed: DataFrame) -> DataFrame:
     """Gapless slots from 0 in each shard: rows are numbered inside hashed blocks, after the rows of earlier blocks."""
-    placed = durable(placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "group"), F.lit(_BLOCKS)).cast("int")))
+    placed = durable(placed)
+    blocks = -(-(placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 1) // _BLOCK_ROWS)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "group"), F.lit(blocks)).cast("int"))
     earlier = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     first = placed.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("first"))
     inside = W.partitionBy("shard", "block").orderBy("doc_id", "group")

@@ -32,8 +32,8 @@ COORDINATES = 32
 SHORT = 12
 #: Pivots that all members of a longer list meet first.
 PIVOTS = 3
-#: Members of a list in one chunk; a task compares two.
-CHUNK = 1024
+#: Members of a list in one chunk, and shingles of them all on average; a task compares two chunks.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = np.arange(1, COORDINATES + 1, dtype=np.uint64) * _MIX[0]
 
@@ -141,9 +141,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
 
 
 def joined_lists(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of component ids that links join; ``members`` (token, id, c) are long lists of several components."""
+    """Pairs (a, b) of component ids that links join; ``members`` (token, id, c, size) are long lists of several components."""
     percent = round(similarity * 100)
-    chunks = members.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = members.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     lists = members.groupBy("id").agg(F.collect_list("token").alias("lists"))  # at most a prefix each
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     tile = F.transform(
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     reached = durable(components(linked))
     apart = long_.join(reached.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c"))
     mixed = apart.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
-    more = durable(joined_lists(durable(apart.join(mixed, "token")), docs, words, similarity))
+    more = durable(joined_lists(durable(apart.join(mixed, "token").join(known.select("id", "size"), "id")), docs, words, similarity))
     classes = components(linked.unionByName(more).unionByName(same.select("a", "b"))).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
     out = rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

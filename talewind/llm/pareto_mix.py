@@ -17,8 +17,9 @@ from .common import durable, word_count
 
 MOST = 3
 SEED = "mix"
-#: Steps of the order in which words are summed first; only the speed depends on it.
-_BINS = 4096
+#: Words are summed over steps of the order first: about so many rows in one, at least so many steps. Only the speed depends
+#: on them.
+_STEP_ROWS, _LEAST_STEPS = 10_000, 1024
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -95,7 +96,8 @@ def mix(docs: DataFrame, kept: tuple[str, ...] = ()) -> DataFrame:
     odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
     drawn = drawn.withColumn("order", F.when(F.col("chance") > 0, odds))
     # bins by the logarithm, so that words before a document are summed over bins first and inside its bin then
-    bin_ = F.least(F.greatest(F.floor((F.log("order") + 40) / 80 * _BINS), F.lit(0)), F.lit(_BINS - 1)).cast("int")
+    steps = max(_LEAST_STEPS, -(-sizes.count() // _STEP_ROWS))
+    bin_ = F.least(F.greatest(F.floor((F.log("order") + 40) / 80 * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
     drawn = durable(drawn.withColumn("bin", F.when(F.col("chance") > 0, bin_)))
     open_words = drawn.groupBy("source").agg((F.max("target") - F.sum(F.col("certain") * F.col("size"))).alias("open"))
     earlier = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
