@@ -104,7 +104,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     their own in the counts; an empty table gives none; other columns are ignored. ``cosine`` must be over 0.
     """
     rows = vectors.select("vec_id", "embedding", (usable("embedding") & F.col("vec_id").isNotNull()).alias("ok"))
-    groups = durable(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    groups = durable(rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.monotonically_increasing_id()))  # two vectors may share an id, not a key
 
     def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -112,10 +112,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
                 turned = unit(list(same.embedding))[1] @ rotation(dims)
                 for block, (start, most) in enumerate(zip(block_edges(dims), budgets(dims, cosine), strict=False)):
                     cell = np.floor(turned[:, start] / np.sqrt(most)).astype(np.int32)
-                    yield same.assign(dims=dims, block=block, cell=cell)[["rep", "copies", "embedding", "dims", "block", "cell"]]
+                    yield same.assign(dims=dims, block=block, cell=cell)[["key", "copies", "embedding", "dims", "block", "cell"]]
 
-    schema = f"rep long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, dims int, block int, cell int"
-    cells = groups.mapInPandas(placed, schema)
+    schema = f"key long, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}, dims int, block int, cell int"
+    cells = groups.select("key", "copies", "embedding").mapInPandas(placed, schema)
     # a cell is as wide as its block's radius and vectors have length 1: a few cells for each block
     counts = {(r.dims, r.block, r.cell): r["count"] for r in cells.groupBy("dims", "block", "cell").count().collect()}
     chunks = {k: -(-n // CHUNK) for k, n in counts.items()}
@@ -126,36 +126,39 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
             out = []
             for (dims, block, cell), of in part.groupby(["dims", "block", "cell"]):
                 own, after, before = chunks[dims, block, cell], chunks.get((dims, block, cell + 1), 0), chunks.get((dims, block, cell - 1), 0)
-                mine = (of.rep.to_numpy() % 0x7FFFFFFF * 0x9E3779B1 >> 7) % own
+                mine = (of.key.to_numpy() % 0x7FFFFFFF * 0x9E3779B1 >> 7) % own
                 for chunk, some in of.groupby(mine):
                     tiles = [(cell, 0, chunk, j, 0) for j in range(chunk, own)] + [(cell, 0, i, chunk, 1) for i in range(chunk)]
                     tiles += [(cell, 1, p, chunk, 1) for p in range(before)] + [(cell + 1, 1, chunk, j, 0) for j in range(after)]
                     out += [some.assign(cell=c, kind=k, i=i, j=j, side=side) for c, k, i, j, side in tiles]
             if out:
-                yield pd.concat(out)[["rep", "copies", "embedding", "dims", "block", "cell", "kind", "i", "j", "side"]]
+                yield pd.concat(out)[["key", "copies", "embedding", "dims", "block", "cell", "kind", "i", "j", "side"]]
 
     tiles = cells.mapInPandas(met, schema + ", kind int, i int, j int, side int")
 
     def joined(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         _, block, _, kind, i, j = (int(x) for x in key)
-        part = part.sort_values("rep", kind="stable").drop_duplicates(["rep", "side"])
+        part = part.sort_values("key", kind="stable")
         left, right = part[part.side == 0], part[part.side == 1]
         same = kind == 0 and i == j
         if same:
             right = left
         if left.empty or right.empty:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({"key": [], "links": [], "root": []}).astype("int64")
         one, two = np.stack(list(left.embedding)), np.stack(list(right.embedding))
         n_left, n_right, root = compare(one, two, left.copies.to_numpy(), right.copies.to_numpy(), block, cosine, same)
-        ids = left.rep.to_numpy() if same else np.concatenate([left.rep.to_numpy(), right.rep.to_numpy()])
+        ids = left.key.to_numpy() if same else np.concatenate([left.key.to_numpy(), right.key.to_numpy()])
         links = n_left + n_right if same else np.concatenate([n_left, n_right])
         some = links > 0
-        return pd.DataFrame({"rep": ids[some], "links": links[some], "root": ids[root[some]]})
-
-    found = durable(tiles.groupBy("dims", "block", "cell", "kind", "i", "j").applyInPandas(joined, "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reached = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    classes = groups.join(links, "rep", "left").join(reached, "rep", "left").select(
+        return pd.DataFrame({"key": ids[some], "links": links[some], "root": ids[root[some]]})
+
+    found = durable(tiles.groupBy("dims", "block", "cell", "kind", "i", "j").applyInPandas(joined, "key long, links long, root long"))
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    names = groups.select("key", "rep")
+    ends = found.filter("key <> root").select("key", "root").distinct().join(names.withColumnRenamed("rep", "a"), "key")
+    ends = ends.select("a", F.col("root").alias("key")).join(names.withColumnRenamed("rep", "b"), "key").select("a", "b")
+    reached = components(ends).withColumnRenamed("id", "rep")
+    classes = groups.join(links, "key", "left").join(reached, "rep", "left").select(
         "embedding",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component_id"),

@@ -101,6 +101,13 @@ def test_embedding_links_equal_brute_force(spark, dims):
     assert {r.vec_id: r.n_links for r in got} == {r[0]: sum(r[0] in p for p in links) for r in rows}
 
 
+def test_one_id_on_two_vectors_keeps_both(spark):
+    rows = [(1, [1.0, 0.0], 1, "x"), (1, [0.0, 1.0], 1, "x"), (2, [1.0, 0.1], 1, "x"), (3, [0.1, 1.0], 1, "x"), (3, [0.1, 1.0], 1, "x")]
+    got = pigeonhole_join.near_duplicates(spark.createDataFrame(rows, VECTORS), 0.9).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, 1), (1, 2), (2, 1), (3, 2), (3, 2)]
+    assert {r.component_id for r in got} == {1}
+
+
 def test_embedding_links_of_an_empty_table(spark):
     assert pigeonhole_join.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
