@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType
 
 # White space and the punctuation that a comparison of lines ignores.
-_IGNORED = r"[\s,.!?;:，。！？；：、…~～\"'“”‘’（）()《》<>\-—]"
+_IGNORED = r"[\s，。！？、；：,.!?;:~～…—\-（）()【】\[\]「」『』\"'“”‘’]"
 # Names that stand in a group list without being groups.
 RESERVED_GROUPS = ("待确认", "KP", "PC", "NPC", "BOSS", "")
 
@@ -24,6 +24,11 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, _IGNORED, "")
 
 
+def squeezed_plain(text: str) -> str:
+    """:func:`squeezed` of a plain string."""
+    return re.sub(_IGNORED, "", text)
+
+
 def real_groups(groups: Column) -> Column:
     """The entries of a group array that name groups; a null array is empty."""
     return F.filter(F.coalesce(groups, F.expr("CAST(array() AS array<string>)")), lambda g: F.coalesce(~g.isin(*RESERVED_GROUPS), F.lit(False)))
@@ -68,6 +73,19 @@ def attributes(text: Column) -> Column:
     return F.map_from_entries(F.filter(last, lambda p: (p["key"] != "") & (F.size(p["value"]) > 0)))
 
 
+def minutes(seconds: Column) -> Column:
+    """Seconds as ``m:ss``."""
+    s = F.floor(seconds).cast("long")
+    return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+@F.pandas_udf(StringType())
+def stamp(seconds: pd.Series) -> pd.Series:
+    """Seconds with two decimals, seven characters wide, rounded as the exact binary value is; Spark's format rounds its
+    shortest decimal form, which differs at ties."""
+    return pd.Series([None if pd.isna(x) else f"{x:07.2f}" for x in seconds], dtype=object)
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two texts (null: empty); Spark has distances only."""

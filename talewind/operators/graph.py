@@ -78,10 +78,46 @@ def breadth_first(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def discovery(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """root, id, dist, parent: as :func:`breadth_first`, with who led to whom: of the nodes one step nearer the one that was
+    itself found first, by its own chain of finders and then by id."""
+    steps = oriented(edges).select("id", "other").distinct()
+    new = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("dist"), F.lit(None).cast("string").alias("parent"), F.expr("CAST(array() AS array<string>)").alias("chain"))
+    seen = new
+    for d in range(1, depth + 1):
+        led = new.join(steps, "id").select("root", F.col("other").alias("id"), F.col("id").alias("parent"), F.array_append("chain", F.col("id")).alias("chain"))
+        first = led.groupBy("root", "id").agg(F.min("chain").alias("chain")).join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        new = first.select("root", "id", F.lit(d).alias("dist"), F.element_at("chain", -1).alias("parent"), "chain")
+        seen = seen.unionByName(new)
+    return seen.drop("chain")
+
+
+def level_edges(edges: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """root, dist, edges: how many edges each step of a search (root, id, dist) looks at."""
+    looked = found.filter(F.col("dist") < depth).join(oriented(edges).select("id", "other"), "id")
+    return looked.groupBy("root", (F.col("dist") + 1).alias("dist")).agg(F.count("*").alias("edges"))
+
+
+def ego_groups(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, grp, n, own: in which groups a root's neighbours are, and whether the root is."""
+    near = roots.join(oriented(edges).select(F.col("id").alias("root"), "other").distinct(), "root")
+    each = near.join(nodes.select(F.col("id").alias("other"), F.explode("groups").alias("grp")), "other").groupBy("root", "grp").agg(F.count("*").alias("n"))
+    own = nodes.select(F.col("id").alias("root"), F.explode("groups").alias("grp"), F.lit(True).alias("own"))
+    return each.join(own, ["root", "grp"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+
+
 def common_contacts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, common: neighbours that both ends of the given pairs have."""
+    """a, b, common: neighbours that both ends of the given pairs have.
+
+    A pair is extended from its end with fewer neighbours, and what is met is looked up at the other end, so a hub's
+    neighbours aren't spread for each of its pairs.
+    """
     steps = oriented(edges).select("id", "other").distinct()
-    met = pairs.join(steps.select(F.col("id").alias("a"), "other"), "a").join(steps.select(F.col("id").alias("b"), "other"), ["b", "other"])
+    many = steps.groupBy("id").agg(F.count("*").alias("n"))
+    sized = pairs.join(many.withColumnsRenamed({"id": "a", "n": "n_a"}), "a").join(many.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
+    from_a = F.col("n_a") <= F.col("n_b")
+    turned = sized.select("a", "b", F.when(from_a, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(from_a, F.col("b")).otherwise(F.col("a")).alias("to"))
+    met = turned.join(steps, "id").join(steps.withColumnRenamed("id", "to"), ["to", "other"], "left_semi")
     return met.groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
@@ -90,8 +126,8 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
     stood, the later moved beats the earlier."""
     names = merges.select("src_id", "dst_id")
     moved = (
-        edges.join(F.broadcast(names.withColumnsRenamed({"src_id": "src", "dst_id": "new_src"})), "src", "left")
-        .join(F.broadcast(names.withColumnsRenamed({"src_id": "dst", "dst_id": "new_dst"})), "dst", "left")
+        edges.join(names.withColumnsRenamed({"src_id": "src", "dst_id": "new_src"}), "src", "left")
+        .join(names.withColumnsRenamed({"src_id": "dst", "dst_id": "new_dst"}), "dst", "left")
         .select(
             F.coalesce("new_src", "src").alias("src"), F.coalesce("new_dst", "dst").alias("dst"), "type", "strength", "event_ord",
             (F.col("new_src").isNotNull() | F.col("new_dst").isNotNull()).alias("moved"), F.col("src").alias("old_src"), F.col("dst").alias("old_dst"),
@@ -102,6 +138,33 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return kept.withColumn("rank", rank).filter("rank = 1").select("src", "dst", "type", "strength", "event_ord", "moved")
 
 
+def merge_records(nodes: DataFrame, merges: DataFrame, texts: tuple[str, ...] = ("note",), inherited: tuple[str, ...] = ("played_by",)) -> DataFrame:
+    """``nodes`` (id, name, aliases, groups, tags, ``texts``, ``inherited``) after ``merges`` (src_id, dst_id), with merged_from.
+
+    The other's name and aliases become aliases, groups and tags are united; a text that neither holds the other is appended
+    with its origin; inherited fields fill what is empty; what was merged is gone. Several into one: in the order of their ids.
+    """
+    none = F.expr("CAST(array() AS array<string>)")
+    gone = nodes.withColumnRenamed("id", "src_id").join(merges, "src_id")
+    parts = gone.groupBy("dst_id").agg(F.array_sort(F.collect_list(F.struct("src_id", "name", "aliases", "groups", "tags", *texts, *inherited))).alias("parts"))
+    kept = nodes.join(merges.select(F.col("src_id").alias("id")), "id", "left_anti").join(parts.withColumnRenamed("dst_id", "id"), "id", "left").withColumn("parts", F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType)))
+    united = lambda old, field: F.array_distinct(F.concat(F.coalesce(old, none), F.flatten(F.transform("parts", lambda p: F.coalesce(p[field], none)))))
+    names = F.flatten(F.transform("parts", lambda p: F.concat(F.array(p["name"]), F.coalesce(p["aliases"], none))))
+    aliases = F.concat(F.coalesce("aliases", none), F.array_distinct(F.array_except(F.filter(names, lambda x: (x != "") & (x != F.col("name"))), F.coalesce("aliases", none))))
+
+    def joined(c: str) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            more = F.trim(F.coalesce(p[c], F.lit("")))
+            held = (more == "") | F.contains(acc, more) | ((acc != "") & F.contains(more, acc))
+            return F.when(acc == "", more).when(held, acc).otherwise(F.concat(acc, F.lit("\n\n("), p["name"], F.lit(")\n"), more))
+
+        return F.aggregate("parts", F.trim(F.coalesce(c, F.lit(""))), step)
+
+    filled = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.try_element_at(F.filter(F.transform("parts", lambda p: F.nullif(F.trim(p[c]), F.lit(""))), lambda x: x.isNotNull()), F.lit(1)))
+    new = {"aliases": aliases, "groups": united(F.col("groups"), "groups"), "tags": united(F.col("tags"), "tags"), **{c: joined(c) for c in texts}, **{c: filled(c) for c in inherited}}
+    return kept.select("id", "name", *[v.alias(k) for k, v in new.items()], F.transform("parts", lambda p: p["src_id"]).alias("merged_from"))
+
+
 def kind(tag: Column) -> Column:
     """KP before BOSS before PC before NPC."""
     return F.when(tag == "KP", "kp").when(tag == "BOSS", "boss").when(tag == "PC", "pc").otherwise("npc")

@@ -57,3 +57,27 @@ def replay(nodes: DataFrame, ops: DataFrame) -> DataFrame:
     last = alive.filter("op = 'set'").join(made, "id").filter("seq >= made").groupBy("id", "dim").agg(F.max_by("value", "seq").alias("value"))
     attrs = last.filter("value IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", "value")))).alias("attrs"))
     return made.select("id").join(attrs, "id", "left").withColumn("attrs", F.coalesce("attrs", F.expr("CAST(map() AS map<string,string>)")))
+
+
+def replay_edges(edges: DataFrame, ops: DataFrame, alive: DataFrame, deletions: DataFrame) -> DataFrame:
+    """src, dst, type, strength after ``ops`` (seq, op, src, dst, type, new_type, strength) in order: ``create``, ``update`` (a
+    null keeps what is there), ``delete``. ``edges`` has src, dst, type, strength; ``alive`` the ids that exist in the end,
+    ``deletions`` (id, seq) when nodes were deleted, which takes their edges then.
+
+    A relation is known by its ends and the type it came with, as operations name it; of each the operations are combined
+    before anything meets: those before its last deletion, or that of an end, don't count, and of the others the last values do.
+    """
+    stored = edges.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "src", "dst", "type", F.lit(None).cast("string").alias("new_type"), "strength")
+    log = stored.unionByName(ops.select(F.col("seq").cast("long").alias("seq"), "op", "src", "dst", "type", "new_type", "strength"))
+    ends = lambda side: deletions.groupBy(F.col("id").alias(side)).agg(F.max("seq").alias(f"{side}_gone"))
+    known = log.join(ends("src"), "src", "left").join(ends("dst"), "dst", "left")
+    late = known.filter(F.col("seq") > F.greatest(F.coalesce("src_gone", F.lit(-2)), F.coalesce("dst_gone", F.lit(-2))))
+    key = ("src", "dst", "type")
+    gone = late.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))), F.lit(-2)).alias("gone"))
+    open_ = late.join(gone, list(key)).filter("seq > gone")
+    made = open_.groupBy(*key).agg(F.min(F.when(F.col("op") == "create", F.col("seq"))).alias("made")).filter("made IS NOT NULL")
+    valid = open_.join(made, list(key)).filter("seq >= made AND (op <> 'create' OR seq = made)")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    values = valid.groupBy(*key).agg(last("new_type").alias("new_type"), last("strength").alias("strength"))
+    ids = lambda side: alive.select(F.col("id").alias(side)).distinct()
+    return values.join(ids("src"), "src", "left_semi").join(ids("dst"), "dst", "left_semi").select("src", "dst", F.coalesce("new_type", "type").alias("type"), "strength")

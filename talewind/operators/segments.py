@@ -1,12 +1,15 @@
-"""Cutting ordered streams into segments; the recurrences that no window frame says run per key in a bounded fold."""
+"""Cutting ordered streams into segments; the recurrences that no window frame says run as a fold over sorted rows."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 
 def drop_repeats(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -31,51 +34,103 @@ def carried(rows: DataFrame, key: str, order: list[str], value: str) -> DataFram
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(frame))
 
 
+def folded(rows: DataFrame, key: str, order: list[str], needs: list[str], field: StructField, start: Callable[[], list], step: Callable) -> DataFrame:
+    """``rows`` with ``field``: what ``step(state, *needs)`` returns for each row of a key in order, with a state of its own.
+
+    Rows are dealt by key, sorted by Spark (which spills) and read in batches; only the state is carried from one batch to the
+    next, so a key of any size runs in bounded memory.
+    """
+    kind = to_arrow_type(field.dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            out = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *needs)), strict=True):
+                if k != last:
+                    last, state = k, start()
+                out.append(step(state, *values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, field.name])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, StructType([*rows.schema.fields, field]))
+
+
 def bin_consecutive(counts: DataFrame, key: str, order: str, n: str, most: int) -> DataFrame:
     """``counts`` with bin: consecutive rows of a key share a bin while their sum stays within ``most``; a row above it
-    stands alone. A key's rows are its dates, so a fold over their array holds few."""
-    rows = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(n)))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("bin"), F.expr("CAST(array() AS array<int>)").alias("bins"))
+    stands alone."""
+
+    def step(state: list, size: int) -> int:
+        if state[1] and state[1] + size > most:
+            state[0], state[1] = state[0] + 1, 0
+        state[1] += size
+        return state[0]
+
+    rows = counts.select(key, order, n)
+    return folded(rows, key, [order], [n], StructField("bin", IntegerType()), lambda: [0, 0], step)
+
+
+def date_segments(counts: DataFrame, key: str, order: str, n: str, merge: int, most: int) -> DataFrame:
+    """key, order, segment, from_line, n: consecutive rows (dates with their numbers of lines) share a segment while their sum
+    stays within ``merge`` and ``most`` (merge 0: none do); a segment above ``most`` is cut, and its rest goes on absorbing."""
+    limit = min(merge, most)
 
-    def step(acc, row):
-        size = row[n].cast("long")
-        fits = (acc["sum"] + size <= most) | (acc["sum"] == 0)
-        bin_ = F.when(fits, acc["bin"]).otherwise(acc["bin"] + 1)
-        return F.struct(F.when(fits, acc["sum"] + size).otherwise(size).alias("sum"), bin_.alias("bin"), F.concat(acc["bins"], F.array(bin_)).alias("bins"))
+    def step(state: list, size: int) -> list[dict]:
+        at = 1
+        out = []
+        if state[1] and state[1] + size > limit:
+            state[0], state[1] = state[0] + 1, 0
+        while state[1] + size > most:
+            part = most - state[1]
+            out.append({"segment": state[0], "from_line": at, "n": part})
+            state[0], state[1], size, at = state[0] + 1, 0, size - part, at + part
+        state[1] += size
+        out.append({"segment": state[0], "from_line": at, "n": size})
+        return out
 
-    bins = F.aggregate("rows", start, step, lambda acc: acc["bins"])
-    return rows.select(key, F.explode(F.arrays_zip("rows", bins.alias("bin"))).alias("r")).select(key, f"r.rows.{order}", f"r.rows.{n}", "r.bin")
+    piece = StructType([StructField("segment", IntegerType()), StructField("from_line", LongType()), StructField("n", LongType())])
+    cut = folded(counts.filter(F.col(n) > 0).select(key, order, n), key, [order], [n], StructField("pieces", ArrayType(piece)), lambda: [0, 0], step)
+    return cut.select(key, order, F.explode("pieces").alias("p")).select(key, order, "p.*")
 
 
 def batches(rows: DataFrame, key: str, start: str, end: str, cap: float, span: float, gap: float) -> DataFrame:
     """``rows`` (key, start, end) with batch: a row opens a new one when speech would exceed ``cap``, the time from the
-    batch's start to the row's end ``span``, or the silence before it ``gap``. Sequential by nature: one key's rows at a time."""
+    batch's start to the row's end ``span``, or the silence before it ``gap``."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([start, end], kind="stable")
-        out, batch, first, last, speech = [], -1, 0.0, 0.0, 0.0
-        for s, e in zip(part[start], part[end], strict=True):
-            if batch < 0 or speech + (e - s) > cap or e - first > span or s - last > gap:
-                batch, first, speech = batch + 1, s, 0.0
-            speech, last = speech + (e - s), e
-            out.append(batch)
-        return part.assign(batch=out)
+    def step(state: list, s: float, e: float) -> int:
+        batch, first, last, speech = state
+        if batch < 0 or speech + (e - s) > cap or e - first > span or s - last > gap:
+            batch, first, speech = batch + 1, s, 0.0
+        state[:] = batch, first, e, speech + (e - s)
+        return batch
 
-    schema = StructType([*rows.schema.fields, StructField("batch", IntegerType())])
-    return rows.groupBy(key).applyInPandas(fold, schema)
+    return folded(rows, key, [start, end], [start, end], StructField("batch", IntegerType()), lambda: [-1, 0.0, 0.0, 0.0], step)
 
 
 def accepted_hits(hits: DataFrame, key: str, ts: str, order: str, window_s: float, limit: int) -> DataFrame:
     """``hits`` with accepted: a hit is refused if ``limit`` accepted ones lie within the last ``window_s`` seconds."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([ts, order], kind="stable")
-        recent, out = [], []
-        for t in part[ts]:
-            recent = [x for x in recent if t - x < window_s]
-            out.append(len(recent) < limit)
-            if out[-1]:
-                recent.append(t)
-        return part.assign(accepted=out)
-
-    return hits.groupBy(key).applyInPandas(fold, StructType([*hits.schema.fields, StructField("accepted", BooleanType())]))
+    def step(recent: list, t: float) -> bool:
+        recent[:] = [x for x in recent if t - x < window_s]
+        if len(recent) < limit:
+            recent.append(t)
+            return True
+        return False
+
+    return folded(hits, key, [ts, order], [ts], StructField("accepted", BooleanType()), list, step)
+
+
+def joined_timeline(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """file_ord, no, start_s, end_s, body, shifted: lines on one time axis. ``lines`` (file_ord, no, start_s, end_s, body; no times
+    where a line has no stamp), ``files`` (file_ord) all files.
+
+    A timed file begins where the timed files before it end (the end of their last stamped lines); its lines without a stamp
+    are left out. A file without any stamp keeps its lines. Offsets are summed over blocks of files first.
+    """
+    ends = lines.filter("start_s IS NOT NULL").groupBy("file_ord").agg(F.max_by("end_s", "no").alias("last_end"))
+    blocked = files.select("file_ord").distinct().join(ends, "file_ord", "left").withColumn("block", F.expr("file_ord div 1024"))
+    before = lambda w: F.coalesce(F.sum("last_end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    blocks = blocked.groupBy("block").agg(F.sum("last_end").alias("last_end")).select("block", before(W.partitionBy(F.lit(1)).orderBy("block")).alias("block_at"))
+    offsets = blocked.withColumn("inside", before(W.partitionBy("block").orderBy("file_ord"))).join(blocks, "block")
+    offsets = offsets.select("file_ord", F.col("last_end").isNotNull().alias("timed"), (F.col("block_at") + F.col("inside")).alias("offset"))
+    placed = lines.join(offsets, "file_ord").filter(~F.col("timed") | F.col("start_s").isNotNull())
+    return placed.select("file_ord", "no", (F.col("start_s") + F.col("offset")).alias("start_s"), (F.col("end_s") + F.col("offset")).alias("end_s"), "body", (F.col("timed") & (F.col("offset") > 0)).alias("shifted"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import search
 from ..operators import segments as seg
+from ..operators.names import normalized
 from ..sources.tables import table
 
 Q, S = {}, {}
@@ -52,7 +54,8 @@ def repeat_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def prompt_leak(spark: SparkSession, d: str) -> DataFrame:
     passages = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, d, "documents").join(passages, F.contains(F.col("text"), F.col("passage"))).select("doc_id", "item_id").distinct()
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return search.holding(docs, "text", passages, "passage").select("doc_id", "item_id").distinct()
 
 
 @query(_LINES + """SELECT doc_id, no // 20 AS chunk, count(*) AS n, 'L' || (min(no) + 1) || '-' || (max(no) + 1) AS label FROM lines GROUP BY ALL""")
@@ -173,13 +176,10 @@ _ALIASES = [("ring", "R"), ("small", "S"), ("in", "I"), ("steel ring", "SR"), ("
 
 @query("""WITH a(alias, canon, ord) AS (VALUES """ + ", ".join(f"('{a}', '{c}', {i})" for i, (a, c) in enumerate(_ALIASES)) + """), p AS (SELECT DISTINCT p_name AS s FROM part)
 , m AS (SELECT s, arg_min(canon, CASE WHEN trim(s) = alias THEN -1 ELSE ord END) AS canon FROM p JOIN a ON contains(s, alias) GROUP BY s)
-SELECT s AS raw, coalesce(canon, trim(s)) AS canon, coalesce(canon, trim(s)) <> s AS changed FROM p LEFT JOIN m USING (s)""")
+SELECT s AS raw, coalesce(canon, trim(s)) AS canon, coalesce(canon, trim(s)) <> trim(s) AS changed FROM p LEFT JOIN m USING (s)""")
 def alias_normalize(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("raw")
-    exact = [F.when(F.trim(s) == a, c) for a, c in _ALIASES]
-    part_of = [F.when(F.contains(s, F.lit(a)), c) for a, c in _ALIASES]
-    names = table(spark, d, "part").select(F.col("p_name").alias("raw")).distinct()
-    return names.withColumn("canon", F.coalesce(*exact, *part_of, F.trim(s))).withColumn("changed", F.col("canon") != s)
+    aliases = spark.createDataFrame([(a, c, i) for i, (a, c) in enumerate(_ALIASES)], "alias string, canonical string, ord int")
+    return normalized(table(spark, d, "part").select(F.col("p_name").alias("raw")).distinct(), "raw", aliases)
 
 
 @query("""SELECT coalesce(m.c, 'other') AS canon, event_type AS type_raw, count(*) AS n, count(*) * 100 // sum(count(*)) OVER () AS percent
@@ -197,7 +197,11 @@ def rate_limit_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.count("*").over(day).alias("hits")).withColumn("refused", F.col("hits") > 8)
 
 
-@query(None)  # a recurrence over accepted hits; the tests hold it against a plain model
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS k FROM events)
+, f AS (SELECT user_id, event_id, k, true AS accepted, [s] AS recent FROM o WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, len(r) < 8, CASE WHEN len(r) < 8 THEN list_append(r, s) ELSE r END
+  FROM (SELECT o.user_id, o.event_id, o.k, o.s, list_filter(f.recent, lambda x: o.s - x < 86400) AS r FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1))
+SELECT user_id, event_id, accepted FROM f""")
 def rate_limit_accepted(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "events").select("user_id", "event_id", (epoch_us("ts") / 1e6).alias("s"))
     return seg.accepted_hits(hits, "user_id", "s", "event_id", 86400, 8).select("user_id", "event_id", "accepted")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,16 +11,20 @@ from pyspark.sql import Window as W
 from ..functions.text import decoded, glob_pattern
 
 # A transcript line, a dated chat line.
-STAMPED = r"^\[\s*(\d+(?:\.\d+)?)\s*->\s*(\d+(?:\.\d+)?)\s*\]\s*(.*)$"
-DATED = r"^\[(\d{2}-\d{2}) (\d{2}:\d{2})\] ([^:]*): (.*)$"
+STAMPED = r"^\[\s*(\d+(?:\.\d+)?)\s*->\s*(\d+(?:\.\d+)?)\s*\]\s?(.*)$"
+DATED = r"^\[(\d{2}-\d{2})\s+(\d{2}:\d{2})\]\s*(.*)$"
 _EXTENSIONS = {"audio": ("mp3", "wav", "m4a", "flac", "ogg"), "image": ("png", "jpg", "jpeg", "webp", "gif"), "document": ("doc", "docx", "pdf")}
 _HEAD, _SNIFFED = 8192, 40
 
 
 def scan(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path (below ``folder``), length, content of all files below a folder but for those that a glob excludes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace(F.col("path"), rf"^.*?{folder.rstrip('/')}/", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([*?\[\]{}\\])", r"\\\1", folder))  # no glob
+    # where the folder stands in the files' addresses, whatever scheme and host come first; no regular expression, as a
+    # folder's name may hold anything
+    place = folder.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
+    at = F.instr("path", place)
+    path = F.when(at > 0, F.substr("path", at + len(place))).otherwise(F.col("path"))
     named = files.select(path.alias("path"), "length", "content")
     for glob in exclude:
         named = named.filter(~F.col("path").rlike(glob_pattern(glob)))
@@ -67,21 +73,37 @@ EXPORT = (
 
 
 def chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """chat, no, ts (UTC), kind, uid, name, text of every message; a file that isn't such an export is an error."""
+    """chat, no, ts (UTC), kind, uid, name, text of every message; a file that isn't such an export, or has no list of messages,
+    is an error."""
     read = spark.read.schema(EXPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     chat = F.coalesce("chatInfo.name", "chatInfo.groupName").alias("chat")
-    each = read.select(chat, F.posexplode("messages").alias("no", "m"))
+    messages = F.when(F.col("messages").isNull(), F.raise_error(F.lit("no list of messages"))).otherwise(F.col("messages"))
+    each = read.select(chat, F.posexplode(messages).alias("no", "m"))
     return each.select("chat", "no", F.timestamp_millis("m.timestamp").alias("ts"), F.col("m.type").alias("kind"), "m.sender.uid", "m.sender.name", F.col("m.content.text").alias("text"))
 
 
+def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a JSON document (an array of objects), none where there is no such file; a broken file is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+# What stands for a message that isn't text.
+PLACEHOLDERS = {"audio": "[语音]", "forward": "[合并转发]", "json": "[卡片消息]", "video": "[video]", "file": "[file]"}
+
+
 def message_line(kind: Column, text: Column, name: Column, ts: Column) -> Column:
     """One line of a chat log for a message: a placeholder for what isn't text, at most 100 code points of unknown kinds."""
-    body = (
-        F.when(kind.isin("text", "system", "reply"), text)
-        .when(kind.isin("audio", "video", "file", "forward", "json"), F.concat(F.lit("["), kind, F.lit("] "), F.coalesce(text, F.lit(""))))
-        .otherwise(F.substring(text, 1, 100))
-    )
-    return F.concat(F.lit("["), F.date_format(ts, "MM-dd HH:mm"), F.lit("] "), name, F.lit(": "), F.regexp_replace(body, r"\s*\n\s*", " "))
+    text, name = F.coalesce(text, F.lit("")), F.coalesce(name, F.lit("?"))
+    said = lambda body: F.concat(name, F.lit(": "), body)
+    body = F.when(kind == "system", F.concat(F.lit("[系统] "), text)).when(kind == "text", said(text)).when(kind == "reply", said(F.concat(F.lit("(回复) "), text)))
+    for k, placeholder in PLACEHOLDERS.items():
+        body = body.when(kind == k, said(F.lit(placeholder)))
+    other = said(F.concat(F.lit("("), F.coalesce(kind, F.lit("?")), F.lit(") "), F.substring(text, 1, 100)))
+    stamp = F.coalesce(F.date_format(ts, "MM-dd HH:mm"), F.lit(""))
+    return F.concat(F.lit("["), stamp, F.lit("] "), F.regexp_replace(body.otherwise(other), r"\s*\n\s*", " "))
 
 
 def write_version(frame: DataFrame, folder: str, version: int) -> None:

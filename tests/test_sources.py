@@ -58,7 +58,7 @@ def test_chat_export_and_its_lines(spark, tmp_path):
     rows = texts.chat_export(spark, str(tmp_path / "e.json"))
     assert [r.chat for r in rows.collect()] == ["G", "G"]
     line = texts.message_line(F.col("kind"), F.col("text"), F.col("name"), F.col("ts"))
-    assert [r[0] for r in rows.orderBy("no").select(line).collect()] == ["[01-17 18:00] Ann: hi there", "[01-17 18:01] Bo: [audio] "]
+    assert [r[0] for r in rows.orderBy("no").select(line).collect()] == ["[01-17 18:00] Ann: hi there", "[01-17 18:01] Bo: [语音]"]
 
 
 def test_versions_are_kept_side_by_side(spark, tmp_path):
@@ -111,3 +111,103 @@ def test_streams_equal_their_models(spark, tmp_path):
     assert kept == {0, 2, 3, 4, 5}
     hits = {r.no: r.accepted for r in _drained(streams.accepted_hits(read(), "key", "t", 600, 2), spark, tmp_path, "hits")}
     assert hits == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_sinks(spark, tmp_path):
+    from talewind.sources import sinks
+
+    place = f"{tmp_path}/p"
+    for n in (1, 2, 3, 4):
+        assert sinks.publish({"a": spark.range(n), "b": spark.range(1)}, place, keep=2) == n
+    assert sinks.published(spark, place, "a").count() == 4
+    assert sinks.published(spark, place, "a", 3).count() == 3
+    assert [x for x in sinks.names(spark, place) if "version" in x] == ["version=2", "version=3", "version=4"]
+
+    class Broken(Exception):
+        pass
+
+    bad = spark.range(3).select(F.raise_error(F.lit("dies")).alias("id"))
+    with pytest.raises(Exception, match="dies"):
+        sinks.publish({"a": spark.range(9), "b": bad}, place)
+    assert sinks.published(spark, place, "a").count() == 4  # readers still see the whole old set
+    assert sinks.publish({"a": spark.range(7), "b": spark.range(1)}, place) > 5
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, f"{tmp_path}/none", "a")
+    folder = f"{tmp_path}/out"
+    assert sinks.write_indexed(spark, folder, {"x": "1", "y": "2"})["written"] == ["x", "y"]
+    (tmp_path / "out" / "mine").write_text("by hand")
+    got = sinks.write_indexed(spark, folder, {"x": "1", "z": "3", "mine": "over"})
+    assert got == {"written": ["z"], "unchanged": ["x"], "refused": ["mine"], "removed": ["y"]}
+    assert (tmp_path / "out" / "mine").read_text() == "by hand"
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        run = sinks.append_batches(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/log", f"{tmp_path}/log_at")
+        run.awaitTermination(120)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 10
+
+
+def test_documents_that_are_missing_or_broken(spark, tmp_path):
+    assert texts.documents(spark, f"{tmp_path}/none.json", "id string").count() == 0
+    (tmp_path / "bad.json").write_text('[{"id": "a"}, {"id"')
+    with pytest.raises(Exception):
+        texts.documents(spark, f"{tmp_path}/bad.json", "id string").collect()
+    (tmp_path / "no.json").write_text('{"chatInfo": {"name": "x"}}')
+    with pytest.raises(Exception, match="no list of messages"):
+        texts.chat_export(spark, f"{tmp_path}/no.json").collect()
+
+
+def test_dates_of_system_lines_and_odd_folders(spark, tmp_path):
+    odd = tmp_path / "a+(b)[c]"
+    odd.mkdir()
+    (odd / "log.txt").write_text("[01-17 20:00] Ann: hi\n[01-18 09:30] someone joined\nmore\n", encoding="utf-8")
+    files = texts.scan(spark, str(odd)).select("path", fn.decoded("content").alias("text"))
+    assert [r.path for r in files.collect()] == ["log.txt"]
+    assert [r.day for r in texts.chat_lines(files).orderBy("no").collect()] == ["01-17", "01-18", "01-18"]
+
+
+def test_leaks_stamps_and_folds(spark):
+    from talewind.operators import search, segments
+
+    prompt = "主持人与玩家的角色扮演发言。请逐字转写, never summarize anything"
+    lines = ["主持人与玩家的角色扮演发言", "请逐字", "好的，主持人与玩家的角色扮演发言！", "never sumarize anythin", "hello there", "", None, "主持"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").orderBy("i").select(search.is_leak(F.col("t"), prompt)).collect()]
+    assert got == [True, False, True, True, False, False, False, False]
+    assert spark.range(1).select(search.is_leak(F.lit("anything"), "")).first()[0] is False
+    assert fn.squeezed_plain("【a】[b]「c」『d』《e》") == "abcd《e》"
+    assert [r[0] for r in spark.createDataFrame([(0.125,), (12.345,), (None,)], "x double").select(fn.stamp("x")).collect()] == ["0000.12", f"{12.345:07.2f}", None]
+    counts = spark.createDataFrame([("k", "d1", 3), ("k", "d2", 2), ("k", "d3", 9), ("k", "d4", 1), (None, "d1", 5)], "k string, d string, n long")
+    cut = {tuple(r) for r in segments.date_segments(counts, "k", "d", "n", 5, 4).collect()}
+    assert cut == {("k", "d1", 0, 1, 3), ("k", "d2", 1, 1, 2), ("k", "d3", 2, 1, 4), ("k", "d3", 3, 5, 4), ("k", "d3", 4, 9, 1), ("k", "d4", 4, 1, 1), (None, "d1", 0, 1, 4), (None, "d1", 1, 5, 1)}
+    alone = {(r.d, r.segment) for r in segments.date_segments(counts.filter("k = 'k'"), "k", "d", "n", 0, 100).collect()}
+    assert alone == {("d1", 0), ("d2", 1), ("d3", 2), ("d4", 3)}
+
+
+def test_one_time_axis(spark):
+    from talewind.operators import segments
+
+    rows = [(0, 0, 0.0, 2.0, "a"), (0, 1, 2.0, 9.0, "b"), (0, 2, 3.0, 5.0, "c"), (0, 3, None, None, "lost"), (1, 0, None, None, "plain"), (2, 0, 1.0, 2.0, "d")]
+    lines = spark.createDataFrame(rows, "file_ord long, no int, start_s double, end_s double, body string")
+    got = sorted((tuple(r) for r in segments.joined_timeline(lines, lines.select("file_ord")).collect()), key=lambda r: r[:2])
+    assert got == [(0, 0, 0.0, 2.0, "a", False), (0, 1, 2.0, 9.0, "b", False), (0, 2, 3.0, 5.0, "c", False), (1, 0, None, None, "plain", False), (2, 0, 6.0, 7.0, "d", True)]
+
+
+def test_nodes_merged_with_their_fields(spark):
+    from talewind.operators import graph
+
+    rows = [("a", "Ann", ["A"], ["g"], ["t"], "short", None), ("b", "Bea", ["x", "A"], ["h"], None, "other", "p"), ("c", "Cy", None, None, None, "short and more", "q"), ("d", "Di", [], [], [], None, "")]
+    nodes = spark.createDataFrame(rows, "id string, name string, aliases array<string>, groups array<string>, tags array<string>, note string, played_by string")
+    merges = spark.createDataFrame([("b", "a"), ("c", "a")], "src_id string, dst_id string")
+    got = {r.id: r for r in graph.merge_records(nodes, merges).collect()}
+    assert set(got) == {"a", "d"}
+    a = got["a"]
+    assert (a.aliases, a.groups, a.tags, a.played_by, a.merged_from) == (["A", "Bea", "x", "Cy"], ["g", "h"], ["t"], "p", ["b", "c"])
+    assert a.note == "short\n\n(Bea)\nother\n\n(Cy)\nshort and more"
+    assert (got["d"].aliases, got["d"].merged_from) == ([], [])
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [("2024-01-01 00:00:10", "k"), ("2024-01-01 00:00:50", "k"), ("2024-01-01 00:01:10", "k"), ("2024-01-01 01:00:00", "m")]
+    spark.createDataFrame(rows, "ts string, key string").select(F.to_timestamp("ts").alias("ts"), "key").coalesce(1).write.parquet(str(tmp_path / "w"))
+    stream = spark.readStream.schema("ts timestamp, key string").parquet(str(tmp_path / "w"))
+    got = {(str(r.window_start), r.key, r.n) for r in _drained(streams.windowed_counts(stream, "ts", "key", "1 minute", "10 minutes"), spark, tmp_path, "windows")}
+    assert got >= {("2024-01-01 00:00:00", "k", 2), ("2024-01-01 00:01:00", "k", 1)}
