@@ -40,6 +40,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key with more than this part of all rows is hot, so there are fewer hot keys than this.
+HOT = 512
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of ``facts`` for their key; ``n`` there is how many of the ``total`` rows have it.
+
+    Rows of hot keys stay where they lie and meet a broadcast of fewer than ``HOT`` facts; all others are dealt by key. Null
+    keys join with nothing.
+    """
+    hot = F.col("n") * HOT > total
+    there = rows.join(F.broadcast(facts.filter(hot)), key)
+    others = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti")
+    return there.unionByName(others.join(facts.filter(~hot), key))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from learning: crc32 of the id as text has remainder 2 by 4."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2

@@ -6,14 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id that links reach) for every end of ``links`` (a, b); the order of the ends is free.
 
     Every round moves links nearer to the least id of their component; the rounds end when no link changes. A node's
-    links are only joined with their minimum, never gathered. Links of a node with itself and nulls are dropped.
+    links are only joined with their minimum, never gathered; those of a hub stay dealt over all tasks. Links of a node with
+    itself and nulls are dropped.
     """
     links = durable(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -27,10 +28,11 @@ def components(links: DataFrame) -> DataFrame:
             ).groupBy("id").agg(F.min("component").alias("component"))
         seen = tuple(print_)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_counted(both, least, "a", 2 * print_[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = durable(large.distinct())
+        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, lower, "a", large.count()).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = durable(small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
 from .components import components, roots, unite
 
 COORDINATES = 32
@@ -113,7 +113,7 @@ def postings(nodes: DataFrame, least: int) -> DataFrame:
     """token, id: the prefix of each node (id, sig); tokens that one node alone has are left out."""
     each = nodes.select("id", F.posexplode("sig").alias("i", "v")).select("id", F.xxhash64("i", "v").alias("token"))
     shared = each.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    ordered = each.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    ordered = join_counted(each, shared, "token", nodes.count() * COORDINATES).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     # values that no other node has fill the first places
     left = F.lit(COORDINATES - least + 1) - (F.lit(COORDINATES) - F.size("tokens"))
     return ordered.filter(left > 0).select("id", F.explode(F.slice("tokens", F.lit(1), left)).alias("t")).select("id", F.col("t.token").alias("token"))
@@ -143,14 +143,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
 def joined_lists(members: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of component ids that links join; ``members`` (token, id, c, size) are long lists of several components."""
     percent = round(similarity * 100)
-    chunks = members.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    chunks = members.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"), F.count("*").alias("n"))
     lists = members.groupBy("id").agg(F.collect_list("token").alias("lists"))  # at most a prefix each
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     tile = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),
         lambda x: F.struct(F.least(x, F.col("chunk")).alias("i"), F.greatest(x, F.col("chunk")).alias("j"), F.when(F.col("chunk") <= x, 0).otherwise(1).alias("side")),
     )
-    placed = members.join(chunks, "token").join(lists, "id").withColumn("chunk", chunk).select("token", "id", "c", "lists", F.explode(tile).alias("t"))
+    placed = join_counted(members, chunks, "token", members.count()).join(lists, "id").withColumn("chunk", chunk).select("token", "id", "c", "lists", F.explode(tile).alias("t"))
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     rows = placed.select("token", "id", "c", "lists", "t.*").join(texts, "id")
 
@@ -207,8 +207,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     sets = inside.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     sets = durable(sets)
     lists = durable(postings(sets.select("id", "sig"), least))
-    sizes = lists.groupBy("token").agg(F.count("*").alias("members"), *[F.min_by("id", F.xxhash64(F.lit(r), "id")).alias(f"pivot{r}") for r in range(PIVOTS)])
-    sizes = sizes.filter("members > 1")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64(F.lit(r), "id")).alias(f"pivot{r}") for r in range(PIVOTS)])
+    total = lists.count()
+    sized = join_counted(lists, sizes.filter("n > 1"), "token", total)
     known = sets.select("id", "sig", "size")
     alike = lambda p: (  # noqa: E731  pairs (a, b) above the match threshold and near in size
         p.join(known.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), "a")
@@ -217,17 +218,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         .filter(matches(F.col("sig_a"), F.col("sig_b")) >= least)
         .select("a", "b")
     )
-    short = lists.join(sizes.filter(F.col("members") <= SHORT).select("token"), "token")
+    short = sized.filter(F.col("n") <= SHORT)
     met = short.select("token", F.col("id").alias("a")).join(short.select("token", F.col("id").alias("b")), "token").filter("a < b").select("a", "b")
-    long_ = lists.join(sizes.filter(F.col("members") > SHORT), "token")
+    long_ = sized.filter(F.col("n") > SHORT)
     stars = long_.select(F.explode(F.array(*[f"pivot{r}" for r in range(PIVOTS)])).alias("a"), F.col("id").alias("b")).filter("a <> b")
     linked = durable(confirmed(durable(alike(met.unionByName(stars).distinct())), docs, words, similarity))
     # two rows may carry one id with different sets: the id joins them
     same = inside.join(sets.select("digest", "id"), "digest").filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     reached = durable(components(linked))
     apart = long_.join(reached.withColumnRenamed("component", "c"), "id", "left").select("token", "id", F.coalesce("c", "id").alias("c"))
-    mixed = apart.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("token")
-    more = durable(joined_lists(durable(apart.join(mixed, "token").join(known.select("id", "size"), "id")), docs, words, similarity))
+    mixed = apart.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("n")).filter("least <> most").select("token", "n")
+    more = durable(joined_lists(durable(join_counted(apart, mixed, "token", total).select("token", "id", "c").join(known.select("id", "size"), "id")), docs, words, similarity))
     classes = components(linked.unionByName(more).unionByName(same.select("a", "b"))).withColumnsRenamed({"id": "doc_id", "component": "component_id"})
     out = rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left")
     return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

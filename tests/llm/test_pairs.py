@@ -5,8 +5,10 @@ import random
 import numpy as np
 import pytest
 from oracle import DATA, assert_same
+from pyspark.sql import functions as F
 
 from talewind.llm import minhash_join, pigeonhole_join, prefix_forest
+from talewind.llm.common import join_counted
 from talewind.llm.components import components
 from talewind.llm.queries import QUERIES, SQL
 
@@ -72,6 +74,22 @@ def test_near_duplicates_of_an_empty_table_and_of_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1)]
 
 
+@pytest.mark.parametrize("hub", [0, 10**6])
+def test_components_of_hubs(spark, hub):
+    """One end of nearly all links, the least or the greatest id; it joins several stars."""
+    links = spark.range(1, 3001).selectExpr(f"CAST({hub} AS long) AS a", "id AS b").union(spark.createDataFrame([(5000, 5001), (5001, 7), (6001, 6002)], "a long, b long"))
+    got = {r.id: r.component for r in components(links).collect()}
+    least = min(hub, 1)
+    assert got == {**dict.fromkeys([hub, *range(1, 3001), 5000, 5001], least), 6001: 6001, 6002: 6001}
+
+
+def test_join_by_counted_keys_equals_a_plain_join(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 3000), (2, 900), (3, 1), (None, 2), (4, 2)) for i in range(n)], "k int, i int")
+    facts = rows.filter("k <> 4").groupBy("k").agg(F.count("*").alias("n"))
+    joined = join_counted(rows, facts, "k", rows.count())
+    assert sorted(joined.collect()) == sorted(rows.join(facts, "k").collect())
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
