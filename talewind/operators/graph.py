@@ -39,13 +39,12 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per group: nodes, inner edges, edges for each node, nodes without an inner edge."""
     of = nodes.select("id", F.explode("groups").alias("grp"))
     inner = edges.join(of.withColumnsRenamed({"id": "src"}), "src").join(of.select(F.col("id").alias("dst"), "grp"), ["dst", "grp"])
-    linked = inner.select("grp", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    counts = of.join(linked.withColumn("linked", F.lit(1)), ["grp", "id"], "left").groupBy("grp").agg(
-        F.count("*").alias("n_nodes"), F.count(F.when(F.col("linked").isNull(), 1)).alias("n_isolated")
-    )
-    return counts.join(inner.groupBy("grp").agg(F.count("*").alias("n_edges")), "grp", "left").select(
-        "grp", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), (F.coalesce("n_edges", F.lit(0)) / F.greatest("n_nodes", F.lit(1))).alias("density"), "n_isolated"
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("leaves")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("leaves")))
+    linked = inner.select("grp", F.explode(ends).alias("e")).groupBy("grp", "e.id").agg(F.sum("e.leaves").alias("leaves"))
+    counts = of.join(linked, ["grp", "id"], "left").groupBy("grp").agg(
+        F.count("*").alias("n_nodes"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("n_edges"), F.count(F.when(F.col("leaves").isNull(), 1)).alias("n_isolated")
     )
+    return counts.select("grp", "n_nodes", "n_edges", (F.col("n_edges") / F.greatest("n_nodes", F.lit(1))).alias("density"), "n_isolated")
 
 
 def neighbour_stats(nodes: DataFrame, edges: DataFrame, strong: int = 3) -> DataFrame:

@@ -47,22 +47,23 @@ def patch_apply(spark: SparkSession, d: str) -> DataFrame:
     return patch.apply_plan(stored.select("id", "name"), patch.plan_nodes(node_patch(spark, d), stored))
 
 
-@query(f"WITH {NODES_SQL}, {EDGES_SQL.format(least=48)}" + """, ep AS (
-  SELECT l_orderkey * 1000000 + l_suppkey * 100 + l_linenumber AS idx, 'P' || l_partkey AS src, 'P' || nxt AS dst, l_returnflag AS type,
-         CASE WHEN l_discount > 0.09 THEN false END AS confirmed FROM lines WHERE nxt IS NOT NULL AND l_quantity >= 45
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}" + """, ep AS (
+  SELECT l_orderkey * 1000000 + l_suppkey * 100 + l_linenumber AS idx, 'P' || nxt AS src, 'P' || l_partkey AS dst, l_returnflag AS type,
+         CASE WHEN l_discount > 0.09 THEN false END AS confirmed FROM lines WHERE nxt IS NOT NULL
 ), k AS (SELECT id FROM nodes WHERE tag <> 'KP'), o AS (
   SELECT *, CASE WHEN NOT coalesce(confirmed, true) THEN 'pending' WHEN src NOT IN (SELECT id FROM k) OR dst NOT IN (SELECT id FROM k) THEN 'skipped'
                  WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = ep.src AND e.dst = ep.dst AND e.type = ep.type) THEN 'duplicate' ELSE 'open' END AS o FROM ep
 ), r AS (SELECT *, CASE WHEN o <> 'open' THEN o WHEN row_number() OVER (PARTITION BY o, src, dst, type ORDER BY idx) = 1 THEN 'new' ELSE 'duplicate' END AS outcome FROM o)
 SELECT outcome, type, count(*) AS n, min(idx) AS first_idx FROM r GROUP BY ALL""")
 def patch_plan_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A draft that holds every relation the other way round, planned against those stored."""
     entries = (
         edge_lines(spark, d)
-        .filter(F.col("next").isNotNull() & (F.col("l_quantity") >= 45))
+        .filter("next IS NOT NULL")
         .select(
             (F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("idx"),
-            F.concat(F.lit("P"), "l_partkey").alias("src"),
-            F.concat(F.lit("P"), "next").alias("dst"),
+            F.concat(F.lit("P"), "next").alias("src"),
+            F.concat(F.lit("P"), "l_partkey").alias("dst"),
             F.col("l_returnflag").alias("type"),
             F.when(F.col("l_discount") > 0.09, False).alias("confirmed"),
         )

@@ -12,7 +12,7 @@ from .text import _LINES, lines, query_into
 Q, S = {}, {}
 query = query_into(Q, S)
 
-_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL.format(least=1)}"
+_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL}"
 _SIDES = _GRAPH + ", st AS (SELECT DISTINCT src AS id, dst AS other FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"
 
 
@@ -27,7 +27,7 @@ FROM l WHERE (contains(n, 's') OR contains(h, 's')) AND (contains(n, 'r') OR con
 def search_everything(spark: SparkSession, d: str) -> DataFrame:
     """Nodes, tag values, groups and relations that hold both words; the report's top 50."""
     people = nodes(spark, d).select("id", "name", "groups", F.create_map(F.lit("tag"), F.array("tag")).alias("attrs"), F.concat_ws(" ", F.col("groups")[0], F.col("groups")[1]).alias("hay"))
-    links = edges(spark, d, 1).select("src", "dst", "type", F.concat(F.lit("s"), "strength").alias("event"))
+    links = edges(spark, d).select("src", "dst", "type", F.concat(F.lit("s"), "strength").alias("event"))
     return search.ranked(search.search_items(people, links), " S  r ")
 
 
@@ -81,14 +81,14 @@ def leak_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT root, id, 0 AS dist, parent FROM w0 UNION ALL SELECT root, id, 1, parent FROM w1 UNION ALL SELECT root, id, 2, parent FROM w2""")
 def ego_discovery(spark: SparkSession, d: str) -> DataFrame:
     roots = nodes(spark, d).filter(F.col("id").isin("P1", "P7", "P42")).select(F.col("id").alias("root"))
-    return graph.discovery(edges(spark, d, 1), roots, 2)
+    return graph.discovery(edges(spark, d), roots, 2)
 
 
 @query(_GRAPH + """, s AS (SELECT src AS id, dst AS other FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst), r AS (SELECT id AS root FROM nodes WHERE id IN ('P1', 'P7', 'P42'))
 , one AS (SELECT DISTINCT root, other AS id FROM r JOIN s ON s.id = root)
 SELECT root, 1 AS dist, count(*) AS edges FROM r JOIN s ON s.id = root GROUP BY root UNION ALL SELECT root, 2, count(*) FROM one JOIN s USING (id) GROUP BY root""")
 def ego_level_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, 1)
+    e = edges(spark, d)
     roots = nodes(spark, d).filter(F.col("id").isin("P1", "P7", "P42")).select(F.col("id").alias("root"))
     return graph.level_edges(e, graph.breadth_first(e, roots, 1), 2)
 
@@ -97,7 +97,7 @@ def ego_level_edges(spark: SparkSession, d: str) -> DataFrame:
 SELECT root, grp, count(*) AS n, grp IN (SELECT unnest(groups) FROM nodes WHERE id = root) AS own FROM (SELECT root, unnest(groups) AS grp FROM n JOIN nodes ON nodes.id = other) GROUP BY root, grp""")
 def ego_groups(spark: SparkSession, d: str) -> DataFrame:
     roots = nodes(spark, d).filter(F.col("id").isin("P1", "P7", "P42")).select(F.col("id").alias("root"))
-    return graph.ego_groups(nodes(spark, d), edges(spark, d, 1), roots)
+    return graph.ego_groups(nodes(spark, d), edges(spark, d), roots)
 
 
 @query(f"WITH {NODES_SQL}" + """, m AS (SELECT id AS s, 'P' || (substr(id, 2)::INT - 1) AS t FROM nodes WHERE substr(id, 2)::INT % 10 = 0 AND id <> 'P0')
@@ -126,7 +126,7 @@ def node_merge_fields(spark: SparkSession, d: str) -> DataFrame:
 SELECT src, dst, coalesce(arg_max(nt, seq) FILTER (nt IS NOT NULL), type) AS type, arg_max(st, seq) FILTER (st IS NOT NULL) AS strength FROM v
 WHERE src IN (SELECT id FROM al) AND dst IN (SELECT id FROM al) GROUP BY src, dst, v.type""")
 def overlay_relations(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, 1)
+    e = edges(spark, d)
     kind = F.when(F.col("event_ord") % 5 == 0, "delete").when(F.col("event_ord") % 5 == 1, "create").otherwise("update")
     ops = e.filter("event_ord % 4 > 0").select(
         (F.col("event_ord") * 10).alias("seq"), kind.alias("op"), "src", "dst", "type",

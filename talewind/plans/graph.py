@@ -12,10 +12,10 @@ from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes
 Q, S = {}, {}
 
 
-def query(sql: str, least: int = 48):
+def query(sql: str):
     def add(f):
         Q[f.__name__] = f
-        S[f.__name__] = f"WITH {NODES_SQL}, {EDGES_SQL.format(least=least)}{sql}"
+        S[f.__name__] = f"WITH {NODES_SQL}, {EDGES_SQL}{sql}"
         return f
 
     return add
@@ -106,15 +106,15 @@ def type_catalogue(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(""" SELECT src, dst, type, strength, event_ord FROM edges
-QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY event_ord, src, dst, type) = 1""", least=40)
+QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY event_ord, src, dst, type) = 1""")
 def pair_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
-    return g.pair_first(edges(spark, d, 40))
+    return g.pair_first(edges(spark, d))
 
 
 @query(""" SELECT src, dst, type, strength, event_ord FROM edges
-QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY strength DESC, event_ord, src, dst, type) = 1""", least=40)
+QUALIFY row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY strength DESC, event_ord, src, dst, type) = 1""")
 def pair_dedupe_strongest(spark: SparkSession, d: str) -> DataFrame:
-    return g.pair_first(edges(spark, d, 40), strongest=True)
+    return g.pair_first(edges(spark, d), strongest=True)
 
 
 @query(_SIDES + """, st AS (SELECT DISTINCT id, other FROM sides), w0 AS (SELECT id AS root, id, 0 AS dist FROM nodes WHERE id IN ('P1', 'P7', 'P42', 'P100', 'P150'))
@@ -127,9 +127,9 @@ def ego_2hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_SIDES + """, st AS (SELECT DISTINCT id, other FROM sides), p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)
-SELECT a, b, count(*) AS common FROM p JOIN st x ON x.id = a JOIN st y ON y.id = b AND y.other = x.other GROUP BY ALL""", least=40)
+SELECT a, b, count(*) AS common FROM p JOIN st x ON x.id = a JOIN st y ON y.id = b AND y.other = x.other GROUP BY ALL""")
 def common_contacts(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, 40)
+    e = edges(spark, d)
     pairs = e.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return g.common_contacts(e, pairs)
 

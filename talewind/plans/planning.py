@@ -13,7 +13,7 @@ from .text import query_into
 Q, S = {}, {}
 query = query_into(Q, S)
 
-_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL.format(least=1)}"
+_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL}"
 _PATCH = f"WITH {NODES_SQL}, {_NODE_PATCH}"
 
 #: Players' names in the order of registration.
@@ -123,7 +123,7 @@ def patch_pending(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT id FROM nodes WHERE tag <> 'KP'), v AS (SELECT DISTINCT src, dst, type FROM dr WHERE src <> dst AND src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k))
 SELECT src, dst, type FROM pa UNION ALL SELECT src, dst, type FROM v WHERE (src, dst, type) NOT IN (SELECT (src, dst, type) FROM pa)""")
 def patch_draft(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d, 1)
+    e = edges(spark, d)
     of = lambda some, kind: some.select(F.col("event_ord").alias("idx"), "src", "dst", kind.alias("type"))
     draft = of(e.filter("strength < 3"), F.when(F.col("event_ord") % 2 == 0, F.col("type")).otherwise("R"))
     return planner.merged_draft(of(e.filter("strength = 3"), F.col("type")), draft, nodes(spark, d).filter("tag <> 'KP'").select("id")).select("src", "dst", "type")
@@ -217,7 +217,7 @@ def perspectives(spark: SparkSession, d: str) -> DataFrame:
 , g AS (SELECT id AS other, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)
 SELECT id, row_number() OVER (PARTITION BY id ORDER BY strength DESC, degree DESC, other, type) AS place, other, type, strength, degree FROM s JOIN g USING (other)""")
 def neighbour_list(spark: SparkSession, d: str) -> DataFrame:
-    return reports.neighbour_list(edges(spark, d, 1))
+    return reports.neighbour_list(edges(spark, d))
 
 
 @query("""WITH g AS (SELECT p_partkey AS id, p_partkey * 2 AS slot FROM part WHERE p_partkey % 3 = 0)
@@ -237,7 +237,7 @@ def visible_nodes(spark: SparkSession, d: str) -> DataFrame:
 SELECT src, dst, type FROM e WHERE src <> dst AND src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""")
 def confirmed_scope(spark: SparkSession, d: str) -> DataFrame:
     people = nodes(spark, d).withColumn("confirmed", F.when(F.col("tag") == "KP", False))
-    links = edges(spark, d, 1).withColumn("confirmed", F.when(F.col("type") == "A", False))
+    links = edges(spark, d).withColumn("confirmed", F.when(F.col("type") == "A", False))
     return reports.in_scope(people, links)[1].select("src", "dst", "type")
 
 

@@ -14,7 +14,7 @@ from .text import query_into
 Q, S = {}, {}
 query = query_into(Q, S)
 
-_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL.format(least=48)}"
+_GRAPH = f"WITH {NODES_SQL}, {EDGES_SQL}"
 _PATCH = f"WITH {NODES_SQL}, {_NODE_PATCH}"
 
 

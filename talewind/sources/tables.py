@@ -23,7 +23,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int = 48) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, type, strength (3 strong, 2 medium, 1 weak), event_ord: one row per (src, dst, type)."""
     line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = table(spark, sf_dir, "lineitem").select(
@@ -31,7 +31,7 @@ def edges(spark: SparkSession, sf_dir: str, least: int = 48) -> DataFrame:
     )
     strength = F.when(F.max("l_quantity") >= 50, 3).when(F.max("l_quantity") >= 49, 2).otherwise(1)
     return (
-        lines.filter(F.col("next").isNotNull() & (F.col("l_quantity") >= least))
+        lines.filter("next IS NOT NULL")
         .groupBy(F.concat(F.lit("P"), F.col("l_partkey")).alias("src"), F.concat(F.lit("P"), F.col("next")).alias("dst"), F.col("l_returnflag").alias("type"))
         .agg(strength.alias("strength"), F.min("l_orderkey").alias("event_ord"))
     )
@@ -46,4 +46,4 @@ EDGES_SQL = """lines AS (
 ), edges AS (
   SELECT 'P' || l_partkey AS src, 'P' || nxt AS dst, l_returnflag AS type,
          CASE WHEN max(l_quantity) >= 50 THEN 3 WHEN max(l_quantity) >= 49 THEN 2 ELSE 1 END AS strength, min(l_orderkey) AS event_ord
-  FROM lines WHERE nxt IS NOT NULL AND l_quantity >= {least} GROUP BY ALL)"""
+  FROM lines WHERE nxt IS NOT NULL GROUP BY ALL)"""
