@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talewind.sources.durable import durable, shared_folder
+
+__all__ = ["HOT", "WORD", "durable", "held_out", "join_counted", "shared_folder", "table", "text_group", "word_count"]
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,25 +22,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set and executors share the driver's disk (master ``local``:
-    tests, a laptop) a temporary folder. Elsewhere a missing setting is an error."""
-    context = spark.sparkContext
-    if (folder := context.getCheckpointDir()) is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talewind-"))
-        folder = context.getCheckpointDir()
-    return folder
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a checkpoint in the folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: A key with more than this part of all rows is hot, so there are fewer hot keys than this.
 HOT = 512
 

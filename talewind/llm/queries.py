@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_pack, chat_format, kd_shards, minhash_join, pareto_mix, piece_lm, pigeonhole_join, prefix_forest, style_tree, toxicity
-from .common import held_out, table
+from . import best_fit_pack, byte_bpe, chat_format, kd_shards, merkle_manifest, minhash_join, pareto_mix, periodic_runs, piece_lm, pigeonhole_join, prefix_forest, style_tree, toxicity
+from .common import WORD, held_out, table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -180,5 +180,99 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op3_piece_lm, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op9_minhash_join, op10_kd_shards)}
-SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL}
+def _crc(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_chars = F.when(_crc("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proved = merkle_manifest.manifest(table(spark, sf_dir, "documents"), {"n_chars": n_chars})
+    root = merkle_manifest.folded(F.col("now"), F.col("path"))
+    found = proved.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT doc_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(s[i // 8 + 1])::BIGINT) ELSE c END AS x FROM bits WHERE i < 8 * length(s))
+), crcs AS (SELECT doc_id, xor(c, 4294967295::BIGINT) AS crc FROM bits WHERE i = 8 * length(s)
+), texts AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail, n_chars,
+         n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS changed
+  FROM documents LEFT JOIN crcs USING (doc_id)
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(changed::VARCHAR) || ':' || changed::VARCHAR, '-') || tail) AS now
+  FROM texts
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+  FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS node, n FROM numbered
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, level, place // 2
+), subroots AS (SELECT tree, node, level AS height, count(*) OVER () AS trees FROM nodes WHERE n = 1
+), top AS (
+  SELECT 0 AS level, tree AS place, node, trees AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, place // 2
+), fold AS (
+  SELECT doc_id, tree, place, level, 0 AS part, leaf, now AS node, '' AS proof, 0 AS open_ FROM (SELECT *, 0 AS level FROM numbered)
+  UNION ALL
+  SELECT f.doc_id, f.tree, CASE WHEN f.part = 0 AND s.height = f.level THEN f.tree ELSE f.place // 2 END,
+         CASE WHEN f.part = 0 AND s.height = f.level THEN 0 ELSE f.level + 1 END,
+         CASE WHEN f.part = 0 AND s.height = f.level THEN 1 ELSE f.part END, f.leaf,
+         CASE WHEN f.part = 0 AND s.height = f.level THEN f.node
+              WHEN f.place % 2 = 0 THEN sha256(f.node || coalesce(a.node, b.node, '')) ELSE sha256(coalesce(a.node, b.node, '') || f.node) END,
+         f.proof || CASE WHEN f.part = 0 AND s.height = f.level THEN '' ELSE coalesce(a.node, b.node, '') END, 0
+  FROM fold f JOIN subroots s USING (tree)
+  LEFT JOIN nodes a ON f.part = 0 AND s.height > f.level AND a.tree = f.tree AND a.level = f.level AND a.place = xor(f.place, 1)
+  LEFT JOIN top b ON f.part = 1 AND b.level = f.level AND b.place = xor(f.place, 1)
+  WHERE f.part = 0 OR f.level < (SELECT max(level) FROM top)
+)
+SELECT f.doc_id, f.leaf, s.node AS subroot, t.node AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+FROM fold f JOIN subroots s USING (tree) JOIN top t ON t.n = 1 WHERE f.part = 1 AND f.level = t.level
+"""
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded(encoded), 256).alias("decoded_sha256"),
+    )
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in every tenth document, by its checksum, the words from some place on repeat with some period."""
+    h = _crc("doc_id")
+    g = F.floor(h / 10).cast("long")
+    words = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)).alias("words"))
+    placed = words.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)).cast("long"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", at(i).cast("int")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeating(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "periodic.*")
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    digests = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("f"), F.sha2(line.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")
+    )
+    milli = F.expr("(f.less * -1000) div f.period")
+    return digests.select("doc_id", "n_runs", "f.start", (-F.col("f.less")).alias("length"), "f.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_pack, op3_piece_lm, op4_pareto_mix, op5_pigeonhole_join, op6_prefix_forest, op7_style_tree, op8_prefix_targets, op9_minhash_join, op10_kd_shards, op11_merkle_manifest, op12_byte_bpe, op13_periodic_runs)}
+SQL = {"op4_pareto_mix": OP4_SQL, "op5_pigeonhole_join": OP5_SQL, "op8_prefix_targets": OP8_SQL, "op11_merkle_manifest": OP11_SQL}
