@@ -20,26 +20,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces and pairs that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers before it forgets those that it hasn't met since; pairs before it starts anew.
+PIECES, PAIRS = 1 << 16, 1 << 17
 _NEVER = 1 << 62
 
 
 class Pairs(dict):
-    """Whether two tokens may stand side by side, found when first asked."""
+    """Whether two tokens (``left << 32 | right``) may stand side by side, found when first asked."""
 
-    def __init__(self, older: list[tuple[int, int]], merged: dict[tuple[int, int], int]) -> None:
+    def __init__(self, older: list[tuple[int, int]], merged: dict[int, int]) -> None:
         self.older, self.merged = older, merged
 
-    def __missing__(self, pair: tuple[int, int]) -> bool:
-        if len(self) > REMEMBERED:
+    def __missing__(self, pair: int) -> bool:
+        if len(self) > PAIRS:
             self.clear()
-        self[pair] = fits = self.apart(*pair)
+        self[pair] = fits = self.apart(pair >> 32, pair & 0xFFFFFFFF)
         return fits
 
     def apart(self, left: int, right: int) -> bool:
         before = _NEVER  # a merge across the border counts if it is older than this
-        while self.merged.get((left, right), _NEVER) >= before:
+        while self.merged.get(left << 32 | right, _NEVER) >= before:
             end, begin = self.older[left][1], self.older[right][0]
             if end >= 0 and (left > right or begin < 0):
                 before, left = left, end
@@ -50,17 +50,21 @@ class Pairs(dict):
         return False
 
 
+def tokens(ranks: bytes) -> list[bytes]:
+    """The tokens of a file of ranks, by rank."""
+    rows = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, ranks.splitlines()))
+    if [r for r, _ in rows] != list(range(len(rows))):
+        raise ValueError("ranks must be 0, 1, 2, ... without a gap")
+    return [t for _, t in rows]
+
+
 class Vocabulary(dict):
     """The tokens of a file of ranks; as a dictionary, the packed ids of a piece of text, found when first asked."""
 
     def __init__(self, ranks: bytes) -> None:
         import ahocorasick
 
-        rows = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, ranks.splitlines()) if token)
-        if [r for r, _ in rows] != list(range(len(rows))):
-            raise ValueError("ranks must be 0, 1, 2, ... without a gap")
-        self.tokens = [t for _, t in rows]
-        names = [t.decode("latin-1") for t in self.tokens]
+        names = [t.decode("latin-1") for t in tokens(ranks)]
         self.ids = {name: i for i, name in enumerate(names)}
         self.sizes = [len(name) for name in names]
         #: The longest other token that a token begins with (-1: none).
@@ -73,6 +77,7 @@ class Vocabulary(dict):
         for i, name in enumerate(names):
             self.automaton.add_word(name, i)
         self.automaton.make_automaton()
+        self.earlier: dict[str, bytes] = {}
 
     def _undo(self, i: int, name: str) -> None:
         """Which two older tokens a token is merged from: those that would stand side by side without it."""
@@ -80,17 +85,19 @@ class Vocabulary(dict):
         while first >= 0:
             second = self.ids.get(name[self.sizes[first] :], i)
             if first < i and second < i and self.pairs.apart(first, second):
-                self.pairs.older[i], self.pairs.merged[first, second] = (first, second), i
+                self.pairs.older[i], self.pairs.merged[first << 32 | second] = (first, second), i
                 return
             first = self.shorter[first]
         if len(name) > 1:
             raise ValueError(f"no merges make token {i}")
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        packed = array("I", self.encode(piece.encode("utf-8").decode("latin-1"))).tobytes()
+        if (packed := self.earlier.get(piece)) is None:
+            packed = array("I", self.encode(piece.encode("utf-8").decode("latin-1"))).tobytes()
         if len(piece) < 256:
+            if len(self) >= PIECES:
+                self.earlier = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
@@ -106,7 +113,7 @@ class Vocabulary(dict):
             raise ValueError("the vocabulary lacks a byte")
         given_up, out, at, token = bytearray(len(piece) + 1), [], 0, longest[0] if piece else -1
         while at < len(piece):
-            while token >= 0 and (given_up[at + sizes[token]] or (out and not pairs[out[-1], token])):
+            while token >= 0 and (given_up[at + sizes[token]] or (out and not pairs[out[-1] << 32 | token])):
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -120,15 +127,20 @@ class Vocabulary(dict):
                 at -= sizes[token]
         return out
 
-    def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, array("I", packed)))
-
 
 @lru_cache(2)
 def vocabulary(ranks: bytes) -> Vocabulary:
     return Vocabulary(ranks)
 
 
+known_tokens = lru_cache(2)(tokens)
+
+
+def decode(packed: bytes, known: list[bytes]) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join(map(known.__getitem__, array("I", packed)))
+
+
 def _ranks(path: str | None) -> bytes:
     if path is None:
         import public_tokenizers
@@ -171,8 +183,8 @@ def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> Colum
 
     @F.pandas_udf("binary")
     def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = vocabulary(sent.value)
+        known = known_tokens(sent.value)
         for part in parts:
-            yield pd.Series([None if x is None else known.decode(x) for x in part], dtype=object)
+            yield pd.Series([None if x is None else decode(x, known) for x in part], dtype=object)
 
     return joined(ids)
