@@ -133,7 +133,9 @@ def vocabulary(ranks: bytes) -> Vocabulary:
     return Vocabulary(ranks)
 
 
-known_tokens = lru_cache(2)(tokens)
+@lru_cache(2)
+def known_tokens(ranks: bytes) -> list[bytes]:
+    return tokens(ranks)
 
 
 def decode(packed: bytes, known: list[bytes]) -> bytes:
