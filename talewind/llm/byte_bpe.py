@@ -21,20 +21,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers before it forgets those that it hasn't met since; pairs before it starts anew.
-PIECES, PAIRS = 1 << 16, 1 << 17
+PIECES, PAIRS = 150_000, 1 << 17
 _NEVER = 1 << 62
 
 
-class Pairs(dict):
-    """Whether two tokens (``left << 32 | right``) may stand side by side, found when first asked."""
+class Pairs:
+    """Whether two tokens may stand side by side; ``fits`` remembers it for ``left << 32 | right``."""
 
-    def __init__(self, older: list[tuple[int, int]], merged: dict[int, int]) -> None:
-        self.older, self.merged = older, merged
+    def __init__(self, size: int) -> None:
+        self.older: list[tuple[int, int]] = [(-1, -1)] * size
+        self.merged: dict[int, int] = {}
+        self.fits: dict[int, bool] = {}
 
-    def __missing__(self, pair: int) -> bool:
-        if len(self) > PAIRS:
-            self.clear()
-        self[pair] = fits = self.apart(pair >> 32, pair & 0xFFFFFFFF)
+    def ask(self, pair: int) -> bool:
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        self.fits[pair] = fits = self.apart(pair >> 32, pair & 0xFFFFFFFF)
         return fits
 
     def apart(self, left: int, right: int) -> bool:
@@ -69,10 +71,11 @@ class Vocabulary(dict):
         self.sizes = [len(name) for name in names]
         #: The longest other token that a token begins with (-1: none).
         self.shorter = [next((self.ids[name[:k]] for k in range(len(name) - 1, 0, -1) if name[:k] in self.ids), -1) for name in names]
-        self.pairs = Pairs([(-1, -1)] * len(names), {})
+        self.pairs = Pairs(len(names))
         for i, name in enumerate(names):
             self._undo(i, name)
-        self.pairs.clear()
+        if any(chr(b) not in self.ids for b in range(256)):
+            raise ValueError("the vocabulary lacks a byte")
         self.automaton = ahocorasick.Automaton()
         for i, name in enumerate(names):
             self.automaton.add_word(name, i)
@@ -103,25 +106,43 @@ class Vocabulary(dict):
 
     def encode(self, piece: str) -> list[int]:
         """The ids of a piece, its bytes written as Latin-1."""
-        if (whole := self.ids.get(piece)) is not None:
-            return [whole]
-        sizes, pairs, shorter = self.sizes, self.pairs, self.shorter
-        longest = array("i", [-1]) * len(piece)
+        if not piece or (whole := self.ids.get(piece)) is not None:
+            return [whole] if piece else []
+        fits, ask = self.pairs.fits.get, self.pairs.ask
+        # the longest tokens one after another are the ids, if they fit
+        row = [token for _, token in self.automaton.iter_long(piece)]
+        last = row[0] << 32
+        for token in row[1:]:
+            fit = fits(last | token)
+            if not (ask(last | token) if fit is None else fit):
+                return self._backtrack(piece)
+            last = token << 32
+        return row
+
+    def _backtrack(self, piece: str) -> list[int]:
+        sizes, shorter, fits, ask = self.sizes, self.shorter, self.pairs.fits.get, self.pairs.ask
+        longest = [-1] * len(piece)
         for end, token in self.automaton.iter(piece):
             longest[end + 1 - sizes[token]] = token  # of one beginning the longest comes last
-        if -1 in longest:
-            raise ValueError("the vocabulary lacks a byte")
-        given_up, out, at, token = bytearray(len(piece) + 1), [], 0, longest[0] if piece else -1
-        while at < len(piece):
-            while token >= 0 and (given_up[at + sizes[token]] or (out and not pairs[out[-1] << 32 | token])):
-                token = shorter[token]
+        given_up, out, at, token, size = bytearray(len(piece) + 1), [], 0, longest[0], len(piece)
+        while at < size:
+            if out:
+                last = out[-1] << 32
+                while token >= 0:
+                    if not given_up[at + sizes[token]]:
+                        fit = fits(last | token)
+                        if ask(last | token) if fit is None else fit:
+                            break
+                    token = shorter[token]
+            else:
+                while token >= 0 and given_up[at + sizes[token]]:
+                    token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += sizes[token]
-                token = longest[at] if at < len(piece) else -1
-            elif not out:
-                raise ValueError("no tokens make the piece")  # can't be, as every byte is a token
-            else:
+                if at < size:
+                    token = longest[at]
+            else:  # never at the beginning, as every byte is a token
                 given_up[at] = 1
                 token = out.pop()
                 at -= sizes[token]
@@ -152,31 +173,49 @@ def _ranks(path: str | None) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, text: str = "text", name: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` and a column ``name``: the ids of the whole text, each four bytes, low byte first.
-
-    The text is cut into the matches of ``pattern``, each encoded by itself. Null and empty texts give no ids; special tokens are
-    ordinary text; repeated rows fare alike; an empty table gives none. ``path`` names a file of ranks that the driver can read
-    (by default a public one that is installed); it is sent to the executors once. Other columns are kept; ``name`` must be a
-    new one.
-    """
-    if name in docs.columns:
-        raise ValueError(f"there is a column {name} already")
+def _pattern(pattern: str | None) -> str:
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    sent = docs.sparkSession.sparkContext.broadcast(_ranks(path))  # as large as the file of the vocabulary
+    return pattern
 
-    @F.pandas_udf("binary")
-    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def encode(docs: DataFrame, text: str = "text", name: str = "ids", path: str | None = None, pattern: str | None = None, back: str | None = None) -> DataFrame:
+    """``docs`` and a column ``name``: the ids of the whole text, each four bytes, low byte first; with ``back`` also a column of
+    that name: the bytes that :func:`decode` makes of these ids, in the same pass.
+
+    The text is cut into the matches of ``pattern``, each encoded by itself. Null and empty texts give no ids; special tokens are
+    ordinary text; repeated rows fare alike; an empty table gives none. ``path`` names a file of ranks that the driver can read
+    (by default a public one that is installed); it is sent to the executors once. Other columns are kept; the new names must be
+    new ones.
+    """
+    if taken := {name, back} & set(docs.columns):
+        raise ValueError(f"there is a column {taken.pop()} already")
+    sent, pattern = docs.sparkSession.sparkContext.broadcast(_ranks(path)), _pattern(pattern)  # as large as the vocabulary's file
+
+    def packed(parts: Iterator[pd.Series]) -> Iterator[list[bytes]]:
         import regex
 
         pieces, words = vocabulary(sent.value), regex.compile(pattern)
         for part in parts:
-            yield pd.Series([b"".join(map(pieces.__getitem__, words.findall(t))) if t else b"" for t in part], dtype=object)
+            yield [b"".join(map(pieces.__getitem__, words.findall(t))) if t else b"" for t in part]
+
+    @F.pandas_udf("binary")
+    def encoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in packed(parts):
+            yield pd.Series(ids, dtype=object)
+
+    @F.pandas_udf("ids binary, back binary")
+    def there_and_back(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = known_tokens(sent.value)
+        for ids in packed(parts):
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "back": pd.Series([decode(x, known) for x in ids], dtype=object)})
 
-    return docs.withColumn(name, encoded(text))
+    if back is None:
+        return docs.withColumn(name, encoded(text))
+    both = "both_" + "_".join(docs.columns)
+    return docs.withColumn(both, there_and_back(text)).select(*docs.columns, F.col(f"{both}.ids").alias(name), F.col(f"{both}.back").alias(back))
 
 
 def decoded(docs: DataFrame, ids: str = "ids", path: str | None = None) -> Column:
