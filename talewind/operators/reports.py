@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from .graph import degree, oriented
 from .names import groups_or
+from .ordered import placed
 
 
 def manifest_counts(files: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def time_slice(lines: DataFrame, start: str, end: str, first: float, last: float
 
 
 def neighbour_list(edges: DataFrame) -> DataFrame:
-    """id, place, other, type, strength: each node's neighbours, strongest first, then the ones with fewest relations."""
+    """id, place, other, type, strength: each node's neighbours, strongest first, then the ones with most relations."""
     order = W.partitionBy("id").orderBy(F.desc("strength"), F.desc("degree"), "other", "type")
     each = oriented(edges).join(degree(edges).withColumnRenamed("id", "other"), "other")
     return each.select("id", F.row_number().over(order).alias("place"), "other", "type", "strength", "degree")
@@ -99,14 +100,8 @@ def perspectives(nodes: DataFrame, default: str = "(none)") -> DataFrame:
 
 def slots(members: DataFrame, given: DataFrame, next_slot: int = 0) -> DataFrame:
     """id, slot of ``members`` (id, name): those of ``given`` (id, slot) stay, the others follow in the order of name and id
-    behind every slot in use. Counts are summed by the names' beginnings, then by name, then rows inside a name, so no task
-    ranks all members."""
+    behind every slot in use. No task ranks all members, or all of a name."""
     kept = members.join(given, "id").select("id", F.col("slot").cast("long").alias("slot"))
-    free = members.join(given.select("id"), "id", "left_anti").select("id", F.coalesce("name", F.lit("")).alias("name")).withColumn("head", F.substring("name", 1, 4))
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    names = free.groupBy("head", "name").agg(F.count("*").alias("n"))
-    heads = names.groupBy("head").agg(F.sum("n").alias("n")).select("head", F.coalesce(F.sum("n").over(before(W.partitionBy(F.lit(1)).orderBy("head"))), F.lit(0)).alias("head_at"))
-    at = names.join(heads, "head").select("name", (F.col("head_at") + F.coalesce(F.sum("n").over(before(W.partitionBy("head").orderBy("name"))), F.lit(0))).alias("name_at"))
+    free = members.join(given.select("id"), "id", "left_anti").select("id", F.coalesce("name", F.lit("")).alias("name"))
     start = kept.agg(F.greatest(F.coalesce(F.max("slot") + 1, F.lit(0)), F.lit(next_slot)).alias("start"))  # one row
-    placed = free.join(at, "name").join(F.broadcast(start)).select("id", (F.col("start") + F.col("name_at") + F.row_number().over(W.partitionBy("name").orderBy("id")) - 1).cast("long").alias("slot"))
-    return kept.unionByName(placed)
+    return kept.unionByName(placed(free, ["name", "id"]).join(F.broadcast(start)).select("id", (F.col("start") + F.col("position")).alias("slot")))

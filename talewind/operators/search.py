@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import squeezed, squeezed_plain
+from ..sources.durable import durable
 
 #: What an item of a kind has before any term is found; a term at a name's beginning, inside it, and in all its text.
 BONUS = {"node": 5, "group": 3}
@@ -94,25 +95,92 @@ def pattern_hits(texts: DataFrame, text: str, key: str, patterns: Mapping[str, s
     return counts.join(some.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "excerpt"))), lambda s: s["excerpt"]).alias("excerpts")), "pattern")
 
 
+#: Names of so many bytes in all are sent to every task; of a longer list each group's names are dealt in parts of as many, and
+#: its lines in blocks of so many characters.
+NAMES_BYTES, BLOCK_CHARS = 8 << 20, 64 << 20
+
+
+def _automaton(rows: Iterable[tuple[str, list]]):
+    """One automaton over (name, groups)."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for name, groups in rows:
+        found.add_word(name, (name, frozenset(groups)))
+    found.make_automaton()
+    return found
+
+
+def _found(automaton, grp: str | None, line: str | None) -> list[str]:
+    return sorted({name for _, (name, groups) in automaton.iter(line) if grp in groups}) if line else []
+
+
+def names_in(lines: DataFrame, names: DataFrame, line: str = "sentence", names_bytes: int = NAMES_BYTES, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """grp, the line and name for every line of ``lines`` (grp, line) and every one of its group's ``names`` (grp, name) that
+    stands anywhere in it, once; no blanks are needed around a name.
+
+    A line is read once by an automaton over all names, whatever their number. The names are broadcast up to ``names_bytes``;
+    beyond that those of a group meet only its own lines, in parts of that size. Null and empty names and lines are in nothing;
+    a null group is a group; repeated lines and names count once.
+    """
+    spark, of = lines.sparkSession, lines.select("grp", F.col(line).alias("line_")).filter("line_ <> ''").distinct()
+    known = names.select("grp", "name").filter("name <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    schema = "grp string, line_ string, name string"
+    if size <= names_bytes:
+        sent = spark.sparkContext.broadcast([(r.name, r.groups + [None] * r.no_group) for r in known.groupBy("name").agg(F.collect_list("grp").alias("groups"), F.max(F.col("grp").isNull().cast("int")).alias("no_group")).collect()])
+
+        def searched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            automaton = _automaton(sent.value) if sent.value else None
+            for part in parts:
+                rows = [(g, x, n) for g, x in zip(part.grp.astype(object).where(part.grp.notna(), None), part.line_, strict=True) for n in (_found(automaton, g, x) if automaton else ())]
+                yield pd.DataFrame(rows, columns=["grp", "line_", "name"], dtype=object)
+
+        found = of.mapInPandas(searched, schema)
+    else:
+        group = F.coalesce(F.concat(F.lit("."), "grp"), F.lit(""))
+        parts = known.groupBy(group.alias("g_")).agg(F.ceil(F.sum(F.octet_length("name") + 16) / names_bytes).cast("int").alias("parts_"))
+        blocks = of.groupBy(group.alias("g_")).agg(F.ceil(F.sum(F.length("line_")) / block_chars).cast("int").alias("blocks_"))
+        counts = durable(parts.join(blocks, "g_"))
+        deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = known.withColumn("g_", group).join(counts, "g_").withColumn("part_", deal("parts_", "name")).withColumn("block_", every("blocks_"))
+        right = of.withColumn("g_", group).join(counts, "g_").withColumn("block_", deal("blocks_", "line_")).withColumn("part_", every("parts_"))
+
+        def met(some: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            if not some.empty and not texts.empty:
+                automaton = _automaton((n, [None]) for n in some.name)
+                g = None if pd.isna(texts.grp.iloc[0]) else texts.grp.iloc[0]
+                rows = [(g, x, n) for x in texts.line_ for n in _found(automaton, None, x)]
+            return pd.DataFrame(rows, columns=["grp", "line_", "name"], dtype=object)
+
+        key = ["g_", "part_", "block_"]
+        left, right = left.select(*key, "name"), right.select(*key, "grp", "line_")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(met, schema)
+    return found.withColumnRenamed("line_", line)
+
+
 def evidence(people: DataFrame, sentences: DataFrame, words: Sequence[str], most: int = 900) -> DataFrame:
     """id, place, sentence, telling: what a group's sentences say of its people, within ``most`` characters each.
 
-    ``people`` has id, grp and names (array), ``sentences`` grp, no and sentence. A sentence that holds one of a person's names
-    is a hit, once; those with one of ``words`` come first (telling), the pick ends before the first that doesn't fit.
-    Sentences are cut at blanks and punctuation and joined with names by their first word, then confirmed.
+    ``people`` has id, grp and names (array), ``sentences`` grp, no and sentence. A sentence in which one of a person's names
+    stands, with or without blanks around it, is a hit, once; those with one of ``words`` come first (telling), the pick ends
+    before the first that doesn't fit. As each has a character at least, no more than ``most`` of a person's are sorted.
     """
-    head = lambda c: F.try_element_at(F.filter(F.split(c, r"[\s,.!?;:，。！？；：、]+"), lambda w: w != ""), F.lit(1))
-    names = people.select("id", "grp", F.explode("names").alias("name")).filter("name <> ''").withColumn("head", head(F.col("name"))).filter("head IS NOT NULL")
-    pieces = F.array_distinct(F.filter(F.split("sentence", r"[\s,.!?;:，。！？；：、]+"), lambda w: w != ""))
+    names = people.select("id", "grp", F.explode("names").alias("name")).filter("name <> ''").distinct()
     once = sentences.groupBy("grp", "sentence").agg(F.min("no").alias("no"))
-    hits = once.select("grp", "no", "sentence", F.explode(pieces).alias("head")).join(names, ["grp", "head"]).filter(F.contains("sentence", F.col("name")))
+    met = names_in(once, names).withColumnsRenamed({"grp": "g_", "sentence": "s_", "name": "n_"})
+    hits = met.join(once, F.col("g_").eqNullSafe(F.col("grp")) & (F.col("s_") == F.col("sentence"))).select("g_", "n_", "no", "sentence")
+    hits = hits.join(names, F.col("g_").eqNullSafe(F.col("grp")) & (F.col("n_") == F.col("name")))
     telling = F.lit(False)
     for w in words:
         telling = telling | F.contains(F.col("sentence"), F.lit(w))
     each = hits.select("id", "no", "sentence").distinct().withColumn("telling", telling)
     order = W.partitionBy("id").orderBy(F.desc("telling"), "no", "sentence")
+    first = each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
     run = F.sum(F.length("sentence")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return each.withColumns({"place": F.row_number().over(order), "run": run}).filter(F.col("run") <= most).select("id", "place", "sentence", "telling")
+    return first.withColumn("run", run).filter(F.col("run") <= most).select("id", "place", "sentence", "telling")
 
 
 def holding(docs: DataFrame, text: str, passages: DataFrame, passage: str, most: int = 5) -> DataFrame:

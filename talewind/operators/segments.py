@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from .ordered import summed_before
+
 
 def drop_repeats(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """Lines that are empty or differ from the line before; those dropped equal the last kept, so one lag tells."""
@@ -124,13 +126,10 @@ def joined_timeline(lines: DataFrame, files: DataFrame) -> DataFrame:
     where a line has no stamp), ``files`` (file_ord) all files.
 
     A timed file begins where the timed files before it end (the end of their last stamped lines); its lines without a stamp
-    are left out. A file without any stamp keeps its lines. Offsets are summed over blocks of files first.
+    are left out. A file without any stamp keeps its lines.
     """
     ends = lines.filter("start_s IS NOT NULL").groupBy("file_ord").agg(F.max_by("end_s", "no").alias("last_end"))
-    blocked = files.select("file_ord").distinct().join(ends, "file_ord", "left").withColumn("block", F.expr("file_ord div 1024"))
-    before = lambda w: F.coalesce(F.sum("last_end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    blocks = blocked.groupBy("block").agg(F.sum("last_end").alias("last_end")).select("block", before(W.partitionBy(F.lit(1)).orderBy("block")).alias("block_at"))
-    offsets = blocked.withColumn("inside", before(W.partitionBy("block").orderBy("file_ord"))).join(blocks, "block")
-    offsets = offsets.select("file_ord", F.col("last_end").isNotNull().alias("timed"), (F.col("block_at") + F.col("inside")).alias("offset"))
+    every = summed_before(files.select("file_ord").distinct().join(ends, "file_ord", "left"), "last_end", ["file_ord"], name="offset")
+    offsets = every.select("file_ord", F.col("last_end").isNotNull().alias("timed"), F.col("offset").cast("double").alias("offset"))
     placed = lines.join(offsets, "file_ord").filter(~F.col("timed") | F.col("start_s").isNotNull())
     return placed.select("file_ord", "no", (F.col("start_s") + F.col("offset")).alias("start_s"), (F.col("end_s") + F.col("offset")).alias("end_s"), "body", (F.col("timed") & (F.col("offset") > 0)).alias("shifted"))

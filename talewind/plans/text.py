@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..operators import search
 from ..operators import segments as seg
 from ..operators.names import normalized
+from ..operators.ordered import summed_before
 from ..sources.tables import table
 
 Q, S = {}, {}
@@ -100,14 +101,8 @@ def tumbling_segments(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH f AS (SELECT conv_id, max(turn) + 1 AS len FROM conversations GROUP BY conv_id)
 SELECT conv_id, coalesce(sum(len) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at FROM f""")
 def timeline_concat(spark: SparkSession, d: str) -> DataFrame:
-    # offsets of files: sums over blocks of files first, then inside a block, so no task holds all files
-    files = table(spark, d, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).alias("len")).withColumn("block", F.expr("conv_id div 1024"))
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    blocks = files.groupBy("block").agg(F.sum("len").alias("len")).select(
-        "block", F.coalesce(F.sum("len").over(before(W.partitionBy(F.lit(1)).orderBy("block"))), F.lit(0)).alias("block_at")
-    )
-    inside = F.coalesce(F.sum("len").over(before(W.partitionBy("block").orderBy("conv_id"))), F.lit(0))
-    return files.join(blocks, "block").select("conv_id", (F.col("block_at") + inside).alias("start_at"))
+    files = table(spark, d, "conversations").groupBy("conv_id").agg((F.max("turn") + 1).cast("long").alias("len"))
+    return summed_before(files, "len", ["conv_id"], name="start_at").select("conv_id", "start_at")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 = 0 THEN ts::DATE END AS day FROM events)
@@ -210,14 +205,9 @@ def rate_limit_accepted(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT doc_id, source, length(text) AS n, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents)
 SELECT source, count(*) AS picked, sum(n)::BIGINT AS chars FROM s WHERE run <= 20000 GROUP BY source""")
 def running_budget(spark: SparkSession, d: str) -> DataFrame:
-    # sums of blocks of ids first, so that a large source isn't one task's
-    docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"), F.expr("doc_id div 1024").alias("block"))
-    blocks = docs.groupBy(F.col("source").alias("source_"), F.col("block").alias("block_")).agg(F.sum("n").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(W.partitionBy("source_").orderBy("block_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    open_ = blocks.select("source_", "block_", before.alias("before")).filter("before <= 20000")
-    near = docs.join(open_, F.col("source").eqNullSafe(F.col("source_")) & F.col("block").eqNullSafe(F.col("block_")))
-    run = F.col("before") + F.sum("n").over(W.partitionBy("source", "block").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0))
-    return near.withColumn("run", run).filter("run <= 20000").groupBy("source").agg(F.count("*").alias("picked"), F.sum("n").alias("chars"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
+    run = summed_before(docs, "n", ["doc_id"], ["source"]).filter("before + n <= 20000")
+    return run.groupBy("source").agg(F.count("*").alias("picked"), F.sum("n").alias("chars"))
 
 
 @query("""SELECT q.vec_id, arg_min(c.vec_id, (list_sum(list_transform(range(1, 65), lambda i: abs(q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE))), c.vec_id)) AS nearest
