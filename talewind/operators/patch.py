@@ -1,7 +1,7 @@
 """Change sets against a stored archive: every entry gets an outcome, and only the new ones are written.
 
-Outcomes: ``pending`` (not confirmed), ``skipped`` (something is missing or unknown), ``duplicate`` (stored, or accepted
-earlier in the change set), ``new``. Whether an entry is earlier counts among those that pass all other rules.
+Outcomes: ``pending`` (not confirmed), ``skipped`` (something is missing or unknown; a node that is stored or came earlier),
+``duplicate`` (a relation or person that is stored, or accepted earlier in the change set), ``new``. Whether an entry is earlier counts among those that pass all other rules.
 """
 
 from __future__ import annotations
@@ -11,24 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def _blank(c: str) -> Column:
-    return F.coalesce(F.col(c) == "", F.lit(True))
-
-
-def _decided(rows: DataFrame, key: list[str], problem: Column, stored: Column) -> DataFrame:
-    """``rows`` (idx, ...) with outcome; rows that can't be accepted get a window of their own, so none grows hot."""
+def _decided(rows: DataFrame, key: list[str], problem: Column, stored: Column, again: str = "duplicate") -> DataFrame:
+    """``rows`` (idx, ...) with outcome, ``again`` for what is stored or came earlier; rows that can't be accepted get a window
+    of their own, so none grows hot."""
     open_ = problem.isNull() & ~stored
     alone = F.when(~open_, F.col("idx"))
     rank = F.row_number().over(W.partitionBy(*[F.when(open_, F.col(c)) for c in key], alone).orderBy("idx"))
-    return rows.withColumn("outcome", F.coalesce(problem, F.when(stored | (rank > 1), "duplicate"), F.lit("new")))
+    return rows.withColumn("outcome", F.coalesce(problem, F.when(stored | (rank > 1), again), F.lit("new")))
 
 
 def plan_nodes(patch: DataFrame, stored: DataFrame) -> DataFrame:
-    """``patch`` (idx, id, name, confirmed) with outcome; ``stored`` has the ids of the archive."""
+    """``patch`` (idx, id, name, confirmed) with outcome, ids and names trimmed; ``stored`` has the ids of the archive. An entry
+    without id or name, or whose id is stored or came earlier, is skipped."""
     known = stored.select("id", F.lit(True).alias("known")).distinct()
-    rows = patch.join(known, "id", "left")
-    problem = F.when(~F.coalesce("confirmed", F.lit(True)), "pending").when(_blank("id") | _blank("name"), "skipped")
-    return _decided(rows, ["id"], problem, F.coalesce("known", F.lit(False))).drop("known")
+    trimmed = {c: F.regexp_replace(c, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", "") for c in ("id", "name")}
+    rows = patch.withColumns(trimmed).join(known, "id", "left")
+    blank = F.coalesce((F.col("id") == "") | (F.col("name") == ""), F.lit(True))
+    problem = F.when(~F.coalesce("confirmed", F.lit(True)), "pending").when(blank, "skipped")
+    return _decided(rows, ["id"], problem, F.coalesce("known", F.lit(False)), "skipped").drop("known")
 
 
 def plan_edges(patch: DataFrame, stored: DataFrame, ids: DataFrame) -> DataFrame:

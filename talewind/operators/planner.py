@@ -114,14 +114,23 @@ def profile_updates(stored: DataFrame, updates: DataFrame, lists: tuple[str, ...
 
 
 def pending_entries(explicit: DataFrame, **planned: DataFrame) -> DataFrame:
-    """kind, idx, item, reason: the plan's pending entries (frames with idx, outcome and a key in their second column) and those
-    that the patch itself lists (``explicit``: idx, item, reason)."""
-    every = explicit.select(F.lit("explicit").alias("kind"), F.col("idx").cast("long").alias("idx"), F.coalesce("item", F.lit("")).alias("item"), F.coalesce("reason", F.lit("")).alias("reason"))
+    """kind, idx, item, reason, segment: the plan's pending entries and those that the patch itself lists (``explicit``: idx,
+    item, reason, segment).
+
+    ``planned`` are frames with idx, outcome, a key in their second column, and where they have them confirmed, name,
+    pending_reason and segment. An entry's item is its name, else its key, with why it waits: its own reason, else that it isn't
+    confirmed or has no key. Missing texts are empty.
+    """
+    text = lambda frame, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in frame.columns else F.lit("")
+    every = explicit.select(F.lit("explicit").alias("kind"), F.col("idx").cast("long").alias("idx"), *[text(explicit, c).alias(c) for c in ("item", "reason", "segment")])
     for kind, p in planned.items():
         key = next(c for c in p.columns if c not in ("idx", "outcome"))
         confirmed = F.coalesce("confirmed", F.lit(True)) if "confirmed" in p.columns else F.lit(False)
-        reason = F.when(confirmed, "no key").otherwise("not confirmed")
-        every = every.unionByName(p.filter("outcome = 'pending'").select(F.lit(kind).alias("kind"), F.col("idx").cast("long").alias("idx"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), reason.alias("reason")))
+        own = F.nullif(text(p, "pending_reason"), F.lit(""))
+        reason = F.coalesce(own, F.when(confirmed, "no key").otherwise("not confirmed"))
+        item = F.coalesce(F.nullif(text(p, "name"), F.lit("")), text(p, key))
+        waiting = p.filter("outcome = 'pending'").select(F.lit(kind).alias("kind"), F.col("idx").cast("long").alias("idx"), item.alias("item"), reason.alias("reason"), text(p, "segment").alias("segment"))
+        every = every.unionByName(waiting)
     return every
 
 

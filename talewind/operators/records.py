@@ -57,7 +57,8 @@ def decide(entries: DataFrame, decisions: DataFrame, fields: tuple[str, ...]) ->
 
 
 def lint_nodes(patch: DataFrame) -> DataFrame:
-    """One row for each id of ``patch`` (idx, id, name): its first name that isn't blank, how many different names and rows."""
+    """One row for each id of ``patch`` (idx, id, name; both trimmed): its first name that isn't blank, how many different names and rows."""
+    patch = patch.withColumns({"id": F.trim("id"), "name": F.trim("name")})
     named = F.when(F.col("name") != "", F.col("idx"))
     return patch.filter("id <> ''").groupBy("id").agg(
         F.min_by("name", named).alias("name"), F.countDistinct(F.when(F.col("name") != "", F.col("name"))).alias("names"), F.count("*").alias("n")
@@ -65,7 +66,8 @@ def lint_nodes(patch: DataFrame) -> DataFrame:
 
 
 def issues(patch: DataFrame) -> DataFrame:
-    """issue, id, n: ids that stand more than once, blank ids, and entries with a blank name."""
+    """issue, id, n: ids (trimmed) that stand more than once, blank ids, and entries with a blank name."""
+    patch = patch.withColumns({"id": F.trim("id"), "name": F.trim("name")})
     blank = F.coalesce(F.col("id") == "", F.lit(True))
     nameless = F.coalesce(F.col("name") == "", F.lit(True))
     counts = patch.groupBy(F.when(~blank, F.col("id")).alias("id")).agg(F.count("*").alias("n"), F.count_if(nameless).alias("nameless"))

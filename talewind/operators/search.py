@@ -55,10 +55,14 @@ def facet_counts(nodes: DataFrame) -> DataFrame:
     return each.groupBy("dim", "value").agg(F.count("*").alias("n"))
 
 
+def facet_hits(wanted: Sequence[tuple[str, str]]) -> Column:
+    """How many of the wanted values (dimension, value) the column attrs (a map of arrays) has."""
+    return F.size(F.filter(F.array(*[F.coalesce(F.array_contains(F.try_element_at("attrs", F.lit(d)), v), F.lit(False)) for d, v in wanted]), lambda x: x))
+
+
 def with_facets(nodes: DataFrame, wanted: Sequence[tuple[str, str]], every: bool) -> DataFrame:
     """``nodes`` (attrs) that have one of the wanted values (dimension, value), or all."""
-    hits = F.size(F.filter(F.array(*[F.coalesce(F.array_contains(F.try_element_at("attrs", F.lit(d)), v), F.lit(False)) for d, v in wanted]), lambda x: x))
-    return nodes.filter(hits == len(wanted) if every else hits > 0)
+    return nodes.filter(facet_hits(wanted) == len(wanted) if every else facet_hits(wanted) > 0)
 
 
 def term_hits(lines: DataFrame, line: str, terms: Sequence[str], keys: Sequence[str]) -> DataFrame:

@@ -15,23 +15,26 @@ from .text import query_into
 Q, S = {}, {}
 query = query_into(Q, S)
 
-_NODE_PATCH = """np AS (
-  SELECT o_orderkey AS idx, CASE o_orderstatus WHEN 'P' THEN NULL ELSE 'P' || (o_custkey * 17) END AS id,
-         CASE WHEN o_totalprice < 5000 THEN '' ELSE 'N' || o_custkey END AS name,
+_NODE_PATCH = """np_raw AS (
+  SELECT o_orderkey AS idx, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN '  ' END WHEN o_orderkey % 5 = 0 THEN ' P' || (o_custkey * 17) || ' ' ELSE 'P' || (o_custkey * 17) END AS id,
+         CASE WHEN o_totalprice < 5000 THEN '' WHEN o_orderkey % 11 = 0 THEN '   ' ELSE 'N' || o_custkey || ' ' END AS name,
          CASE WHEN o_orderpriority LIKE '1%' THEN false WHEN o_orderpriority LIKE '2%' THEN true END AS confirmed FROM orders
+), np AS (SELECT idx, trim(id) AS id, trim(name) AS name, confirmed FROM np_raw
 ), planned AS (
   SELECT *, CASE WHEN NOT coalesce(confirmed, true) THEN 'pending' WHEN coalesce(id, '') = '' OR name = '' THEN 'skipped'
-                 WHEN id IN (SELECT id FROM nodes) THEN 'duplicate' ELSE 'open' END AS o FROM np
+                 WHEN id IN (SELECT id FROM nodes) THEN 'skipped' ELSE 'open' END AS o FROM np
 ), np_out AS (
-  SELECT idx, id, name, CASE WHEN o <> 'open' THEN o WHEN row_number() OVER (PARTITION BY o, id ORDER BY idx) = 1 THEN 'new' ELSE 'duplicate' END AS outcome FROM planned)"""
+  SELECT idx, id, name, CASE WHEN o <> 'open' THEN o WHEN row_number() OVER (PARTITION BY o, id ORDER BY idx) = 1 THEN 'new' ELSE 'skipped' END AS outcome FROM planned)"""
 
 
 def node_patch(spark: SparkSession, d: str) -> DataFrame:
-    priority = F.substring("o_orderpriority", 1, 1)
+    key, priority = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    own = F.concat(F.lit("P"), F.col("o_custkey") * 17)
+    named = F.when(key % 5 == 0, F.concat(F.lit(" "), own, F.lit(" "))).otherwise(own)
     return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("idx"),
-        F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("P"), F.col("o_custkey") * 17)).alias("id"),
-        F.when(F.col("o_totalprice") < 5000, "").otherwise(F.concat(F.lit("N"), "o_custkey")).alias("name"),
+        key.alias("idx"),
+        F.when(F.col("o_orderstatus") != "P", named).when(key % 2 == 0, "  ").alias("id"),
+        F.when(F.col("o_totalprice") < 5000, "").when(key % 11 == 0, "   ").otherwise(F.concat(F.lit("N"), "o_custkey", F.lit(" "))).alias("name"),
         F.when(priority == "1", False).when(priority == "2", True).alias("confirmed"),
     )
 

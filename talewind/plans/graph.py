@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import graph as g
+from ..operators import names, search
 from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes
 
 Q, S = {}, {}
@@ -182,27 +183,26 @@ def strength_histogram(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(1)))).withColumn("percent", F.expr("n * 100 div total")).drop("total")
 
 
-@query(""", t AS (SELECT id, name, CASE WHEN id = 'P42' THEN 1 WHEN name = 'P42' THEN 2 WHEN contains(name, 'ring') THEN 3 WHEN list_contains(groups, 'Brand#1') THEN 4 END AS tier FROM nodes)
+@query(""", t AS (SELECT id, name, CASE WHEN id = 'ring' THEN 1 WHEN name = 'ring' THEN 2 WHEN contains(name, 'ring') THEN 3 WHEN contains(groups[1], 'ring') OR contains(groups[2], 'ring') THEN 4 END AS tier FROM nodes)
 SELECT id, name, tier FROM t WHERE tier = (SELECT min(tier) FROM t)""")
 def entity_resolve(spark: SparkSession, d: str) -> DataFrame:
-    tier = F.when(F.col("id") == "P42", 1).when(F.col("name") == "P42", 2).when(F.contains("name", F.lit("ring")), 3).when(F.array_contains("groups", "Brand#1"), 4)
-    found = nodes(spark, d).select("id", "name", tier.alias("tier")).filter("tier IS NOT NULL")
-    return found.join(found.agg(F.min("tier").alias("tier")), "tier").select("id", "name", "tier")
+    people = nodes(spark, d).select("id", "name", F.col("groups").alias("aliases"))
+    return names.resolved(people, ["ring"]).join(people.select("id", "name"), "id").select("id", "name", "tier")
 
 
 @query(""" SELECT dim, value, count(*) AS n FROM (SELECT 'brand' AS dim, brand AS value FROM nodes UNION ALL SELECT 'type', ptype FROM nodes UNION ALL SELECT 'tag', tag FROM nodes) GROUP BY ALL""")
 def facets(spark: SparkSession, d: str) -> DataFrame:
     attrs = F.create_map(F.lit("brand"), F.array(F.col("groups")[0]), F.lit("type"), F.array(F.col("groups")[1]), F.lit("tag"), F.array("tag"))
-    dims = nodes(spark, d).select(F.explode(attrs).alias("dim", "values"))
-    return dims.select("dim", F.explode("values").alias("value")).groupBy("dim", "value").agg(F.count("*").alias("n"))
+    return search.facet_counts(nodes(spark, d).select(attrs.alias("attrs")))
 
 
 @query(""", w AS (SELECT id, (lower(brand) = 'brand#11')::INT + (tag = 'PC')::INT + contains(lower(ptype), 'brass')::INT AS hits FROM nodes)
 SELECT id, hits, hits = 3 AS all_of FROM w WHERE hits > 0""")
 def facet_filter(spark: SparkSession, d: str) -> DataFrame:
-    wanted = F.array(F.lower(F.col("groups")[0]) == "brand#11", F.col("tag") == "PC", F.contains(F.lower(F.col("groups")[1]), F.lit("brass")))
-    hits = F.size(F.filter(wanted, lambda x: x))
-    return nodes(spark, d).select("id", hits.alias("hits")).filter("hits > 0").withColumn("all_of", F.col("hits") == 3)
+    made = F.when(F.contains(F.lower(F.col("groups")[1]), F.lit("brass")), F.array(F.lit("brass")))
+    people = nodes(spark, d).withColumn("attrs", F.create_map(F.lit("brand"), F.array(F.lower(F.col("groups")[0])), F.lit("tag"), F.array("tag"), F.lit("made"), made))
+    wanted = [("brand", "brand#11"), ("tag", "PC"), ("made", "brass")]
+    return search.with_facets(people, wanted, every=False).select("id", search.facet_hits(wanted).alias("hits")).withColumn("all_of", F.col("hits") == len(wanted))
 
 
 @query(""", i AS (SELECT id, lower(name) AS name, lower(name || ' ' || brand || ' ' || ptype) AS hay FROM nodes)
@@ -210,10 +210,6 @@ def facet_filter(spark: SparkSession, d: str) -> DataFrame:
   (SELECT sum(CASE WHEN starts_with(name, t) THEN 14 WHEN contains(name, t) THEN 7 ELSE 0 END + CASE WHEN contains(hay, t) THEN 2 ELSE 0 END) FROM unnest(['s', 'brand']) u(t))::INT + 5 AS score FROM i)
 SELECT id, name, score FROM s WHERE ok ORDER BY score DESC, id LIMIT 50""")
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    terms = ["s", "brand"]
-    name, hay = F.lower("name"), F.lower(F.concat_ws(" ", "name", F.col("groups")[0], F.col("groups")[1]))
-    score, every = F.lit(5), F.lit(True)
-    for t in terms:
-        score = score + F.when(F.startswith(name, F.lit(t)), 14).when(F.contains(name, F.lit(t)), 7).otherwise(0) + F.when(F.contains(hay, F.lit(t)), 2).otherwise(0)
-        every = every & F.contains(hay, F.lit(t))
-    return nodes(spark, d).filter(every).select("id", name.alias("name"), score.cast("int").alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    hay = F.concat_ws(" ", "name", F.col("groups")[0], F.col("groups")[1])
+    items = nodes(spark, d).select(F.lit("node").alias("kind"), F.col("id").alias("key"), F.lower("name").alias("name"), hay.alias("hay"))
+    return search.ranked(items, "s brand").select(F.col("key").alias("id"), "name", "score")

@@ -110,13 +110,15 @@ def patch_counts(spark: SparkSession, d: str) -> DataFrame:
     return planner.counts_after(stored, {"nodes": patch.plan_nodes(node_patch(spark, d), stored["nodes"]), "people": people_plan(spark, d)})
 
 
-@query(_PATCH + f""", {_PEOPLE} SELECT 'nodes' AS kind, idx, coalesce(id, '') AS item, 'not confirmed' AS reason FROM np_out WHERE outcome = 'pending'
-UNION ALL SELECT 'people', p.idx, p.uid, CASE WHEN ok THEN 'no key' ELSE 'not confirmed' END FROM people p JOIN p AS e USING (idx) WHERE outcome = 'pending'
-UNION ALL SELECT 'explicit', item_id, text, '' FROM benchmark""")
+@query(_PATCH + f""", {_PEOPLE} SELECT 'nodes' AS kind, idx, coalesce(nullif(name, ''), id, '') AS item, CASE WHEN idx % 3 = 0 THEN 'ask ' || idx ELSE 'not confirmed' END AS reason, 's' || idx % 7 AS segment FROM np_out WHERE outcome = 'pending'
+UNION ALL SELECT 'people', p.idx, p.uid, CASE WHEN ok THEN 'no key' ELSE 'not confirmed' END, '' FROM people p JOIN p AS e USING (idx) WHERE outcome = 'pending'
+UNION ALL SELECT 'explicit', item_id, text, '', 'b' || item_id FROM benchmark""")
 def patch_pending(spark: SparkSession, d: str) -> DataFrame:
-    listed = table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("item"), F.lit(None).cast("string").alias("reason"))
-    planned = patch.plan_nodes(node_patch(spark, d), nodes(spark, d))
-    return planner.pending_entries(listed, nodes=planned.select("idx", "id", "confirmed", "outcome"), people=people_plan(spark, d).select("idx", "uid", "confirmed", "outcome"))
+    listed = table(spark, d, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("item"), F.lit(None).cast("string").alias("reason"), F.concat(F.lit("b"), "item_id").alias("segment"))
+    own = {"pending_reason": F.when(F.col("idx") % 3 == 0, F.concat(F.lit("ask "), "idx")), "segment": F.concat(F.lit("s"), F.col("idx") % 7)}
+    planned = patch.plan_nodes(node_patch(spark, d), nodes(spark, d)).withColumns(own)
+    waiting = planned.select("idx", "id", "name", "confirmed", "outcome", *own)
+    return planner.pending_entries(listed, nodes=waiting, people=people_plan(spark, d).select("idx", "uid", "confirmed", "outcome"))
 
 
 @query(_GRAPH + """, pa AS (SELECT event_ord AS idx, src, dst, type FROM edges WHERE strength = 3), dr AS (SELECT event_ord AS idx, src, dst, CASE WHEN event_ord % 2 = 0 THEN type ELSE 'R' END AS type FROM edges WHERE strength < 3),

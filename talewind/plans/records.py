@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import RESERVED_GROUPS, attributes
-from ..operators import records
+from ..operators import names, records
 from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 from .changes import _NODE_PATCH, node_patch
 from .text import query_into
@@ -91,8 +91,8 @@ _KNOWN = ("ring", "small ring", "steel", "g r", "bolt")
 @query("""SELECT p_partkey, CASE """ + " ".join(f"WHEN contains(p_name, '{k}') THEN '{k}'" for k in sorted(_KNOWN, key=len, reverse=True)) + """ ELSE p_name END AS grp FROM part""")
 def group_assign(spark: SparkSession, d: str) -> DataFrame:
     """The longest known group that a name holds; ties go to the first listed."""
-    held = [F.when(F.contains(F.col("p_name"), F.lit(k)), k) for k in sorted(_KNOWN, key=len, reverse=True)]
-    return table(spark, d, "part").select("p_partkey", F.coalesce(*held, "p_name").alias("grp"))
+    grp = names.group_of(F.concat("p_name", F.lit(".txt")), known=_KNOWN)
+    return table(spark, d, "part").select("p_partkey", grp["grp"].alias("grp"))
 
 
 @query(_GRAPH + """, c AS (SELECT id FROM nodes WHERE brand = 'Brand#11'), s AS (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)

@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 
 from ..operators import search
 from ..operators import segments as seg
-from ..operators.names import normalized
+from ..operators.names import mapped, normalized
 from ..operators.ordered import summed_before
+from ..sources import texts
 from ..sources.tables import table
 
 Q, S = {}, {}
@@ -68,17 +69,15 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query(_LINES + """SELECT t AS term, doc_id, min(no) AS first_line, count(*) AS n FROM lines, (SELECT unnest(['license', 'the and', 'Der ']) AS t) WHERE contains(line, t) GROUP BY ALL""")
 def text_grep(spark: SparkSession, d: str) -> DataFrame:
     terms = ["license", "the and", "Der "]
-    hit = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(F.col("line"), t))
-    return lines(spark, d).select("doc_id", "no", F.explode(hit).alias("term")).groupBy("term", "doc_id").agg(F.min("no").alias("first_line"), F.count("*").alias("n"))
+    return search.term_hits(lines(spark, d), "line", terms, ["doc_id", "no"]).groupBy("term", "doc_id").agg(F.min("no").alias("first_line"), F.count("*").alias("n"))
 
 
 @query(r"""SELECT name, sum(len(regexp_extract_all(text, pattern)))::BIGINT AS hits, count(*) AS docs FROM documents,
 (VALUES ('number', '[0-9]+'), ('shout', '!!+'), ('address', '[a-z0-9.]+@[a-z0-9.]+'), ('table', ' \| ')) p(name, pattern) WHERE regexp_matches(text, pattern) GROUP BY name""")
 def text_lint(spark: SparkSession, d: str) -> DataFrame:
     patterns = {"number": "[0-9]+", "shout": "!!+", "address": "[a-z0-9.]+@[a-z0-9.]+", "table": r" \| "}
-    counts = F.array(*[F.struct(F.lit(k).alias("name"), F.regexp_count("text", F.lit(p)).alias("hits")) for k, p in patterns.items()])
-    each = table(spark, d, "documents").select(F.explode(counts).alias("c")).filter("c.hits > 0")
-    return each.groupBy("c.name").agg(F.sum("c.hits").alias("hits"), F.count("*").alias("docs"))
+    found = search.pattern_hits(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", patterns)
+    return found.select(F.col("pattern").alias("name"), "hits", F.col("texts").alias("docs"))
 
 
 @query("""SELECT lang, CASE WHEN length(text) < 40 THEN '<40' WHEN length(text) < 80 THEN '40-80' WHEN length(text) < 130 THEN '80-130' ELSE '>130' END AS bucket, count(*) AS n
@@ -159,11 +158,12 @@ def chat_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, strftime(ts, '%m-%d %H:%M') || ' u' || user_id || ': ' || CASE event_type WHEN 'click' THEN '[click]' WHEN 'purchase' THEN '[buy] ' || left(props, 20) ELSE left(props, 100) END AS line
-FROM events""")
+@query("""WITH m AS (SELECT event_id, ts, 'u' || user_id AS name, props, CASE event_type WHEN 'click' THEN 'audio' WHEN 'purchase' THEN 'reply' WHEN 'view' THEN 'text' ELSE event_type END AS kind FROM events)
+SELECT event_id, '[' || strftime(ts, '%m-%d %H:%M') || '] ' || name || ': ' || CASE kind WHEN 'audio' THEN '[语音]' WHEN 'reply' THEN '(回复) ' || props WHEN 'text' THEN props ELSE '(' || kind || ') ' || left(props, 100) END AS line FROM m""")
 def message_lines(spark: SparkSession, d: str) -> DataFrame:
-    body = F.when(F.col("event_type") == "click", "[click]").when(F.col("event_type") == "purchase", F.concat(F.lit("[buy] "), F.left("props", F.lit(20)))).otherwise(F.left("props", F.lit(100)))
-    return table(spark, d, "events").select("event_id", F.concat(F.date_format("ts", "MM-dd HH:mm"), F.lit(" u"), "user_id", F.lit(": "), body).alias("line"))
+    kind = F.when(F.col("event_type") == "click", "audio").when(F.col("event_type") == "purchase", "reply").when(F.col("event_type") == "view", "text").otherwise(F.col("event_type"))
+    line = texts.message_line(kind, F.col("props"), F.concat(F.lit("u"), "user_id"), F.col("ts"))
+    return table(spark, d, "events").select("event_id", line.alias("line"))
 
 
 _ALIASES = [("ring", "R"), ("small", "S"), ("in", "I"), ("steel ring", "SR"), ("brass", "B")]  # in the order of registration
@@ -180,9 +180,10 @@ def alias_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT coalesce(m.c, 'other') AS canon, event_type AS type_raw, count(*) AS n, count(*) * 100 // sum(count(*)) OVER () AS percent
 FROM events LEFT JOIN (VALUES ('click', 'act'), ('view', 'see'), ('purchase', 'buy')) m(t, c) ON m.t = event_type GROUP BY ALL""")
 def vocab_map(spark: SparkSession, d: str) -> DataFrame:
-    mapping = F.create_map(*[F.lit(x) for x in ("click", "act", "view", "see", "purchase", "buy")])
-    n = table(spark, d, "events").groupBy(F.coalesce(F.element_at(mapping, F.col("event_type")), F.lit("other")).alias("canon"), F.col("event_type").alias("type_raw")).agg(F.count("*").alias("n"))
-    return n.withColumn("total", F.sum("n").over(W.partitionBy(F.lit(1)))).withColumn("percent", F.expr("n * 100 div total")).drop("total")
+    mapping = spark.createDataFrame([("click", "act"), ("view", "see"), ("purchase", "buy")], "raw string, canonical string")
+    n = mapped(table(spark, d, "events").select(F.col("event_type").alias("type_raw")), "type_raw", mapping, "other").groupBy("canon", "type_raw").agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    return n.join(F.broadcast(total)).select("canon", "type_raw", "n", F.expr("n * 100 div total").alias("percent"))
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS hits,

@@ -11,8 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _at(spark: SparkSession, path: str):
+    """The file system of a path and the path; a local one without checksum files, which a rename would leave behind."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (files.getRawFileSystem() if files.getUri().getScheme() == "file" else files), place
+
+
+def _replace(spark: SparkSession, aside, place) -> None:
+    """Renames a file over another in one step, so that a reader always finds the old one or the new."""
+    files, _ = _at(spark, place.toString())
+    if files.getUri().getScheme() == "file":
+        if not files.rename(aside, place):  # the system's own rename, which takes the place of what stands there
+            raise OSError(f"can't put {place} in its place")
+        return
+    overwrite = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(overwrite, 1)
+    options[0] = overwrite.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, place, options)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -43,7 +58,8 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Writes a small text whole or not at all (a new file takes the old one's place); False where it is there already."""
+    """Writes a small text whole or not at all (a new file takes the old one's place in one step); False where it is there
+    already."""
     if read_text(spark, path) == text:
         return False
     files, place = _at(spark, path)
@@ -53,9 +69,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> bool:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    files.delete(place, False)
-    if not files.rename(aside, place):
-        raise OSError(f"can't put {path} in its place")
+    _replace(spark, aside, place)
     return True
 
 
@@ -95,29 +109,52 @@ def published(spark: SparkSession, folder: str, name: str, version: int | None =
 def write_indexed(spark: SparkSession, folder: str, texts: Mapping[str, str], index: str = "index.json") -> dict[str, list[str]]:
     """Writes small files and their index; returns which were written, unchanged, refused and removed.
 
-    A file that stands there without being in the last index is somebody else's: it is refused. What the last index names and
-    the new one doesn't is removed; nothing else is.
+    A file that stands there and is neither in the last index nor in an intent is somebody else's: it is refused. What these
+    name and the new index doesn't is removed; nothing else is. The intent (the names about to be written) is set down before
+    any file, and taken away after the index: so a run that follows one which died at any step knows its files for its own.
     """
-    before = set(json.loads(read_text(spark, f"{folder}/{index}") or "[]"))
-    done: dict[str, list[str]] = {"written": [], "unchanged": [], "refused": [], "removed": []}
-    for name, text in sorted(texts.items()):
-        if name not in before and exists(spark, f"{folder}/{name}"):
-            done["refused"].append(name)
-        else:
-            done["written" if write_text(spark, f"{folder}/{name}", text) else "unchanged"].append(name)
-    own = sorted(set(texts) - set(done["refused"]))
+    intent = f"{folder}/{index}.intent"
+    before = set(json.loads(read_text(spark, f"{folder}/{index}") or "[]")) | set(json.loads(read_text(spark, intent) or "[]"))
+    refused = sorted(n for n in texts if n not in before and exists(spark, f"{folder}/{n}"))
+    done: dict[str, list[str]] = {"written": [], "unchanged": [], "refused": refused, "removed": []}
+    own = sorted(set(texts) - set(refused))
+    write_text(spark, intent, json.dumps(sorted(before | set(own))))
+    for name in own:
+        done["written" if write_text(spark, f"{folder}/{name}", texts[name]) else "unchanged"].append(name)
     for name in sorted(before - set(own)):
-        remove(spark, f"{folder}/{name}")
-        done["removed"].append(name)
+        if remove(spark, f"{folder}/{name}"):
+            done["removed"].append(name)
     write_text(spark, f"{folder}/{index}", json.dumps(own))
+    remove(spark, intent)
     return done
 
 
-def append_batches(stream: DataFrame, folder: str, checkpoint: str):
+def fingerprint(parameters: Mapping[str, object]) -> str:
+    """Sixteen hex digits of parameters, whatever their order."""
+    return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def append_batches(stream: DataFrame, folder: str, checkpoint: str, parameters: Mapping[str, object] | None = None):
     """A streaming query that writes each micro-batch to a place of its own number: one that is run again after a failure writes
-    the same place over, so every row is there once."""
+    the same place over, so every row is there once.
+
+    Rows made with other ``parameters`` aren't mixed: each set of parameters has a run of its own, that is resumed where it
+    stopped when they come again, and ``current_run`` names the last one that began.
+    """
+    spark, run = stream.sparkSession, fingerprint(parameters or {})
+    write_text(spark, f"{folder}/current_run", run)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/run={run}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
+
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def appended(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the run that ``current_run`` names; those of a batch that wasn't finished are left out."""
+    run = read_text(spark, f"{folder}/current_run")
+    place = f"{folder}/run={run}"
+    whole = [f"{place}/{n}" for n in names(spark, place) if n.startswith("batch=") and exists(spark, f"{place}/{n}/_SUCCESS")]
+    if not whole:
+        raise FileNotFoundError(f"nothing is written in {folder}")
+    return spark.read.parquet(*whole)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import decoded, glob_pattern
+from .sinks import exists, names
 
 # A transcript line, a dated chat line.
 STAMPED = r"^\[\s*(\d+(?:\.\d+)?)\s*->\s*(\d+(?:\.\d+)?)\s*\]\s?(.*)$"
@@ -107,13 +108,18 @@ def message_line(kind: Column, text: Column, name: Column, ts: Column) -> Column
 
 
 def write_version(frame: DataFrame, folder: str, version: int) -> None:
-    """Writes a version of a table beside the earlier ones; a version that is there already is an error."""
-    frame.write.mode("errorifexists").parquet(f"{folder}/version={version}")
+    """Writes a version of a table beside the earlier ones; a whole version that is there already is an error, what a job left
+    that died is written over."""
+    place = f"{folder}/version={version}"
+    if exists(frame.sparkSession, f"{place}/_SUCCESS"):
+        raise FileExistsError(f"{place} is there already")
+    frame.write.mode("overwrite").parquet(place)
 
 
 def read_version(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """A version of a table, by default the newest."""
-    every = spark.read.option("mergeSchema", True).parquet(folder)
-    if version is None:
-        version = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == version).drop("version")
+    """A version of a table, by default the newest; one whose job died isn't a version."""
+    whole = {int(n.partition("=")[2]) for n in names(spark, folder) if n.startswith("version=") and exists(spark, f"{folder}/{n}/_SUCCESS")}
+    version = max(whole, default=None) if version is None else version
+    if version not in whole:
+        raise FileNotFoundError(f"no such version in {folder}")
+    return spark.read.parquet(f"{folder}/version={version}")

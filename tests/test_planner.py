@@ -34,11 +34,11 @@ def test_aliases(spark, archive):
 def test_new_nodes_are_placed(spark, archive):
     stored, aliases = archive
     entries = spark.createDataFrame(
-        [(0, "a_1", "Ann", None, None, None), (1, "a_3", "Cy", ["B"], "zz", False), (2, "a_3", "Cy", ["B"], "zz", None), (3, "b_4", "Di", None, "New", True), (4, "a_5", "", None, None, None), (5, "a_3", "Again", None, None, None)],
+        [(0, "a_1", "Ann", None, None, None), (1, "a_3", "Cy", ["B"], "zz", False), (2, "a_3", "Cy", ["B"], "zz", None), (3, "b_4", "Di", None, "New", True), (4, "a_5", "", None, None, None), (5, "a_3", "Again", None, None, None), (6, " ", "Ed", None, None, None), (7, "a_7", " \u3000", None, None, None), (8, " a_1 ", "Ann", None, None, None), (9, " a_3", "Cy", None, None, None)],
         "idx int, id string, name string, groups array<string>, played_by string, confirmed boolean",
     )
     planned = patch.plan_nodes(entries, stored)
-    assert rows(planned, "idx", "outcome") == [(0, "duplicate"), (1, "pending"), (2, "new"), (3, "new"), (4, "skipped"), (5, "duplicate")]
+    assert rows(planned, "idx", "outcome") == [(0, "skipped"), (1, "pending"), (2, "new"), (3, "new"), (4, "skipped"), (5, "skipped"), (6, "skipped"), (7, "skipped"), (8, "skipped"), (9, "skipped")]
     got = planner.placed_nodes(planned, "A", "a_", aliases)
     assert rows(got, "id", "groups", "played_by", "normalized", "off_prefix") == [("a_3", ["B", "A"], "Zed", True, False), ("b_4", ["A"], "New", False, True)]
 
@@ -78,9 +78,11 @@ def test_people_profiles_and_pending(spark):
     got = {r.idx: r for r in planner.profile_updates(profiles, more).collect()}
     assert (got[0].outcome, got[0].new_cards, got[0].new_speaking_style, got[0].new_rp_style, got[1].outcome) == ("update", ["c", "d"], None, "bold", "skipped")
     explicit = spark.createDataFrame([(0, "ask", "why"), (1, None, None)], "idx int, item string, reason string")
-    waiting = planner.pending_entries(explicit, people=planned.select("idx", "uid", "confirmed", "outcome"))
-    assert rows(waiting, "kind", "idx", "item", "reason") == [
-        ("explicit", 0, "ask", "why"), ("explicit", 1, "", ""), ("people", 1, "", "no key"), ("people", 4, "", "no key"), ("people", 5, "u8", "not confirmed")
+    told = spark.createDataFrame([(0, "n1", "Nia", False, "who is she?", "part 3", "pending"), (1, "n2", "", False, "", None, "pending"), (2, "n3", "Di", True, None, None, "new")], "idx int, id string, name string, confirmed boolean, pending_reason string, segment string, outcome string")
+    waiting = planner.pending_entries(explicit, people=planned.select("idx", "uid", "confirmed", "outcome"), nodes=told)
+    assert rows(waiting, "kind", "idx", "item", "reason", "segment") == [
+        ("explicit", 0, "ask", "why", ""), ("explicit", 1, "", "", ""), ("nodes", 0, "Nia", "who is she?", "part 3"), ("nodes", 1, "n2", "not confirmed", ""),
+        ("people", 1, "", "no key", ""), ("people", 4, "", "no key", ""), ("people", 5, "u8", "not confirmed", ""),
     ]
 
 

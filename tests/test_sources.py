@@ -143,7 +143,94 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         run = sinks.append_batches(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), f"{tmp_path}/log", f"{tmp_path}/log_at")
         run.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 10
+    assert sinks.appended(spark, f"{tmp_path}/log").count() == 10
+    other = sinks.append_batches(spark.readStream.schema("id long").parquet(f"{tmp_path}/in").filter("id > 3"), f"{tmp_path}/log", f"{tmp_path}/log_at", {"least": 3})
+    other.awaitTermination(120)
+    assert sinks.appended(spark, f"{tmp_path}/log").count() == 6  # other parameters, another run
+    (tmp_path / "log" / f"run={sinks.fingerprint({'least': 3})}" / "batch=7").mkdir()
+    assert sinks.appended(spark, f"{tmp_path}/log").count() == 6
+    with pytest.raises(FileNotFoundError):
+        sinks.appended(spark, f"{tmp_path}/none")
+
+
+class Killed(Exception):
+    pass
+
+
+def killed_after(monkeypatch, sinks, steps):
+    """From now on the job dies before its ``steps``-th step that changes the folder."""
+    left = [steps]
+
+    def dies(real):
+        def step(*a, **b):
+            if left[0] == 0:
+                raise Killed
+            left[0] -= 1
+            return real(*a, **b)
+
+        return step
+
+    for name in ("_replace", "remove"):
+        monkeypatch.setattr(sinks, name, dies(getattr(sinks, name)))
+
+
+def test_a_published_set_outlives_a_job_killed_at_any_step(spark, tmp_path, monkeypatch):
+    from talewind.sources import sinks
+
+    place, seen = f"{tmp_path}/p", set()
+    sinks.publish({"a": spark.range(1)}, place, keep=0)
+    for steps in range(3):
+        n = 10 + steps
+        with monkeypatch.context() as m:
+            killed_after(m, sinks, steps)
+            try:
+                sinks.publish({"a": spark.range(n)}, place, keep=0)
+            except Killed:
+                seen.add(steps)
+        assert sinks.published(spark, place, "a").count() in ((1, n) if steps == 0 else (n,))
+        sinks.publish({"a": spark.range(1)}, place, keep=0)
+        assert sinks.published(spark, place, "a").count() == 1
+        assert len([x for x in sinks.names(spark, place) if x.startswith("version=")]) == 1
+    assert {0, 1} <= seen
+
+
+def test_indexed_files_outlive_a_job_killed_at_any_step(spark, tmp_path, monkeypatch):
+    from talewind.sources import sinks
+
+    old, new = {"x": "1", "y": "2"}, {"x": "1b", "z": "3", "w": "4", "mine": "over"}
+    died = 0
+    for steps in range(9):
+        folder = f"{tmp_path}/{steps}"
+        sinks.write_indexed(spark, folder, old)
+        (tmp_path / str(steps) / "mine").write_text("by hand")
+        with monkeypatch.context() as m:
+            killed_after(m, sinks, steps)
+            try:
+                sinks.write_indexed(spark, folder, new)
+            except Killed:
+                died += 1
+        for name in ("x", "y", "z", "w"):
+            assert sinks.read_text(spark, f"{folder}/{name}") in (None, old.get(name), new.get(name))
+        got = sinks.write_indexed(spark, folder, new | {"z": "5"})
+        assert got["refused"] == ["mine"]
+        assert {n: sinks.read_text(spark, f"{folder}/{n}") for n in ("x", "y", "z", "w", "mine")} == {"x": "1b", "y": None, "z": "5", "w": "4", "mine": "by hand"}
+        assert sinks.names(spark, folder) == ["index.json", "mine", "w", "x", "z"] or died
+        assert not sinks.exists(spark, f"{folder}/index.json.intent")
+    assert died >= 6
+
+
+def test_a_version_whose_job_died_is_none(spark, tmp_path):
+    place = str(tmp_path / "t")
+    texts.write_version(spark.range(2), place, 1)
+    spark.range(5).write.parquet(f"{place}/version=2")
+    (tmp_path / "t" / "version=2" / "_SUCCESS").unlink()
+    assert texts.read_version(spark, place).count() == 2
+    texts.write_version(spark.range(7), place, 2)
+    assert texts.read_version(spark, place).count() == 7
+    with pytest.raises(FileExistsError):
+        texts.write_version(spark.range(1), place, 2)
+    with pytest.raises(FileNotFoundError):
+        texts.read_version(spark, place, 9)
 
 
 def test_documents_that_are_missing_or_broken(spark, tmp_path):
