@@ -34,6 +34,11 @@ def real_groups(groups: Column) -> Column:
     return F.filter(F.coalesce(groups, F.expr("CAST(array() AS array<string>)")), lambda g: F.coalesce(~g.isin(*RESERVED_GROUPS), F.lit(False)))
 
 
+def stripped(text: Column | str) -> Column:
+    """``text`` without white space of any script at its ends."""
+    return F.regexp_replace(text, r"^[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+|[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}]+$", "")
+
+
 def clipped(text: Column, most: int) -> Column:
     """The trimmed text's first ``most`` code points; null where nothing is left."""
     return F.nullif(F.substring(F.trim(text), 1, most), F.lit(""))
@@ -57,11 +62,6 @@ def combined_digest(digests: Column) -> Column:
     return F.substring(F.sha2(F.array_join(parts, "").cast("binary"), 256), 1, 32)
 
 
-def json_reply(reply: Column) -> Column:
-    """The outermost braces of a reply that may stand in a fence or among prose; null without them."""
-    return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
-
-
 def attributes(text: Column) -> Column:
     """A map of lines ``name: value、value``; lines without a colon and names without values are left out, of repeated names
     the last counts (null: empty)."""

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.durable import durable
+from .graph import degree
+
 
 def manifest_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     """path, hash, status (new, changed, unchanged), first_seen: ``current`` (path, hash, seen) against ``previous``
@@ -40,13 +43,9 @@ def rollback(log: DataFrame, key: str, rev: str, body: str, to: int) -> DataFram
     return now.join(then, key).filter(~F.col(body).eqNullSafe(F.col("then"))).select(key, F.col("then").alias(body))
 
 
-def replay(nodes: DataFrame, ops: DataFrame) -> DataFrame:
-    """id, attrs after ``ops`` (seq, id, op, dim, value), in order: ``create`` an absent id, ``set`` a dimension (a null value
-    removes it), ``delete`` the node. ``nodes`` has id and attrs (a map).
-
-    Only what comes after a node's last deletion counts, and of each dimension the last value, so no fold over the log is
-    needed: a hot node's operations are combined before the shuffle.
-    """
+def _lived(nodes: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, made) of the nodes that exist in the end, with the operation that made them last (-1: stored), and their values
+    (id, dim, value)."""
     start = nodes.select("id", F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("value"))
     old = nodes.select("id", F.lit(-1).cast("long").alias("seq"), F.lit("set").alias("op"), F.explode("attrs").alias("dim", "value"))
     log = start.unionByName(old).unionByName(ops.select("id", F.col("seq").cast("long").alias("seq"), "op", "dim", "value"))
@@ -55,8 +54,41 @@ def replay(nodes: DataFrame, ops: DataFrame) -> DataFrame:
     made = alive.filter("op = 'create'").groupBy("id").agg(F.min("seq").alias("made"))
     # what was set before the node was made again found no node
     last = alive.filter("op = 'set'").join(made, "id").filter("seq >= made").groupBy("id", "dim").agg(F.max_by("value", "seq").alias("value"))
-    attrs = last.filter("value IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", "value")))).alias("attrs"))
-    return made.select("id").join(attrs, "id", "left").withColumn("attrs", F.coalesce("attrs", F.expr("CAST(map() AS map<string,string>)")))
+    return made, last.filter("value IS NOT NULL")
+
+
+def replay(nodes: DataFrame, ops: DataFrame) -> DataFrame:
+    """id, attrs after ``ops`` (seq, id, op, dim, value), in order: ``create`` an absent id, ``set`` a dimension (a null value
+    removes it), ``delete`` the node. ``nodes`` has id and attrs (a map).
+
+    Only what comes after a node's last deletion counts, and of each dimension the last value, so no fold over the log is
+    needed: a hot node's operations are combined before the shuffle.
+    """
+    made, values = _lived(nodes, ops)
+    return _with_attrs(made.select("id"), values)
+
+
+def _with_attrs(ids: DataFrame, values: DataFrame) -> DataFrame:
+    attrs = values.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", "value")))).alias("attrs"))
+    return ids.join(attrs, "id", "left").withColumn("attrs", F.coalesce("attrs", F.expr("CAST(map() AS map<string,string>)")))
+
+
+def replay_log(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, attrs, degree) and (src, dst, type, strength) after one log of nodes and relations in order.
+
+    ``log`` has seq (each once), kind (``node`` or ``edge``), op, id, dim, value as :func:`replay` takes them, and src, dst, type,
+    new_type, strength as :func:`replay_edges` does. A deleted node takes its relations; a relation can be made only while
+    both its ends exist, so of its operations those count that come after both ends were made for the last time. Degrees are
+    counted anew, a loop counts twice.
+    """
+    made, values = _lived(nodes, log.filter("kind = 'node'").select("id", "seq", "op", "dim", "value"))
+    lives = durable(made)
+    stored = edges.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "src", "dst", "type", F.lit(None).cast("string").alias("new_type"), "strength")
+    every = stored.unionByName(log.filter("kind = 'edge'").select(F.col("seq").cast("long").alias("seq"), "op", "src", "dst", "type", "new_type", "strength"))
+    end = lambda side: lives.select(F.col("id").alias(side), F.col("made").alias(f"{side}_made"))
+    late = every.join(end("src"), "src").join(end("dst"), "dst").filter("seq >= greatest(src_made, dst_made)")
+    left = durable(_edges_after(late))
+    return _with_attrs(lives.select("id"), values).join(degree(left), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), left
 
 
 def replay_edges(edges: DataFrame, ops: DataFrame, alive: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -72,12 +104,17 @@ def replay_edges(edges: DataFrame, ops: DataFrame, alive: DataFrame, deletions:
     ends = lambda side: deletions.groupBy(F.col("id").alias(side)).agg(F.max("seq").alias(f"{side}_gone"))
     known = log.join(ends("src"), "src", "left").join(ends("dst"), "dst", "left")
     late = known.filter(F.col("seq") > F.greatest(F.coalesce("src_gone", F.lit(-2)), F.coalesce("dst_gone", F.lit(-2))))
+    ids = lambda side: alive.select(F.col("id").alias(side)).distinct()
+    return _edges_after(late.join(ids("src"), "src", "left_semi").join(ids("dst"), "dst", "left_semi"))
+
+
+def _edges_after(log: DataFrame) -> DataFrame:
+    """The relations that a log of operations leaves, of each the last values."""
     key = ("src", "dst", "type")
-    gone = late.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))), F.lit(-2)).alias("gone"))
-    open_ = late.join(gone, list(key)).filter("seq > gone")
+    gone = log.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))), F.lit(-2)).alias("gone"))
+    open_ = log.join(gone, list(key)).filter("seq > gone")
     made = open_.groupBy(*key).agg(F.min(F.when(F.col("op") == "create", F.col("seq"))).alias("made")).filter("made IS NOT NULL")
     valid = open_.join(made, list(key)).filter("seq >= made AND (op <> 'create' OR seq = made)")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     values = valid.groupBy(*key).agg(last("new_type").alias("new_type"), last("strength").alias("strength"))
-    ids = lambda side: alive.select(F.col("id").alias(side)).distinct()
-    return values.join(ids("src"), "src", "left_semi").join(ids("dst"), "dst", "left_semi").select("src", "dst", F.coalesce("new_type", "type").alias("type"), "strength")
+    return values.select("src", "dst", F.coalesce("new_type", "type").alias("type"), "strength")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import stripped
+
 
 def _decided(rows: DataFrame, key: list[str], problem: Column, stored: Column, again: str = "duplicate") -> DataFrame:
     """``rows`` (idx, ...) with outcome, ``again`` for what is stored or came earlier; rows that can't be accepted get a window
@@ -24,7 +26,7 @@ def plan_nodes(patch: DataFrame, stored: DataFrame) -> DataFrame:
     """``patch`` (idx, id, name, confirmed) with outcome, ids and names trimmed; ``stored`` has the ids of the archive. An entry
     without id or name, or whose id is stored or came earlier, is skipped."""
     known = stored.select("id", F.lit(True).alias("known")).distinct()
-    trimmed = {c: F.regexp_replace(c, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", "") for c in ("id", "name")}
+    trimmed = {c: stripped(c) for c in ("id", "name")}
     rows = patch.withColumns(trimmed).join(known, "id", "left")
     blank = F.coalesce((F.col("id") == "") | (F.col("name") == ""), F.lit(True))
     problem = F.when(~F.coalesce("confirmed", F.lit(True)), "pending").when(blank, "skipped")

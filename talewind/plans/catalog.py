@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graph", "text", "changes", "records", "planning", "finding")
+_MODULES = ("graph", "text", "changes", "records", "planning", "finding", "entries")
 
 
 def queries() -> dict:
