@@ -8,7 +8,6 @@ many words of one length at a time; long words are summed in logarithms.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ ROUNDS = 3
 #: Words of so many letters and more are summed in logarithms, as their sums leave the range of numbers.
 LOG_FROM = 60
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters with their marks, by Unicode category. Digits, fractions, numerals in circles and the like are none.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Each letter of a piece multiplies its probability by this, so that long words don't underflow; taken back in the logarithm.
 _GAIN = 256.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -49,7 +50,7 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: its runs of letters in lower case, marked at their start."""
+    """The words of a text: its runs of letters and their marks in lower case, marked at their start."""
     return [_START + w for w in _LETTERS.findall(text.lower())]
 
 
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, path: str | None = None) -> Model:
 def predict(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
     """``docs`` and a struct ``name``: lang_pred, score (0 to 1) of every row.
 
-    A null text, one without letters, or a model without languages gives ``und`` and 0. Texts are read whole; repeated rows
+    A null text, one without letters (by Unicode category: ``½`` and ``②`` are none), or a model without languages gives ``und`` and 0. Texts are read whole; repeated rows
     score alike; ties go to the first language by name; an empty table gives no rows. Other columns are kept as they are;
     ``name`` must be a new one.
     """

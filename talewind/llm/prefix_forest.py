@@ -3,11 +3,13 @@
 A tree is the sorted array of the vectors' hash strings, one bit for each of ``DEPTH`` random hyperplanes through the mean
 of the data. The vectors are dealt by a hash into shards of bounded size, each with a forest of ``TREES`` trees of its own.
 A query descends every tree to its longest shared prefix; then all trees ascend together, one bit at a time, until the
-subtrees under the shared prefix hold ``GATHER`` entries for each candidate wanted and as many different vectors as are
-wanted. Of these the ones that most trees hold are the candidates and are compared exactly: ``BUDGET`` times ``k`` of the
-whole table, dealt over the shards in proportion, at least ``LEAST`` times ``k`` in each shard; ties in the number of trees
-are all compared. So a query's comparisons stay a fixed number until there are ``BUDGET / LEAST`` shards and are from then on
-``LEAST * k / SHARD`` of the vectors.
+subtrees under the shared prefix hold ``GATHER`` entries for each vector of the shard (2.5 % of all its entries) and as many
+different vectors as are wanted. Of these the ones that most trees hold are the candidates and are compared exactly: ``BUDGET``
+times ``k`` of the whole table, dealt over the shards in proportion, at least one in ``SHARE`` of a shard's vectors; ties in the
+number of trees are all compared. How far the trees ascend decides on recall: at a sixteenth of these entries a twentieth of
+the true neighbours stands behind 1,290 others of a shard, at all of them behind 36 (evenly spread vectors, the hardest case).
+Every query asks every shard, so the work grows with queries times vectors: on evenly spread vectors no smaller part of the
+entries holds the neighbours, whatever the order in which they are looked through.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from .pigeonhole_join import usable
 
 TREES = 320
 DEPTH = 32
-#: Vectors to compare for each neighbour asked, over the whole table and in one shard at least; entries to gather for each.
-BUDGET, LEAST, GATHER = 60, 4, 160
+#: Vectors to compare for each neighbour asked, over the whole table; of how many in a shard one is compared at least; entries
+#: to gather for each vector of a shard.
+BUDGET, SHARE, GATHER = 30, 64, 8
 #: Vectors of a shard, and queries that meet it in one task.
 SHARD, QUERY_BLOCK = 16384, 65536
 _TOGETHER = 8  # trees whose planes are multiplied at once
@@ -58,34 +61,54 @@ class Forest:
         self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(codes, self.order, axis=1).astype(np.uint64)
 
+    def spans(self, codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each tree and query, where the subtree under the first ``length`` bits begins and ends."""
+        found = [subtree(run, hashed, length) for run, hashed in zip(self.sorted, codes, strict=True)]
+        return np.stack([low for low, _ in found]), np.stack([high for _, high in found])
+
+    def ascended(self, codes: np.ndarray, entries: int) -> np.ndarray:
+        """For each query the longest prefix under which all trees together hold so many entries. Subtrees only grow on the way
+        up, so the end of the ascent is found by halving."""
+        least, most = np.zeros(codes.shape[1], np.int64), np.full(codes.shape[1], DEPTH)
+        while (least < most).any():
+            middle = (least + most + 1) // 2
+            low, high = self.spans(codes, middle)
+            enough = (high - low).sum(axis=0) >= entries
+            least, most = np.where(enough, middle, least), np.where(enough, most, middle - 1)
+        return least
+
     def candidates(self, asked_ids: np.ndarray, asked: np.ndarray, wanted: int, gather: int = GATHER):
         """For each query the places of its candidates; never those of its own id."""
-        n = len(self.ids)
+        n, entries = len(self.ids), self.order.ravel()
         if n <= wanted:
             for i in asked_ids:
                 yield np.flatnonzero(self.ids != i)
             return
         codes = hashes(asked, self.mean, len(self.order))
-        lengths = np.arange(DEPTH + 1, dtype=np.uint64)[None]
-        held = np.zeros((len(asked), DEPTH + 1), np.int64)
-        for run, hashed in zip(self.sorted, codes, strict=True):
-            low, high = subtree(run, hashed[:, None], lengths)
-            held += high - low
+        first = (np.arange(len(self.order)) * n)[:, None]
+        length = self.ascended(codes, gather * n)
+        low, high = self.spans(codes, length)
         own = [np.searchsorted(self.ids, asked_ids, side) for side in ("left", "right")]
-        start = DEPTH - np.argmax(held[:, ::-1] >= gather * wanted, axis=1)
-        start[held.max(axis=1) < gather * wanted] = 0
-        for q, length in enumerate(start.tolist()):
+        for q in range(len(asked_ids)):
+            begin, end = low[:, q] + first[:, 0], high[:, q] + first[:, 0]
             while True:
-                low, high = zip(*(subtree(run, hashed, length) for run, hashed in zip(self.sorted, codes[:, q], strict=True)), strict=True)
-                trees = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=n)
+                sizes = end - begin
+                at = np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+                trees = np.bincount(entries[at], minlength=n)
                 trees[own[0][q] : own[1][q]] = 0  # the query itself
-                if length == 0 or np.count_nonzero(trees) >= wanted:
+                if length[q] == 0 or np.count_nonzero(trees) >= wanted:
                     break
-                length -= 1
+                length[q] -= 1
+                begin, end = (x[:, 0] + first[:, 0] for x in self.spans(codes[:, [q]], length[[q]]))
             least = max(1, np.partition(trees, n - wanted)[n - wanted])
             yield np.flatnonzero(trees >= least)
 
 
+def wanted_of(held: int, all_: int, k: int, budget: int = BUDGET) -> int:
+    """How many of a shard's ``held`` vectors are compared."""
+    return max(-(-budget * k * held // all_), -(-held // SHARE), min(held, k))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, budget: int = BUDGET) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the ``k`` nearest found by Euclidean distance, ties to the smaller id.
 
@@ -121,8 +144,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, budget: int = B
         if not left.empty and not right.empty:
             forest = Forest(left.vec_id.to_numpy(), np.stack(list(left.embedding)), mean)
             asked_ids, want = right.vec_id.to_numpy(), np.stack(list(right.embedding))
-            wanted = max(LEAST * k, -(-budget * k * len(left) // n))
-            for i, v, near in zip(asked_ids, want, forest.candidates(asked_ids, want, wanted), strict=True):
+            near_all = forest.candidates(asked_ids, want, wanted_of(len(left), n, k, budget))
+            for i, v, near in zip(asked_ids, want, near_all, strict=True):
                 score = np.sqrt(((forest.vectors[near] - v) ** 2).sum(1))
                 best = np.lexsort((forest.ids[near], score))
                 ids, first = np.unique(forest.ids[near][best], return_index=True)

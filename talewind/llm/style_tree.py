@@ -107,7 +107,7 @@ class Page:
         self._stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, OPEN, False)]  # tag, node, node where the verdict began, verdict, inside
         self._count: Counter = Counter()
         self._parts: list[str] = []
-        at, end = 0, len(source)
+        at, end, unclosed = 0, len(source), set()  # raw tags that nothing closes from here on
         while at < end:
             m = _TOKEN.search(source, at)
             if m is None:
@@ -120,10 +120,12 @@ class Page:
                 continue
             if tag in _RAW:
                 if not m.group(1) and not m.group(3).endswith("/"):
-                    if close := re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(source, at):
+                    if tag not in unclosed and (close := re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(source, at)):
                         at = close.end()
                     elif tag in _TO_THE_END:
                         at = end
+                    else:
+                        unclosed.add(tag)
                 self._parts.append(" ")
             elif tag in _BLOCKS or tag in _NOISE_TAGS:
                 self._block()
@@ -273,15 +275,19 @@ def extract(pages: DataFrame) -> DataFrame:
     named = pages.select("page_id", "url", "html", host.alias("host"))
     turned = durable(turned_branches(named))
     size = turned.agg(F.sum(F.size("turned") * 8 + F.octet_length("host"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = named.join(F.broadcast(turned), "host", "left")
+    if size <= BROADCAST_BYTES:  # sent to each task once, not into each page's row
+        sent = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.turned) for r in turned.collect()})
+        joined = named.withColumn("turned", F.lit(None).cast("array<bigint>"))
     else:
         salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         joined = salted.join(turned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+        sent = None
 
     def texts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = frozenset()
+        of = (lambda host, _: sent.value.get(host, none)) if sent is not None else (lambda _, own: none if own is None else frozenset(own))
         for part in parts:
-            text = [main_text(h or "", frozenset(() if t is None else t)) for h, t in zip(part.html, part.turned, strict=True)]
+            text = [main_text(h or "", of(host, t)) for h, host, t in zip(part.html, part.host, part.turned, strict=True)]
             yield pd.DataFrame({"page_id": part.page_id, "url": part.url, "text": text})
 
-    return joined.select("page_id", "url", "html", "turned").mapInPandas(texts, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "host", "turned").mapInPandas(texts, "page_id long, url string, text string")

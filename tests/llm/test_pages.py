@@ -2,6 +2,7 @@
 
 import math
 import resource
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -95,6 +96,9 @@ def test_deep_and_unclosed_pages(spark):
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 250_000  # KB
     assert prior_alone("<p>a<svg><p>b<select><p>c<!-- open <p>d") == "a\n\nb\n\nc"
     assert prior_alone("<p>a<script>b<p>c") == "a"
+    start = time.process_time()
+    prior_alone("<p>a<svg><select>" * 60_000)  # a megabyte of tags that nothing closes
+    assert time.process_time() - start < 10
     assert len(prior_alone("<p>" + "long " * 400_000)) == 1_999_999
     prior_alone("<center>" * 50_000 + "<dt></dt>" * 50_000 + "</ul>" * 50_000 + "<a '" * 50_001)
     assert texts(host_of(spark, [deep, "<p>&amp", "plain", "<"])) == ["deep", "&", "plain", "<"]

@@ -189,6 +189,24 @@ def test_recall_and_share_compared_of_the_registered_search(spark, scale):
     assert max(compared) < 2.5 * prefix_forest.BUDGET * 10
 
 
+def test_recall_beyond_one_shard():
+    """Two whole shards of evenly spread vectors, the hardest case."""
+    n, asked = 2 * prefix_forest.SHARD, np.arange(30)
+    points = np.random.default_rng(8).standard_normal((n, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    distance = 2 - 2 * points[asked] @ points.T
+    distance[asked, asked] = np.inf
+    truth = [set(row) for row in np.argpartition(distance, 10, axis=1)[:, :10].tolist()]
+    found = [set() for _ in asked]
+    for part in (0, 1):
+        ids = np.flatnonzero(np.arange(n) % 2 == part)
+        forest = prefix_forest.Forest(ids, points[ids], points.mean(0))
+        for q, near in enumerate(forest.candidates(asked, points[asked], prefix_forest.wanted_of(len(ids), n, 10))):
+            assert len(near) < len(ids) / 30
+            found[q] |= set(ids[near].tolist())
+    assert sum(len(t & f) for t, f in zip(truth, found, strict=True)) >= 0.93 * 10 * len(asked)
+
+
 def test_candidates_stay_few_as_the_shard_grows():
     points = np.random.default_rng(0).standard_normal((12_000, 16))
     means = []

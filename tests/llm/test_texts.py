@@ -186,6 +186,9 @@ def test_language_held_out_and_odd_rows(spark, odd):
     got = piece_lm.predict(odd, model).select("text", "language.*").collect()
     assert [r.lang_pred == "und" for r in got] == [not any(c.isalpha() for c in r.text or "") for r in got]
     assert all(0 <= r.score <= 1 for r in got)
+    numerals = spark.createDataFrame([("½ ② Ⅷ x²",), ("½ ② Ⅷ",), ("² 12 _ \u0301",), ("नमस्ते",)], "text string")
+    assert [r.lang_pred == "und" for r in piece_lm.predict(numerals, model).select("language.*").collect()] == [False, True, True, False]
+    assert piece_lm.words_of("नमस्ते Cafe\u0301 x²y") == ["▁नमस्ते", "▁cafe\u0301", "▁x", "▁y"]
     nothing = piece_lm.predict(odd, piece_lm.fit(odd.limit(0))).select("language.*").collect()
     assert {r.lang_pred for r in nothing} == {"und"}
 
