@@ -29,13 +29,14 @@ HOT = 512
 def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with the one row of ``facts`` for their key; ``n`` there is how many of the ``total`` rows have it.
 
-    Rows of hot keys stay where they lie and meet a broadcast of fewer than ``HOT`` facts; all others are dealt by key. Null
-    keys join with nothing.
+    Whether a key is hot is asked once; where none is, this is a plain join. Else rows of hot keys stay where they lie and meet
+    a broadcast of fewer than ``HOT`` facts; all others are dealt by key. Null keys join with nothing.
     """
-    hot = F.col("n") * HOT > total
-    there = rows.join(F.broadcast(facts.filter(hot)), key)
-    others = rows.join(F.broadcast(facts.filter(hot).select(key)), key, "left_anti")
-    return there.unionByName(others.join(facts.filter(~hot), key))
+    hot = [r[0] for r in facts.filter((F.col("n") * HOT > F.lit(total)) & F.col(key).isNotNull()).select(key).collect()]  # fewer than HOT
+    if not hot:
+        return rows.join(facts, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.filter(is_hot).join(F.broadcast(facts.filter(is_hot)), key).unionByName(rows.filter(~is_hot).join(facts.filter(~is_hot), key))
 
 
 def held_out(doc_id: Column) -> Column:
