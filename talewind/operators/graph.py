@@ -167,3 +167,41 @@ def merge_records(nodes: DataFrame, merges: DataFrame, texts: tuple[str, ...] =
 def kind(tag: Column) -> Column:
     """KP before BOSS before PC before NPC."""
     return F.when(tag == "KP", "kp").when(tag == "BOSS", "boss").when(tag == "PC", "pc").otherwise("npc")
+
+
+def merge_values(values: DataFrame, merges: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``values`` (id, ``by``, value, ord) after every ``src_id`` became ``dst_id``: a value stands once for each node and ``by``
+    (a dimension of attributes, the group of events), with origin (null: the node's own) and ord, which order them: the
+    node's own first, then what came with each merged node, by their ids.
+
+    Values are rows, so what repeats is combined before the shuffle and no node's values are one array. Null and empty values
+    go; a null in ``by`` is a value. Merges of merged nodes aren't followed, as in :func:`merge_nodes`.
+    """
+    names = merges.select(F.col("src_id").alias("id"), "dst_id")
+    moved = values.filter("value <> ''").join(names, "id", "left").select(F.coalesce("dst_id", "id").alias("id"), *by, "value", F.when(F.col("dst_id").isNotNull(), F.col("id")).alias("origin"), "ord")
+    first = moved.groupBy("id", *by, "value").agg(F.min(F.struct(F.col("origin").isNotNull().alias("came"), "origin", "ord")).alias("first_"))
+    return first.select("id", *by, "value", "first_.origin", "first_.ord")
+
+
+def merge_counts(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """src_id, dst_id, moved, dropped of every merge: relations that touched the merged node, and those of them that went as new
+    loops or met one that stood or had been moved there.
+
+    Of relations that meet the first (one that stood, else the earliest moved) counts for none; a relation between two merged
+    nodes moves with both and is dropped for the later. Only counts are combined, no group is sorted.
+    """
+    ends = merges.select("src_id", "dst_id")
+    touched = (
+        edges.join(ends.withColumnsRenamed({"src_id": "src", "dst_id": "new_src"}), "src", "left").join(ends.withColumnsRenamed({"src_id": "dst", "dst_id": "new_dst"}), "dst", "left")
+        .withColumn("from_", F.when(F.col("new_src").isNotNull(), F.col("src"))).withColumn("to_", F.when(F.col("new_dst").isNotNull(), F.col("dst")))
+        .select(F.coalesce("new_src", "src").alias("a"), F.coalesce("new_dst", "dst").alias("b"), "type", "event_ord", F.col("src").alias("s"), F.col("dst").alias("d"), "from_", "to_", F.greatest("from_", "to_").alias("last_"))
+    )
+    moved = touched.filter("last_ IS NOT NULL")
+    each = moved.select(F.explode(F.array_distinct(F.array_compact(F.array("from_", "to_")))).alias("src_id")).groupBy("src_id").agg(F.count("*").alias("moved"))
+    falls = moved.groupBy(F.col("last_").alias("src_id")).agg(F.count("*").alias("all_"))
+    apart = touched.filter("last_ IS NULL OR a <> b")  # of a loop nothing stays
+    by = F.struct(F.col("last_").isNotNull().alias("moved_"), "event_ord", "s", "d", F.col("last_").alias("src_id"))
+    stay = apart.groupBy("a", "b", "type").agg(F.min(by).alias("f")).filter("f.moved_").groupBy("f.src_id").agg(F.count("*").alias("stay_"))
+    out = ends.join(each, "src_id", "left").join(falls, "src_id", "left").join(stay, "src_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("src_id", "dst_id", zero("moved").alias("moved"), (zero("all_") - zero("stay_")).alias("dropped"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import combined_digest
 from ..sources.durable import durable
 from .graph import degree
 
@@ -118,3 +119,27 @@ def _edges_after(log: DataFrame) -> DataFrame:
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     values = valid.groupBy(*key).agg(last("new_type").alias("new_type"), last("strength").alias("strength"))
     return values.select("src", "dst", F.coalesce("new_type", "type").alias("type"), "strength")
+
+
+def folder_digests(entries: DataFrame, folder: str, name: str, digest: str, most: int = 4096) -> DataFrame:
+    """folder, n, digest: one digest of each folder's entries, whatever their order.
+
+    Up to ``most`` entries it is :func:`talewind.functions.text.combined_digest` of them. A folder with more is dealt into a power of
+    two of blocks by its names' digests, until a block has no more than ``most`` on average; the blocks' digests, named by
+    their numbers, take the place of the entries, so no folder is ever one array. Repeated entries count as often as they stand;
+    a null digest or name is empty text.
+    """
+    none = F.lit("")
+    rows = entries.select(F.col(folder).alias("f_"), F.coalesce(F.col(name).cast("string"), none).alias("name"), F.coalesce(digest, none).alias("digest"))
+    sizes = durable(rows.groupBy("f_").agg(F.count("*").alias("n")))
+    counts = sizes.withColumn("left_", F.col("n"))
+    bits = lambda c: F.when(F.col(c) <= most, 0).otherwise(F.ceil(F.log2(F.col(c) / most))).cast("int")
+    while (counts.agg(F.max("left_")).first()[0] or 0) > most:
+        dealt = rows.join(counts.select(F.col("f_").alias("g_"), bits("left_").alias("bits_")), F.col("f_").eqNullSafe(F.col("g_")))
+        block = F.conv(F.substring(F.sha2("name", 256), 1, 8), 16, 10).cast("long") % F.expr("shiftleft(1L, bits_)")
+        whole = dealt.filter("bits_ = 0").select("f_", "name", "digest")
+        parts = dealt.filter("bits_ > 0").groupBy("f_", block.alias("block_")).agg(combined_digest(F.collect_list(F.struct("name", "digest"))).alias("digest"))
+        rows = durable(whole.unionByName(parts.select("f_", F.col("block_").cast("string").alias("name"), "digest")))
+        counts = rows.groupBy("f_").agg(F.count("*").alias("left_"))
+    one = rows.groupBy("f_").agg(combined_digest(F.collect_list(F.struct("name", "digest"))).alias("digest"))
+    return sizes.join(one.withColumnRenamed("f_", "g_"), F.col("f_").eqNullSafe(F.col("g_"))).select(F.col("f_").alias(folder), "n", "digest")

@@ -62,3 +62,18 @@ def summed_before(rows: DataFrame, value: str, order: Sequence[str | Column], wi
     parts = whole.select("part_", *within, F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
     inside = F.coalesce(F.sum(value).over(W.partitionBy("part_", *within).orderBy("at_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return _with_parts(dealt.withColumn("inside_", inside), parts, within).withColumn(name, F.col("before_") + F.col("inside_")).drop("at_", "part_", "before_", "inside_")
+
+
+def previous(rows: DataFrame, value: str, order: Sequence[str | Column], within: Sequence[str] = (), name: str = "previous") -> DataFrame:
+    """``rows`` with ``value`` of the row before each in its group (null for the first).
+
+    As :func:`placed` otherwise. A partition's first row of a group takes the last value of the partition before that holds
+    the group; that is one row for each of a group's partitions.
+    """
+    dealt = _dealt(rows, order, within)
+    last = dealt.groupBy("part_", *within).agg(F.max_by(value, "at_").alias("last_"), F.min("at_").alias("first_"))
+    earlier = F.lag("last_").over(W.partitionBy(*(within or [F.lit(0)])).orderBy("part_"))
+    parts = last.select("part_", *within, "first_", earlier.alias("before_"))
+    inside = F.lag(value).over(W.partitionBy("part_", *within).orderBy("at_"))
+    met = _with_parts(dealt.withColumn("inside_", inside), parts, within)
+    return met.withColumn(name, F.when(F.col("at_") == F.col("first_"), F.col("before_")).otherwise(F.col("inside_"))).drop("at_", "part_", "first_", "before_", "inside_")

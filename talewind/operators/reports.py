@@ -105,3 +105,14 @@ def slots(members: DataFrame, given: DataFrame, next_slot: int = 0) -> DataFrame
     free = members.join(given.select("id"), "id", "left_anti").select("id", F.coalesce("name", F.lit("")).alias("name"))
     start = kept.agg(F.greatest(F.coalesce(F.max("slot") + 1, F.lit(0)), F.lit(next_slot)).alias("start"))  # one row
     return kept.unionByName(placed(free, ["name", "id"]).join(F.broadcast(start)).select("id", (F.col("start") + F.col("position")).alias("slot")))
+
+
+def talk_summary(messages: DataFrame, speaker: str, name: str, kind: str, order: str) -> DataFrame:
+    """what (speaker, type), key, n, last_name: messages of each speaker with the name seen last, and of each type (null name).
+
+    A missing speaker, name or type is ``?``. Both counts come from one pass and are combined before the shuffle.
+    """
+    known = messages.select(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(n) for c, n in ((speaker, "s_"), (name, "n_"), (kind, "k_"))], F.col(order).alias("o_"))
+    totals = known.groupingSets([["s_"], ["k_"]], "s_", "k_").agg(F.grouping("s_").alias("g_"), F.count("*").alias("n"), F.max_by("n_", F.struct("o_", "n_")).alias("last_"))
+    by_type = F.col("g_") == 1
+    return totals.select(F.when(by_type, "type").otherwise("speaker").alias("what"), F.when(by_type, F.col("k_")).otherwise(F.col("s_")).alias("key"), "n", F.when(~by_type, F.col("last_")).alias("last_name"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("graph", "text", "changes", "records", "planning", "finding", "entries")
+_MODULES = ("graph", "text", "changes", "records", "planning", "finding", "entries", "quality")
 
 
 def queries() -> dict:

@@ -48,6 +48,23 @@ def classified(files: DataFrame) -> DataFrame:
     return files.withColumn("head", head).withColumn("lines", lines).withColumn("kind", kind).drop("head", "lines")
 
 
+def reclassified(files: DataFrame, previous: DataFrame) -> DataFrame:
+    """``files`` (path, content) with hash (SHA-256) and kind; a file that ``previous`` (path, hash, kind) holds with the same
+    hash takes its kind over, only the others' heads are looked at. A kind of null isn't taken over; of paths that repeat in
+    ``previous`` the least kind with the same hash is."""
+    known = previous.filter("kind IS NOT NULL").groupBy("path", "hash").agg(F.min("kind").alias("known_"))
+    hashed = files.withColumn("hash", F.sha2("content", 256)).join(known, ["path", "hash"], "left")
+    same = hashed.filter("known_ IS NOT NULL").withColumnRenamed("known_", "kind")
+    return same.unionByName(classified(hashed.filter("known_ IS NULL").drop("known_")))
+
+
+def edge_digest(content: Column, edge: int = 1 << 20) -> Column:
+    """32 hex digits of the SHA-256 of a file's first ``edge`` bytes, with its last ones where it has more than twice as many; a
+    change between them isn't seen, so compare the lengths too."""
+    ends = F.when(F.octet_length(content) > 2 * edge, F.concat(F.substring(content, 1, edge), F.substring(content, -edge, edge))).otherwise(F.substring(content, 1, edge))
+    return F.substring(F.sha2(ends, 256), 1, 32)
+
+
 def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("no", "line"))
 
