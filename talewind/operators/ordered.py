@@ -64,16 +64,16 @@ def summed_before(rows: DataFrame, value: str, order: Sequence[str | Column], wi
     return _with_parts(dealt.withColumn("inside_", inside), parts, within).withColumn(name, F.col("before_") + F.col("inside_")).drop("at_", "part_", "before_", "inside_")
 
 
-def previous(rows: DataFrame, value: str, order: Sequence[str | Column], within: Sequence[str] = (), name: str = "previous") -> DataFrame:
-    """``rows`` with ``value`` of the row before each in its group (null for the first).
+def last_before(rows: DataFrame, value: Column, own: str, order: Sequence[str | Column], within: Sequence[str] = (), name: str = "before") -> DataFrame:
+    """``rows`` with ``value`` as ``own`` and, as ``name``, the last value that isn't null before each in its group (null: none is).
 
-    As :func:`placed` otherwise. A partition's first row of a group takes the last value of the partition before that holds
-    the group; that is one row for each of a group's partitions.
+    As :func:`placed` otherwise; the value is computed where the rows were dealt to. A partition's first rows of a group take the
+    last value of the partitions before that hold the group; that is one row for each of a group's partitions.
     """
-    dealt = _dealt(rows, order, within)
-    last = dealt.groupBy("part_", *within).agg(F.max_by(value, "at_").alias("last_"), F.min("at_").alias("first_"))
-    earlier = F.lag("last_").over(W.partitionBy(*(within or [F.lit(0)])).orderBy("part_"))
-    parts = last.select("part_", *within, "first_", earlier.alias("before_"))
-    inside = F.lag(value).over(W.partitionBy("part_", *within).orderBy("at_"))
+    dealt = _dealt(rows, order, within).withColumn(own, value)
+    last = dealt.groupBy("part_", *within).agg(F.max_by(own, F.when(F.col(own).isNotNull(), F.col("at_"))).alias("last_"))
+    earlier = F.last("last_", True).over(W.partitionBy(*(within or [F.lit(0)])).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    parts = last.select("part_", *within, earlier.alias("before_"))
+    inside = F.last(own, True).over(W.partitionBy("part_", *within).orderBy("at_").rowsBetween(W.unboundedPreceding, -1))
     met = _with_parts(dealt.withColumn("inside_", inside), parts, within)
-    return met.withColumn(name, F.when(F.col("at_") == F.col("first_"), F.col("before_")).otherwise(F.col("inside_"))).drop("at_", "part_", "first_", "before_", "inside_")
+    return met.withColumn(name, F.coalesce("inside_", "before_")).drop("at_", "part_", "before_", "inside_")

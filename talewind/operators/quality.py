@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import stamp
-from .ordered import previous
+from .ordered import last_before
 from .search import is_leak
 
 KEPT, LEAK, REPEAT = "kept", "leak", "repeat"
@@ -21,14 +21,12 @@ def outcomes(lines: DataFrame, key: str, order: Sequence[str], text: str, prompt
 
     A leak doesn't change what was kept last. A repeat equals it, so the line before among those that are no leak tells, and
     no fold is needed. A null text is empty; empty lines are kept and stand between repeats. Lines that tie in ``order`` come
-    in any order. An empty table gives none; a null key is a key. leak_ and previous_ are used inside.
+    in any order. An empty table gives none; a null key is a key. said_ and last_kept_ are used inside.
     """
-    told = lines.withColumn("leak_", F.coalesce(is_leak(F.col(text), prompt, threshold), F.lit(False)))
-    said = F.coalesce(text, F.lit(""))
-    rest = previous(told.filter("NOT leak_").withColumn("said_", said), "said_", list(order), [key], "previous_")
-    kept = rest.withColumn("outcome", F.when((F.col("said_") != "") & F.col("said_").eqNullSafe(F.col("previous_")), REPEAT).otherwise(KEPT))
-    names = [*lines.columns, "outcome"]
-    return kept.select(*names).unionByName(told.filter("leak_").withColumn("outcome", F.lit(LEAK)).select(*names))
+    said = F.when(~F.coalesce(is_leak(F.col(text), prompt, threshold), F.lit(False)), F.coalesce(text, F.lit("")))
+    met = last_before(lines, said, "said_", list(order), [key], "last_kept_")
+    repeat = (F.col("said_") != "") & F.col("said_").eqNullSafe(F.col("last_kept_"))
+    return met.withColumn("outcome", F.when(F.col("said_").isNull(), LEAK).when(repeat, REPEAT).otherwise(KEPT)).drop("said_", "last_kept_")
 
 
 def report(told: DataFrame, key: str, start: str, text: str, heads: int = 5, samples: int = 3) -> DataFrame:

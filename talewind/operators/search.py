@@ -212,16 +212,14 @@ def is_leak(text: Column, prompt: str, threshold: float = 0.8) -> Column:
     as similar to one as ``threshold``; lines of less than four characters never are. Blanks and punctuation don't count."""
     whole = squeezed_plain(prompt)
     pieces = [p for p in map(squeezed_plain, re.split(r"[，。！？；,;.!?]", prompt)) if len(p) >= 5]
-    line = squeezed(F.coalesce(text, F.lit("")))
-    plain = F.contains(F.lit(whole), line)
-    for p in pieces:
-        plain = plain | F.contains(line, F.lit(p)) | F.contains(F.lit(p), line)
 
     @F.pandas_udf("boolean")
-    def similar(lines: pd.Series, known: pd.Series) -> pd.Series:
-        def one(x: str, done: bool) -> bool:
-            if done or not x or len(x) < 4:
-                return bool(done)
+    def leaks(lines: pd.Series) -> pd.Series:
+        def one(x: str) -> bool:
+            if len(x) < 4:
+                return False
+            if x in whole or any(p in x or x in p for p in pieces):
+                return True
             for p in pieces:
                 if 2 * min(len(x), len(p)) >= threshold * (len(x) + len(p)):
                     m = difflib.SequenceMatcher(None, x, p)
@@ -229,8 +227,8 @@ def is_leak(text: Column, prompt: str, threshold: float = 0.8) -> Column:
                         return True
             return False
 
-        return pd.Series([one(x, d) for x, d in zip(lines, known, strict=True)])
+        return pd.Series([one(x) for x in lines], dtype=bool)
 
     if not whole:
         return F.lit(False)
-    return (F.length(line) >= 4) & similar(line, plain)
+    return leaks(squeezed(F.coalesce(text, F.lit(""))))

@@ -73,13 +73,14 @@ def test_the_stream_equals_the_batch_across_a_restart(spark, said, tmp_path):
     assert sorted((tuple(r) for r in told), key=repr) == plain_outcomes(rows, PROMPT)
 
 
-def test_the_row_before(spark):
+def test_the_last_value_before(spark):
     rng = random.Random(3)
-    rows = [(g, i, rng.choice([None, "x", "y"])) for g in ("hot", "b", None) for i in range(300 if g == "hot" else 5)]
-    got = ordered.previous(spark.createDataFrame(rows, "g string, i int, v string").repartition(5), "v", ["i"], ["g"]).collect()
-    values = {(g, i): v for g, i, v in rows}
+    rows = [(g, i, rng.choice([None, None, "x", "y"])) for g in ("hot", "b", None) for i in range(300 if g == "hot" else 5)]
+    got = ordered.last_before(spark.createDataFrame(rows, "g string, i int, v string").repartition(5), F.upper("v"), "own", ["i"], ["g"]).collect()
     assert len(got) == len(rows)
-    assert all(r.previous == values.get((r.g, r.i - 1)) for r in got)
+    for r in got:
+        earlier = [v for g, i, v in rows if g == r.g and i < r.i and v]
+        assert (r.own, r.before) == (r.v and r.v.upper(), earlier[-1].upper() if earlier else None)
 
 
 def test_calls_are_tried_again_and_never_end_the_job(spark):
