@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import stamp
+from ..sources.durable import durable
 from .ordered import last_before
 from .search import is_leak
 
@@ -21,12 +22,17 @@ def outcomes(lines: DataFrame, key: str, order: Sequence[str], text: str, prompt
 
     A leak doesn't change what was kept last. A repeat equals it, so the line before among those that are no leak tells, and
     no fold is needed. A null text is empty; empty lines are kept and stand between repeats. Lines that tie in ``order`` come
-    in any order. An empty table gives none; a null key is a key. said_ and last_kept_ are used inside.
+    in any order. An empty table gives none; a null key is a key. said_, line_ and last_kept_ are used inside.
     """
-    said = F.when(~F.coalesce(is_leak(F.col(text), prompt, threshold), F.lit(False)), F.coalesce(text, F.lit("")))
-    met = last_before(lines, said, "said_", list(order), [key], "last_kept_")
-    repeat = (F.col("said_") != "") & F.col("said_").eqNullSafe(F.col("last_kept_"))
-    return met.withColumn("outcome", F.when(F.col("said_").isNull(), LEAK).when(repeat, REPEAT).otherwise(KEPT)).drop("said_", "last_kept_")
+    said = F.coalesce(text, F.lit(""))
+    told = F.when(said == "", F.lit(b"")).otherwise(F.unhex(F.sha2(said, 256)))
+    leak = F.coalesce(is_leak(F.col(text), prompt, threshold), F.lit(False))
+    cut = durable(lines.withColumn("said_", F.when(~leak, told)).withColumn("line_", F.monotonically_increasing_id()))
+    # digests alone are put in order; the texts meet what was told of them once
+    narrow = last_before(cut.select(*dict.fromkeys([key, *order, "said_", "line_"])), F.col("said_"), "said_", list(order), [key], "last_kept_")
+    repeat = (F.col("said_") != F.lit(b"")) & F.col("said_").eqNullSafe(F.col("last_kept_"))
+    found = narrow.select("line_", F.when(F.col("said_").isNull(), LEAK).when(repeat, REPEAT).otherwise(KEPT).alias("outcome"))
+    return cut.drop("said_").join(found, "line_").drop("line_")
 
 
 def report(told: DataFrame, key: str, start: str, text: str, heads: int = 5, samples: int = 3) -> DataFrame:
