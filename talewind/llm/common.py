@@ -29,9 +29,10 @@ HOT = 512
 def join_counted(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with the one row of ``facts`` for their key; ``n`` there is how many of the ``total`` rows have it.
 
-    Whether a key is hot is asked once; where none is, this is a plain join. Else rows of hot keys stay where they lie and meet
-    a broadcast of fewer than ``HOT`` facts; all others are dealt by key. Null keys join with nothing.
+    The facts are computed once, and which keys are hot is asked once; where none is, this is a plain join. Else rows of hot keys
+    stay where they lie and meet a broadcast of fewer than ``HOT`` facts; all others are dealt by key. Null keys join with nothing.
     """
+    facts = durable(facts)
     hot = [r[0] for r in facts.filter((F.col("n") * HOT > F.lit(total)) & F.col(key).isNotNull()).select(key).collect()]  # fewer than HOT
     if not hot:
         return rows.join(facts, key)

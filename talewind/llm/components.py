@@ -5,35 +5,51 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import durable, join_counted
+from .common import HOT, durable
 
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (the least id that links reach) for every end of ``links`` (a, b); the order of the ends is free.
 
-    Every round moves links nearer to the least id of their component; the rounds end when no link changes. A node's
-    links are only joined with their minimum, never gathered; those of a hub stay dealt over all tasks. Links of a node with
-    itself and nulls are dropped.
+    Every round moves links nearer to the least id of their component; the rounds end when all links are stars: each node has
+    one link to a lower one, which has none. Links of a hub (see ``join_counted``) stay dealt over all tasks and meet a broadcast
+    of the hubs' minima; those of other nodes take their minimum from a window, which spills. Links of a node with itself and
+    nulls are dropped.
     """
+    spark, kind = links.sparkSession, links.schema["a"].dataType.simpleString()
     links = durable(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    seen = None
+    own = W.partitionBy("a")
     while True:
-        print_ = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if tuple(print_) == seen or print_[0] == 0:
-            return links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(
-                links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            ).groupBy("id").agg(F.min("component").alias("component"))
-        seen = tuple(print_)
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = join_counted(both, least, "a", 2 * print_[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = durable(large.distinct())
-        lower = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_counted(large, lower, "a", large.count()).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = durable(small.unionByName(lower.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        both = links.withColumn("up", F.lit(1)).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        nodes = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"), F.sum("up").alias("ups"))
+        no_star = (F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("n") > 1))
+        is_hub = F.col("n") * HOT > F.lit(2 * links.count())  # fewer than HOT
+        open_, hubs = nodes.agg(F.count_if(no_star), F.collect_list(F.when(is_hub, F.struct("a", "m")))).first()
+        if not open_:
+            stars = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return stars.unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        hub = F.col("a").isin([h.a for h in hubs]) if hubs else F.lit(False)
+
+        # links to what is above a node go to its least neighbour
+        large = both.drop("up").filter(~hub).withColumn("m", F.least(F.min("b").over(own), "a"))
+        if hubs:
+            least = spark.createDataFrame([(h.a, h.m) for h in hubs], f"a {kind}, m {kind}")
+            large = large.unionByName(both.drop("up").filter(hub).join(F.broadcast(least), "a"))
+        large = large.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        if hubs:
+            large = durable(large)
+
+        # then all that is below a node to the least of it; no node has more links here than before
+        small = large.filter(~hub).withColumn("m", F.min("b").over(own))
+        if hubs:
+            lower = large.filter(hub).groupBy("a").agg(F.min("b").alias("m"))
+            small = small.unionByName(large.filter(hub).join(F.broadcast(lower), "a"))
+        moved = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+        links = durable(moved.select("l.*").filter("a <> b").distinct())
 
 
 def roots(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
