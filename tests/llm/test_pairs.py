@@ -236,3 +236,16 @@ def test_search_with_copies_near_copies_and_repeated_ids(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     assert_same(QUERIES[name](spark, DATA), SQL[name])
+
+
+def test_components_of_random_links_equal_a_plain_search(spark):
+    draw = np.random.default_rng(7)
+    links = [(int(a), int(b)) for a, b in draw.integers(0, 900, (500, 2))] + [(950, int(b)) for b in draw.integers(0, 300, 60)]
+    least = {i: i for link in links for i in link if link[0] != link[1]}
+    while any(least[a] != least[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components(spark.createDataFrame([*links, (None, 3), (4, None)], "a long, b long")).collect()
+    assert len(got) == len(least) and {r.id: r.component for r in got} == least
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long")).count() == 0
