@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import RESERVED_GROUPS, attributes
+from ..functions.text import RESERVED_GROUPS, attributes, stripped
 from ..operators import names, records
 from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
 from .changes import _NODE_PATCH, node_patch
@@ -68,7 +68,7 @@ l AS (SELECT idx, arg_max(action, seq) FILTER (action <> 'set') AS status, arg_m
 SELECT p.idx, coalesce(l.id, p.id) AS id, coalesce(l.name, p.name) AS name, coalesce(l.status, 'open') AS status
 FROM np_out p LEFT JOIN l ON l.idx = p.idx WHERE outcome = 'pending'""")
 def review_decisions(spark: SparkSession, d: str) -> DataFrame:
-    pending = node_patch(spark, d).filter("NOT coalesce(confirmed, true)")
+    pending = node_patch(spark, d).filter("NOT coalesce(confirmed, true)").withColumns({c: stripped(c) for c in ("id", "name")})
     return records.decide(pending, decisions(spark, d), ("id", "name"))
 
 
