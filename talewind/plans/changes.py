@@ -139,7 +139,7 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
 SELECT m.id, coalesce(string_agg(dim || '=' || value, ',' ORDER BY dim) FILTER (WHERE value IS NOT NULL), '') AS attrs FROM made m LEFT JOIN vals USING (id) GROUP BY m.id""")
 def overlay_replay(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "create").otherwise("set")
-    value = F.when((F.col("value") >= 1) & (kind == "set"), F.round("value").cast("int").cast("string"))
+    value = F.when((F.col("value") >= 1) & (kind == "set"), F.bround("value").cast("int").cast("string"))
     ops = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("P"), "user_id").alias("id"), kind.alias("op"), F.col("event_type").alias("dim"), value.alias("value"))
     new = history.replay(nodes(spark, d).select("id", F.create_map(F.lit("tag"), "tag").alias("attrs")), ops)
     pairs = F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
