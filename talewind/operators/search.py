@@ -187,24 +187,31 @@ def evidence(people: DataFrame, sentences: DataFrame, words: Sequence[str], most
     return first.withColumn("run", run).filter(F.col("run") <= most).select("id", "place", "sentence", "telling")
 
 
-def holding(docs: DataFrame, text: str, passages: DataFrame, passage: str, most: int = 5) -> DataFrame:
+def holding(docs: DataFrame, text: str, passages: DataFrame, passage: str, names_bytes: int = NAMES_BYTES) -> DataFrame:
     """The columns of ``docs`` and ``passages`` for every text that holds a passage.
 
-    A passage's words between its first and last stand whole in any text that holds it, so up to ``most`` of them are the key
-    that texts and passages are joined by before the text is looked at; passages of less than three words meet all texts.
+    A text is read once by an automaton over all passages, where it lies; of a list beyond ``names_bytes`` the texts are
+    dealt as :func:`names_in` deals them. Every text holds an empty passage, no text a null.
     """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    inner = passages.withColumn("inner_", F.slice(words(F.col(passage)), 2, F.greatest(F.size(words(F.col(passage))) - 2, F.lit(0))))
-    keyed = inner.withColumn("n_", F.least(F.size("inner_"), F.lit(most))).withColumn("token_", F.array_join(F.slice("inner_", F.lit(1), F.col("n_")), " ")).drop("inner_")
-    lengths = sorted(r.n_ for r in keyed.filter("n_ > 0").select("n_").distinct().collect())
-    split = docs.withColumn("words_", words(F.col(text)))
-    windows = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size("words_")), lambda i: i + n - 1 <= F.size("words_")), lambda i: F.struct(F.lit(n).alias("n_"), F.array_join(F.slice("words_", i, F.lit(n)), " ").alias("token_")))
-    found = docs.join(keyed.filter("n_ = 0").drop("n_", "token_"), F.contains(F.col(text), F.col(passage)))
-    if lengths:
-        met = split.filter(F.size("words_") > 0).withColumn("w_", F.explode(F.array_distinct(F.flatten(F.array(*[windows(n) for n in lengths])))))
-        met = met.select(*docs.columns, "w_.*").join(keyed, ["n_", "token_"]).filter(F.contains(F.col(text), F.col(passage)))
-        found = met.select(*found.columns).unionByName(found)
-    return found
+    spark = docs.sparkSession
+    known = passages.select(F.col(passage).alias("name")).filter("name <> ''").distinct()
+    size = known.agg(F.sum(F.octet_length("name") + 16)).first()[0] or 0
+    if size <= names_bytes:
+        sent = spark.sparkContext.broadcast([r.name for r in known.collect()])
+
+        @F.pandas_udf("array<string>")
+        def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = _automaton((n, [None]) for n in sent.value) if sent.value else None
+            for part in parts:
+                yield pd.Series([_found(automaton, None, x) if automaton else [] for x in part], index=part.index, dtype=object)
+
+        found = docs.withColumn("held_", F.explode(held(F.col(text))))
+    else:
+        lines = docs.select(F.lit("").alias("grp"), F.col(text).alias("line_"))
+        met = names_in(lines, known.withColumn("grp", F.lit("")), "line_", names_bytes).select("line_", F.col("name").alias("held_"))
+        found = docs.join(met, F.col(text) == F.col("line_")).drop("line_")
+    some = found.join(passages, F.col("held_") == passages[passage]).drop("held_")
+    return some.unionByName(docs.join(passages.filter(F.col(passage) == ""), F.contains(F.col(text), F.col(passage))))
 
 
 def is_leak(text: Column, prompt: str, threshold: float = 0.8) -> Column:
