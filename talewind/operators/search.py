@@ -6,7 +6,10 @@ import difflib
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -214,6 +217,73 @@ def holding(docs: DataFrame, text: str, passages: DataFrame, passage: str, names
     return some.unionByName(docs.join(passages.filter(F.col(passage) == ""), F.contains(F.col(text), F.col(passage))))
 
 
+#: Picks and vectors of one comparison.
+PICKS, VECTORS = 8192, 8192
+
+
+def _components(column: pa.ChunkedArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``dims`` components of each vector, and which of them are there."""
+    lists = pa.concat_arrays(column.chunks)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    row, at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = at < dims
+    values, there = np.zeros((len(sizes), dims)), np.zeros((len(sizes), dims), dtype=bool)
+    values[row[first], at[first]] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)[first]
+    there[row[first], at[first]] = flat.is_valid().to_numpy(zero_copy_only=False)[first]
+    return values, there
+
+
+def nearest(picks: DataFrame, vectors: DataFrame, dims: int, most_picks: int = PICKS, most_vectors: int = VECTORS) -> DataFrame:
+    """vec_id, nearest: for each of ``picks`` (vec_id, embedding) the other of ``vectors`` (vec_id, embedding) with the least sum
+    of absolute differences over ``dims`` components, in double precision and in their order; ties to the smaller vec_id.
+
+    Components that either lacks add nothing; a sum that isn't a number is beyond all others, one of nothing beyond that. Both
+    sides are dealt in chunks, each of the one meets each of the other, and of a meeting only each pick's best is left: as
+    many pairs as asked are computed, none is stored.
+    """
+    parts, blocks = -(-max(picks.count(), 1) // most_picks), -(-max(vectors.count(), 1) // most_vectors)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = picks.filter("vec_id IS NOT NULL").select("vec_id", "embedding", deal(parts).alias("part_"), every(blocks).alias("block_"))
+    right = vectors.filter("vec_id IS NOT NULL").select("vec_id", "embedding", deal(blocks).alias("block_"), every(parts).alias("part_"))
+    schema = pa.schema([("vec_id", pa.int64()), ("level", pa.int32()), ("gap", pa.float64()), ("other", pa.int64())])
+
+    def met(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return schema.empty_table()
+        others = others.sort_by("vec_id")
+        q, ids = some["vec_id"].to_numpy(), others["vec_id"].to_numpy()
+        (a, a_there), (b, b_there) = _components(some["embedding"], dims), _components(others["embedding"], dims)
+        whole, b, b_there = a_there.all() and b_there.all(), np.ascontiguousarray(b.T), np.ascontiguousarray(b_there.T)
+        found = []
+        for i in range(0, len(q), 16):
+            gap, diff = np.zeros((len(q[i : i + 16]), len(ids))), np.empty((len(q[i : i + 16]), len(ids)))
+            counted = np.zeros(gap.shape, dtype=bool)
+            with np.errstate(all="ignore"):
+                for k in range(dims):
+                    np.abs(np.subtract(a[i : i + 16, k, None], b[k], out=diff), out=diff)
+                    if not whole:
+                        both = a_there[i : i + 16, k, None] & b_there[k]
+                        diff[~both] = 0
+                        counted |= both
+                    gap += diff
+            level = np.isnan(gap).astype(np.int32)
+            if not whole:
+                level[~counted] = 2
+            level[q[i : i + 16, None] == ids] = 3
+            least = level.min(axis=1)
+            best = np.where(level == least[:, None], np.where(level > 0, 0.0, gap), np.inf)
+            low = best.min(axis=1)
+            at = ((level == least[:, None]) & (best == low[:, None])).argmax(axis=1)  # the first is the smallest vec_id
+            found.append(pa.table([q[i : i + 16], least, low, ids[at]], schema=schema).filter(pa.array(least < 3)))
+        return pa.concat_tables(found)
+
+    key = ("part_", "block_")
+    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(met, "vec_id long, level int, gap double, other long")
+    return best.groupBy("vec_id").agg(F.min(F.struct("level", "gap", "other")).alias("b")).select("vec_id", F.col("b.other").alias("nearest"))
+
+
 def is_leak(text: Column, prompt: str, threshold: float = 0.8) -> Column:
     """Whether a line is a piece of the prompt: inside it, holding or inside one of its clauses of at least five characters, or
     as similar to one as ``threshold``; lines of less than four characters never are. Blanks and punctuation don't count."""

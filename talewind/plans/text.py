@@ -14,7 +14,6 @@ from ..sources import texts
 from ..sources.tables import table
 
 Q, S = {}, {}
-_BLOCKS = 64
 
 
 def query_into(queries: dict, sqls: dict):
@@ -214,10 +213,6 @@ def running_budget(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT q.vec_id, arg_min(c.vec_id, (list_sum(list_transform(range(1, 65), lambda i: abs(q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE))), c.vec_id)) AS nearest
 FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id""")
 def nearest_pick(spark: SparkSession, d: str) -> DataFrame:
-    """The staged picks (a stated query set) against all vectors, in blocks: each block of vectors meets every pick."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    blocked = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(_BLOCKS)))
-    picks = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BLOCKS - 1).cast("long"))).alias("block"))
-    gap = F.aggregate(F.zip_with("qe", "e", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    best = blocked.join(picks, "block").filter("q <> vec_id").groupBy("q").agg(F.min_by("vec_id", F.struct(gap, F.col("vec_id"))).alias("nearest"))
-    return best.withColumnRenamed("q", "vec_id")
+    """The staged picks (a stated query set) against all vectors."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return search.nearest(v.filter("vec_id % 50 = 0"), v, 64)
