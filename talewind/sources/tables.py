@@ -23,17 +23,35 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of one task where a table is dealt by its size.
+TASK_ROWS = 250_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks a stored table (its files tell the number of rows) is dealt to."""
+    return -(-max(rows.count(), 1) // TASK_ROWS)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, type, strength (3 strong, 2 medium, 1 weak), event_ord: one row per (src, dst, type)."""
+    """src, dst, type, strength (3 strong, 2 medium, 1 weak), event_ord: one row per (src, dst, type).
+
+    Lines and relations are dealt to tasks by their number, so what one task sorts and holds doesn't grow with the table.
+    """
     line = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.lead("l_partkey").over(line).alias("next")
+    stored = table(spark, sf_dir, "lineitem")
+    n = tasks(stored)
+    lines = (
+        stored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+        .repartition(n, "l_orderkey")
+        .select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", F.lead("l_partkey").over(line).alias("next"))
     )
     strength = F.when(F.max("l_quantity") >= 50, 3).when(F.max("l_quantity") >= 49, 2).otherwise(1)
     return (
         lines.filter("next IS NOT NULL")
-        .groupBy(F.concat(F.lit("P"), F.col("l_partkey")).alias("src"), F.concat(F.lit("P"), F.col("next")).alias("dst"), F.col("l_returnflag").alias("type"))
+        .repartition(n, "l_partkey", "next", "l_returnflag")  # few lines share a relation, so none are combined before
+        .groupBy("l_partkey", "next", "l_returnflag")
         .agg(strength.alias("strength"), F.min("l_orderkey").alias("event_ord"))
+        .select(F.concat(F.lit("P"), F.col("l_partkey")).alias("src"), F.concat(F.lit("P"), F.col("next")).alias("dst"), F.col("l_returnflag").alias("type"), "strength", "event_ord")
     )
 
 
