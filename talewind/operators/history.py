@@ -87,8 +87,9 @@ def replay_log(nodes: DataFrame, edges: DataFrame, log: DataFrame) -> tuple[Data
     stored = edges.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "src", "dst", "type", F.lit(None).cast("string").alias("new_type"), "strength")
     every = stored.unionByName(log.filter("kind = 'edge'").select(F.col("seq").cast("long").alias("seq"), "op", "src", "dst", "type", "new_type", "strength"))
     end = lambda side: lives.select(F.col("id").alias(side), F.col("made").alias(f"{side}_made"))
-    late = every.join(end("src"), "src").join(end("dst"), "dst").filter("seq >= greatest(src_made, dst_made)")
-    left = durable(_edges_after(late))
+    # the log is dealt by its last join's end, which holds a relation's operations together too
+    late = every.join(end("dst"), "dst").join(end("src"), "src").filter("seq >= greatest(src_made, dst_made)")
+    left = _edges_after(late)
     return _with_attrs(lives.select("id"), values).join(degree(left), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), left
 
 
@@ -112,10 +113,9 @@ def replay_edges(edges: DataFrame, ops: DataFrame, alive: DataFrame, deletions:
 def _edges_after(log: DataFrame) -> DataFrame:
     """The relations that a log of operations leaves, of each the last values."""
     key = ("src", "dst", "type")
-    gone = log.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))), F.lit(-2)).alias("gone"))
-    open_ = log.join(gone, list(key)).filter("seq > gone")
-    made = open_.groupBy(*key).agg(F.min(F.when(F.col("op") == "create", F.col("seq"))).alias("made")).filter("made IS NOT NULL")
-    valid = open_.join(made, list(key)).filter("seq >= made AND (op <> 'create' OR seq = made)")
+    each = W.partitionBy(*key)  # one deal of the log; a relation's operations spill where they are many
+    open_ = log.withColumn("gone", F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(each)).filter("gone IS NULL OR seq > gone")
+    valid = open_.withColumn("made", F.min(F.when(F.col("op") == "create", F.col("seq"))).over(each)).filter("seq >= made AND (op <> 'create' OR seq = made)")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     values = valid.groupBy(*key).agg(last("new_type").alias("new_type"), last("strength").alias("strength"))
     return values.select("src", "dst", F.coalesce("new_type", "type").alias("type"), "strength")

@@ -71,16 +71,20 @@ def _replayed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         seq.cast("long").alias("seq"), F.lit("node").alias("kind"), F.lit(op).alias("op"), "id", F.lit("tag").alias("dim"), value.alias("value"),
         *[none("string").alias(c) for c in ("src", "dst", "type", "new_type")], none("int").alias("strength"),
     )
-    edge = lambda some, seq, op, new_type, strength: some.select(
-        seq.cast("long").alias("seq"), F.lit("edge").alias("kind"), op.alias("op"), *[none("string").alias(c) for c in ("id", "dim", "value")], "src", "dst", "type", new_type.alias("new_type"), strength.cast("int").alias("strength"),
-    )
     k, at, of = F.col("k"), F.col("event_ord"), F.col("event_ord") % 5
+    edge = lambda seq, op, new_type, strength: F.struct(seq.cast("long").alias("seq"), op.alias("op"), new_type.alias("new_type"), strength.cast("int").alias("strength"))
+    ops = F.array(  # of a relation all at once, so the relations are built once for the log
+        F.when(at % 4 > 0, edge(at * 10, F.when(of == 0, "delete").when(of == 1, "create").otherwise("update"), F.when(of.isin(2, 3), "U"), F.when(of.isin(3, 4), 3))),
+        F.when(at % 3 == 0, edge(at * 10 + 5, F.lit("create"), none("string"), F.lit(2))),
+    )
     log = (
         node(people.filter(k % 9 == 0), 4000 + k * 10 + 3, "delete", none("string"))
         .unionByName(node(people.filter(k % 18 == 0), 12000 + k * 10 + 3, "create", none("string")))
         .unionByName(node(people.filter(k % 6 == 0), k * 20 + 4, "set", F.concat(F.lit("S"), k)))
-        .unionByName(edge(links.filter(at % 4 > 0), at * 10, F.when(of == 0, "delete").when(of == 1, "create").otherwise("update"), F.when(of.isin(2, 3), "U"), F.when(of.isin(3, 4), 3)))
-        .unionByName(edge(links.filter(at % 3 == 0), at * 10 + 5, F.lit("create"), none("string"), F.lit(2)))
+        .unionByName(
+            links.select("src", "dst", "type", F.explode(F.array_compact(ops)).alias("o"))
+            .select(F.col("o.seq").alias("seq"), F.lit("edge").alias("kind"), "o.op", *[none("string").alias(c) for c in ("id", "dim", "value")], "src", "dst", "type", "o.new_type", "o.strength")
+        )
     )
     return history.replay_log(people.select("id", F.create_map(F.lit("tag"), "tag").alias("attrs")), links, log)
 
