@@ -98,8 +98,8 @@ def replay_edges(edges: DataFrame, ops: DataFrame, alive: DataFrame, deletions:
     null keeps what is there), ``delete``. ``edges`` has src, dst, type, strength; ``alive`` the ids that exist in the end,
     ``deletions`` (id, seq) when nodes were deleted, which takes their edges then.
 
-    A relation is known by its ends and the type it came with, as operations name it; of each the operations are combined
-    before anything meets: those before its last deletion, or that of an end, don't count, and of the others the last values do.
+    A relation is known by its ends and the type it came with, as operations name it; of each the operations
+    before its last deletion, or that of an end, don't count, and of the others the last values do.
     """
     stored = edges.select(F.lit(-1).cast("long").alias("seq"), F.lit("create").alias("op"), "src", "dst", "type", F.lit(None).cast("string").alias("new_type"), "strength")
     log = stored.unionByName(ops.select(F.col("seq").cast("long").alias("seq"), "op", "src", "dst", "type", "new_type", "strength"))
