@@ -5,7 +5,7 @@ All of it is expressions over VARIANT, so a field of the wrong type is seen as w
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -30,11 +30,19 @@ def json_reply(reply: Column) -> Column:
     return F.coalesce(F.try_parse_json(body), *among)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def kind_of(value: Column) -> Column:
     """object, array, string, boolean, number or null of a VARIANT; SQL's null for none."""
-    of = F.schema_of_variant(value)
-    told = F.when(F.startswith(of, F.lit("OBJECT")), "object").when(F.startswith(of, F.lit("ARRAY")), "array")
-    return told.when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").when(of.isNotNull(), "number")
+
+    def told(of: Column) -> Column:
+        nested = F.when(F.startswith(of, F.lit("OBJECT")), "object").when(F.startswith(of, F.lit("ARRAY")), "array")
+        return nested.when(of == "STRING", "string").when(of == "BOOLEAN", "boolean").when(of == "VOID", "null").when(of.isNotNull(), "number")
+
+    return once(F.schema_of_variant(value), told)
 
 
 def inside(value: Column, name: str) -> Column:
@@ -44,12 +52,12 @@ def inside(value: Column, name: str) -> Column:
 
 def text_of(value: Column) -> Column:
     """The string that a VARIANT is; null for anything else."""
-    return F.when(kind_of(value) == "string", F.try_variant_get(value, "$", "string"))
+    return once(value, lambda v: F.when(kind_of(v) == "string", F.try_variant_get(v, "$", "string")))
 
 
 def list_of(value: Column) -> Column:
     """The items of a VARIANT array; null for anything else."""
-    return F.when(kind_of(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
+    return once(value, lambda v: F.when(kind_of(v) == "array", F.try_variant_get(v, "$", "array<variant>")))
 
 
 @dataclass(frozen=True)
@@ -147,7 +155,7 @@ KEPT = {
 
 
 def _cut(value: Column, most: int) -> Column:
-    return F.nullif(F.substring(stripped(text_of(value)), 1, most), F.lit(""))
+    return once(F.substring(stripped(text_of(value)), 1, most), lambda t: F.when(t != "", t))
 
 
 def _cut_list(value: Column, many: int, most: int) -> Column:
@@ -155,6 +163,21 @@ def _cut_list(value: Column, many: int, most: int) -> Column:
     return F.slice(F.transform(whole, lambda x: F.substring(x, 1, most)), 1, many)
 
 
+def _fields(value: Column, doc: Column, kept: Kept) -> list[Column]:
+    out = [_cut(inside(value, c), most).alias(c) for c, most in kept.texts.items()]
+    out += [_cut_list(inside(value, c), *most).alias(c) for c, most in kept.lists.items()]
+    for c, (many, name, most, values) in kept.dims.items():
+        entries = F.map_entries(F.from_json(F.get_json_object(doc, f"$.{c}"), "map<string, variant>"))
+        of = lambda v: F.coalesce(_cut_list(v, values, most), F.filter(F.array(_cut(v, most)), lambda x: x.isNotNull()))  # noqa: E731, B023
+        gone = lambda v: v.isNull() | (kind_of(v) == "null")
+        pair = lambda e: F.struct(F.substring(stripped(e["key"]), 1, name).alias("key"), once(e["value"], lambda v: F.when(~gone(v), of(v))).alias("value"))  # noqa: E731, B023
+        sound = F.filter(F.transform(entries, pair), lambda p: (p["key"] != "") & (p["value"].isNull() | (F.size(p["value"]) > 0)))
+        later = lambda all_, p, i: F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda q: q["key"] == p["key"])
+        last = once(F.slice(sound, 1, many), lambda all_: F.filter(all_, lambda p, i: ~later(all_, p, i)))  # noqa: B023
+        out.append(once(last, lambda x: F.when(F.size(x) > 0, F.map_from_entries(x))).alias(c))
+    return out
+
+
 def cleaned(doc: Column, kept: Kept) -> Column:
     """A struct of what ``doc`` (JSON text of an object) holds of the fields that are ``kept``; everything else is dropped.
 
@@ -163,19 +186,13 @@ def cleaned(doc: Column, kept: Kept) -> Column:
     array of one, a null value stays (it deletes the dimension), names and values are stripped and cut, empty ones and other
     types are left out, and of two equal names the last counts. Null for a text that isn't a JSON object.
     """
-    value = F.try_parse_json(doc)
-    out = [_cut(inside(value, c), most).alias(c) for c, most in kept.texts.items()]
-    out += [_cut_list(inside(value, c), *most).alias(c) for c, most in kept.lists.items()]
-    for c, (many, name, most, values) in kept.dims.items():
-        entries = F.map_entries(F.from_json(F.get_json_object(doc, f"$.{c}"), "map<string, variant>"))
-        of = lambda v: F.coalesce(_cut_list(v, values, most), F.filter(F.array(_cut(v, most)), lambda x: x.isNotNull()))  # noqa: E731, B023
-        gone = lambda v: v.isNull() | (kind_of(v) == "null")
-        pair = lambda e: F.struct(F.substring(stripped(e["key"]), 1, name).alias("key"), F.when(~gone(e["value"]), of(e["value"])).alias("value"))  # noqa: E731, B023
-        sound = F.filter(F.transform(entries, pair), lambda p: (p["key"] != "") & (p["value"].isNull() | (F.size(p["value"]) > 0)))
-        first = F.slice(sound, 1, many)
-        last = F.filter(first, lambda p, i: ~F.exists(F.slice(first, i + 2, F.greatest(F.size(first), F.lit(1))), lambda q: q["key"] == p["key"]))  # noqa: B023
-        out.append(F.when(F.size(last) > 0, F.map_from_entries(last)).alias(c))
-    return F.when(kind_of(value) == "object", F.struct(*out))
+    return once(F.try_parse_json(doc), lambda v: F.when(kind_of(v) == "object", F.struct(*_fields(v, doc, kept))))
+
+
+def cleaned_rows(entries: DataFrame, kept: Kept) -> DataFrame:
+    """idx and the fields of :func:`cleaned` of the ``entries`` (idx, doc) that are JSON objects; fields nobody asks for aren't computed."""
+    parsed = entries.select("idx", "doc", F.try_parse_json("doc").alias("value")).filter(kind_of(F.col("value")) == "object")
+    return parsed.select("idx", *_fields(F.col("value"), F.col("doc"), kept))
 
 
 def with_dimensions(old: Column, new: Column) -> Column:

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents, history
-from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table, tasks
 from .text import query_into
 
 Q, S = {}, {}
 query = query_into(Q, S)
 
+#: Entries that one task parses: a stored file may be a single group of rows, which Spark reads in one task.
+ENTRIES = 50_000
+
 # entries made of parts, some of them broken in a known way
 _DOC = """CASE WHEN p_partkey % 17 = 0 THEN '{"id": ' || p_name WHEN p_partkey % 19 = 0 THEN '[' || p_size || ']' ELSE
   '{"id": "' || CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'P' || (p_partkey - 7) ELSE 'P' || p_partkey END || '"'
@@ -35,8 +38,10 @@ def schema_issues(spark: SparkSession, d: str) -> DataFrame:
 SELECT idx, nullif(json_extract_string(doc, '$.id'), '') AS id, CASE WHEN idx % 5 > 0 AND idx % 3 > 0 THEN p_name END AS name,
   CASE WHEN idx % 13 > 0 THEN p_brand || CASE WHEN idx % 2 = 0 THEN '|' || p_type ELSE '' END END AS groups FROM b""")
 def cleaned_entries(spark: SparkSession, d: str) -> DataFrame:
-    entries = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), documents.cleaned(F.expr(_DOC), documents.KEPT["node"]).alias("c")).filter("c IS NOT NULL")
-    return entries.select("idx", "c.id", "c.name", F.array_join("c.groups", "|").alias("groups"))
+    stored = table(spark, d, "part")
+    parts = stored.select("p_partkey", "p_name", "p_brand", "p_type", "p_size").repartition(tasks(stored, ENTRIES), "p_partkey")
+    entries = parts.select(F.col("p_partkey").alias("idx"), F.expr(_DOC).alias("doc"))
+    return documents.cleaned_rows(entries, documents.KEPT["node"]).select("idx", "id", "name", F.array_join("groups", "|").alias("groups"))
 
 
 @query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Sure! ' || props || ' Anything else?' WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN props ELSE 'no idea, ' || event_type END AS reply, props FROM events)

@@ -27,9 +27,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 TASK_ROWS = 250_000
 
 
-def tasks(rows: DataFrame) -> int:
-    """How many tasks a stored table (its files tell the number of rows) is dealt to."""
-    return -(-max(rows.count(), 1) // TASK_ROWS)
+def tasks(rows: DataFrame, most: int | None = None) -> int:
+    """How many tasks a stored table (its files tell the number of rows) is dealt to, with so many rows each (``TASK_ROWS``)."""
+    return -(-max(rows.count(), 1) // (most or TASK_ROWS))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
