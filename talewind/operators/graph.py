@@ -9,6 +9,11 @@ from pyspark.sql import Window as W
 ORDER = ("event_ord", "src", "dst", "type")
 
 
+def dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``rows`` dealt by their keys to so many tasks; left as they are where no number is given."""
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """id, degree: ends of edges, so a loop counts twice."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -35,14 +40,21 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def with_groups(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges with the groups of both ends (ga, gb). Nodes are dealt by id to ``tasks``, and so are the edges that meet them."""
+    n = dealt(nodes.select("id", "groups"), tasks, "id")
+    return edges.join(n.withColumnsRenamed({"id": "src", "groups": "ga"}), "src").join(n.withColumnsRenamed({"id": "dst", "groups": "gb"}), "dst")
+
+
+def density(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Per group: nodes, inner edges, edges for each node, nodes without an inner edge."""
-    of = nodes.select("id", F.explode("groups").alias("grp"))
-    inner = edges.join(of.withColumnsRenamed({"id": "src"}), "src").join(of.select(F.col("id").alias("dst"), "grp"), ["dst", "grp"])
+    of = dealt(nodes.select("id", F.explode("groups").alias("grp")), tasks, "grp", "id")
+    common = F.flatten(F.transform("ga", lambda a: F.filter("gb", lambda b: a == b)))
+    inner = with_groups(nodes, edges.select("src", "dst"), tasks).select("src", "dst", F.explode(common).alias("grp"))
     ends = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("leaves")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("leaves")))
-    linked = inner.select("grp", F.explode(ends).alias("e")).groupBy("grp", "e.id").agg(F.sum("e.leaves").alias("leaves"))
-    counts = of.join(linked, ["grp", "id"], "left").groupBy("grp").agg(
-        F.count("*").alias("n_nodes"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("n_edges"), F.count(F.when(F.col("leaves").isNull(), 1)).alias("n_isolated")
+    linked = dealt(inner.select("grp", F.explode(ends).alias("e")).select("grp", "e.id", "e.leaves"), tasks, "grp", "id").groupBy("grp", "id").agg(F.sum("leaves").alias("leaves"))
+    counts = of.groupBy("grp", "id").agg(F.count("*").alias("n")).join(linked, ["grp", "id"], "left").groupBy("grp").agg(
+        F.sum("n").alias("n_nodes"), F.coalesce(F.sum("leaves"), F.lit(0)).alias("n_edges"), (F.sum("n") - F.count("leaves")).alias("n_isolated")
     )
     return counts.select("grp", "n_nodes", "n_edges", (F.col("n_edges") / F.greatest("n_nodes", F.lit(1))).alias("density"), "n_isolated")
 

@@ -32,6 +32,21 @@ def tasks(rows: DataFrame, most: int | None = None) -> int:
     return -(-max(rows.count(), 1) // (most or TASK_ROWS))
 
 
+#: Texts of one task: a stored file may be a single group of rows, which Spark reads in one task.
+TASK_TEXTS = 5_000
+
+
+def dealt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text of the documents, dealt to tasks for work that reads every character."""
+    stored = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stored.repartition(tasks(stored, TASK_TEXTS), "doc_id")
+
+
+def edge_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks :func:`edges` are dealt to."""
+    return tasks(table(spark, sf_dir, "lineitem"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, type, strength (3 strong, 2 medium, 1 weak), event_ord: one row per (src, dst, type).
 
