@@ -71,14 +71,19 @@ def neighbour_stats(nodes: DataFrame, edges: DataFrame, strong: int = 3) -> Data
     )
 
 
-def pair_first(edges: DataFrame, strongest: bool = False) -> DataFrame:
+def pair_first(edges: DataFrame, strongest: bool = False, tasks: int | None = None) -> DataFrame:
     """One edge for each unordered pair: the first by file order, or the strongest and then the first."""
     order = [F.desc("strength")] * strongest + [F.col(c) for c in ORDER]
-    rank = F.row_number().over(W.partitionBy(F.least("src", "dst"), F.greatest("src", "dst")).orderBy(*order))
-    return edges.withColumn("rank", rank).filter("rank = 1").drop("rank")
+    pairs = dealt(edges.withColumns({"low_": F.least("src", "dst"), "high_": F.greatest("src", "dst")}), tasks, "low_", "high_")
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("low_", "high_").orderBy(*order))).filter("rank = 1").drop("rank", "low_", "high_")
 
 
-def breadth_first(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def steps_from(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """id, other: every edge once from each end (loops left out), dealt by id to twice as many tasks as edges are."""
+    return dealt(oriented(edges).select("id", "other"), tasks and 2 * tasks, "id")
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """root, id, dist: what each root (root) reaches in at most ``depth`` steps; a few joins, each against the new ones only."""
     steps = oriented(edges).select("id", "other").distinct()
     seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("dist"))
