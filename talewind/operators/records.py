@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .graph import dealt
+
 
 def upsert_edges(edges: DataFrame, upserts: DataFrame, ids: DataFrame) -> DataFrame:
     """``edges`` (src, dst, type, strength, event_ord) after ``upserts`` (seq, src, dst, old_type, type, strength).
@@ -28,10 +30,10 @@ def upsert_edges(edges: DataFrame, upserts: DataFrame, ids: DataFrame) -> DataFr
     return changed.unionByName(appended)
 
 
-def delete_edges(edges: DataFrame, deletes: DataFrame) -> DataFrame:
+def delete_edges(edges: DataFrame, deletes: DataFrame, tasks: int | None = None) -> DataFrame:
     """``edges`` without those that ``deletes`` (src, dst, type) name; a null type is any type of the pair."""
-    gone = deletes.groupBy("src", "dst").agg(F.max(F.col("type").isNull()).alias("every"), F.collect_set("type").alias("types"))
-    left = edges.join(gone, ["src", "dst"], "left")
+    gone = dealt(deletes, tasks, "src", "dst").groupBy("src", "dst").agg(F.max(F.col("type").isNull()).alias("every"), F.collect_set("type").alias("types"))
+    left = dealt(edges, tasks, "src", "dst").join(gone, ["src", "dst"], "left")
     return left.filter(F.col("every").isNull() | ~(F.col("every") | F.array_contains("types", F.col("type")))).select(*edges.columns)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import RESERVED_GROUPS, attributes, stripped
 from ..operators import names, records
-from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..sources.tables import EDGES_SQL, NODES_SQL, edge_tasks, edges, nodes, table
 from .changes import _NODE_PATCH, node_patch
 from .text import query_into
 
@@ -43,7 +43,7 @@ SELECT src, dst, type FROM edges e WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.src
 def edge_delete(spark: SparkSession, d: str) -> DataFrame:
     stored = edges(spark, d)
     deletes = stored.filter("event_ord % 3 = 0").select("src", "dst", F.when(F.col("event_ord") % 2 == 0, "R").alias("type"))
-    return records.delete_edges(stored.select("src", "dst", "type"), deletes)
+    return records.delete_edges(stored.select("src", "dst", "type"), deletes, edge_tasks(spark, d))
 
 
 @query("""SELECT o_custkey AS uid, o_orderpriority AS grp, o_orderstatus AS role, min(o_orderkey) AS idx FROM orders
