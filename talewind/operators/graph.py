@@ -85,7 +85,7 @@ def steps_from(edges: DataFrame, tasks: int | None = None) -> DataFrame:
 
 def breadth_first(edges: DataFrame, roots: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """root, id, dist: what each root (root) reaches in at most ``depth`` steps; a few joins, each against the new ones only."""
-    steps = oriented(edges).select("id", "other").distinct()
+    steps = steps_from(edges, tasks)  # what stands twice goes when the new ones are told apart
     seen = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("dist"))
     new = seen
     for d in range(1, depth + 1):
@@ -94,10 +94,10 @@ def breadth_first(edges: DataFrame, roots: DataFrame, depth: int, tasks: int | N
     return seen
 
 
-def discovery(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def discovery(edges: DataFrame, roots: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """root, id, dist, parent: as :func:`breadth_first`, with who led to whom: of the nodes one step nearer the one that was
     itself found first, by its own chain of finders and then by id."""
-    steps = oriented(edges).select("id", "other").distinct()
+    steps = steps_from(edges, tasks)
     new = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("dist"), F.lit(None).cast("string").alias("parent"), F.expr("CAST(array() AS array<string>)").alias("chain"))
     seen = new
     for d in range(1, depth + 1):
@@ -108,9 +108,9 @@ def discovery(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen.drop("chain")
 
 
-def level_edges(edges: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+def level_edges(edges: DataFrame, found: DataFrame, depth: int, tasks: int | None = None) -> DataFrame:
     """root, dist, edges: how many edges each step of a search (root, id, dist) looks at."""
-    looked = found.filter(F.col("dist") < depth).join(oriented(edges).select("id", "other"), "id")
+    looked = found.filter(F.col("dist") < depth).join(steps_from(edges, tasks), "id")
     return looked.groupBy("root", (F.col("dist") + 1).alias("dist")).agg(F.count("*").alias("edges"))
 
 

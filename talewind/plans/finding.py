@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, history, names, search, segments
-from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..sources.tables import EDGES_SQL, NODES_SQL, dealt_texts, edge_tasks, edges, nodes, table
 from .text import _LINES, lines, query_into
 
 Q, S = {}, {}
@@ -80,7 +80,7 @@ def leak_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT root, id, 0 AS dist, parent FROM w0 UNION ALL SELECT root, id, 1, parent FROM w1 UNION ALL SELECT root, id, 2, parent FROM w2""")
 def ego_discovery(spark: SparkSession, d: str) -> DataFrame:
     roots = nodes(spark, d).filter(F.col("id").isin("P1", "P7", "P42")).select(F.col("id").alias("root"))
-    return graph.discovery(edges(spark, d), roots, 2)
+    return graph.discovery(edges(spark, d), roots, 2, edge_tasks(spark, d))
 
 
 @query(_GRAPH + """, s AS (SELECT src AS id, dst AS other FROM edges WHERE src <> dst UNION ALL SELECT dst, src FROM edges WHERE src <> dst), r AS (SELECT id AS root FROM nodes WHERE id IN ('P1', 'P7', 'P42'))
@@ -89,7 +89,8 @@ SELECT root, 1 AS dist, count(*) AS edges FROM r JOIN s ON s.id = root GROUP BY
 def ego_level_edges(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
     roots = nodes(spark, d).filter(F.col("id").isin("P1", "P7", "P42")).select(F.col("id").alias("root"))
-    return graph.level_edges(e, graph.breadth_first(e, roots, 1), 2)
+    n = edge_tasks(spark, d)
+    return graph.level_edges(e, graph.breadth_first(e, roots, 1, n), 2, n)
 
 
 @query(_SIDES + """, n AS (SELECT st.id AS root, other FROM st WHERE st.id IN ('P1', 'P7', 'P42'))
