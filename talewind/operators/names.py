@@ -9,22 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import real_groups
+from .graph import dealt
 
 #: Shorter aliases only count where they are the whole name.
 LEAST_ALIAS = 2
 
 
-def normalized(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+#: A name of more rows than this is told where its rows lie; there are at most so many times fewer of them than rows.
+HOT = 100_000
+
+
+def normalized(values: DataFrame, column: str, aliases: DataFrame, tasks: int | None = None) -> DataFrame:
     """``values`` with canon and changed; ``aliases`` (alias, canonical, ord) in the order of registration.
 
     A whole alias gives its canonical name; else the first registered alias of at least two characters that the name holds;
     else the name trimmed. Null and blank names stay as they are. What a name holds is found by joining its pieces of the
-    aliases' few lengths, so names never meet all aliases.
+    aliases' few lengths, so names never meet all aliases. What the names of more than ``HOT`` rows mean is sent to all tasks;
+    their rows and those without a name are dealt by all they hold, the others by name, to ``tasks`` if that is given.
     """
     known = aliases.groupBy("alias").agg(F.max_by("canonical", "ord").alias("canonical"), F.min("ord").alias("ord")).filter("alias <> ''")
     lengths = sorted(r.n for r in known.select(F.length("alias").alias("n")).distinct().collect() if r.n >= LEAST_ALIAS)
     name = F.trim(F.col(column))
-    distinct = values.select(name.alias("name_")).filter("name_ <> ''").distinct()
+    distinct = values.select(name.alias("name_")).filter("name_ <> ''").groupBy("name_").agg(F.count("*").alias("n_"))
     exact = distinct.join(known.select(F.col("alias").alias("name_"), F.col("canonical").alias("exact_")), "name_", "left")
     pieces = F.flatten(F.array(*[F.when(F.length("name_") >= n, F.transform(F.sequence(F.lit(1), F.length("name_") - n + 1), lambda i: F.substring("name_", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths])) if lengths else F.array().cast("array<string>")  # noqa: B023
     held = (
@@ -34,10 +40,16 @@ def normalized(values: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
         .groupBy("name_")
         .agg(F.min_by("canonical", "ord").alias("held_"))
     )
-    found = exact.join(held, "name_", "left").select("name_", F.coalesce("exact_", "held_").alias("found_"))
-    out = values.withColumn("name_", name).join(found, "name_", "left")
+    found = exact.join(held, "name_", "left").select("name_", "n_", F.coalesce("exact_", "held_").alias("told_"))
+    hot = found.filter(F.col("n_") > HOT).select("name_", "told_", F.lit(True).alias("hot_"))
+    rest = found.filter((F.col("n_") <= HOT) & F.col("told_").isNotNull()).select(F.col("name_").alias("key_"), F.xxhash64("name_").alias("at_"), F.col("told_").alias("rest_"))
+    out = values.withColumn("name_", name).join(F.broadcast(hot), "name_", "left")
+    alone = F.col("hot_").isNotNull() | F.coalesce(F.col("name_") == "", F.lit(True))
+    held_by = [c for c, kind in values.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = out.withColumns({"key_": F.when(~alone, F.col("name_")), "at_": F.when(alone, F.xxhash64(*held_by)).otherwise(F.xxhash64("name_"))})
+    out = keyed.join(dealt(rest, tasks, "key_", "at_"), ["key_", "at_"], "left").withColumn("found_", F.coalesce("told_", "rest_"))
     canon = F.when(F.coalesce(F.col("name_") == "", F.lit(True)), F.col(column)).otherwise(F.coalesce("found_", "name_"))
-    return out.withColumns({"canon": canon, "changed": F.coalesce(F.col("found_") != F.col("name_"), F.lit(False))}).drop("name_", "found_")
+    return out.withColumns({"canon": canon, "changed": F.coalesce(F.col("found_") != F.col("name_"), F.lit(False))}).drop("name_", "found_", "told_", "rest_", "hot_", "key_", "at_")
 
 
 def mapped(rows: DataFrame, column: str, mapping: DataFrame, other: str) -> DataFrame:

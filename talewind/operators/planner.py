@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import dealt
 from .names import normalized
 from .patch import _decided, appended, plan_edges
 
@@ -46,15 +47,16 @@ def merged_events(old: Column, more: Column) -> Column:
     return F.concat(grown, F.transform(fresh, lambda g: F.struct(g.alias("grp"), F.array_distinct(items(more, g)).alias("items"))))
 
 
-def node_updates(stored: DataFrame, updates: DataFrame, aliases: DataFrame) -> DataFrame:
+def node_updates(stored: DataFrame, updates: DataFrame, aliases: DataFrame, tasks: int | None = None) -> DataFrame:
     """idx, id, outcome and the wanted values (null: no change) of ``updates`` (idx, id, confirmed, add_groups, add_tags,
     add_note, add_events, set_name, set_played_by) against ``stored`` (id, name, groups, tags, note, events, played_by).
 
     Each update is held against what is stored, as a plan is made before anything is written. Events count as a change only
-    where they do change.
+    where they do change. ``tasks``: to how many updates and what is stored are dealt where they meet.
     """
-    named = normalized(updates, "set_played_by", aliases).drop("changed")
-    rows = named.join(stored.select("id", F.struct("name", "groups", "tags", "note", "events", "played_by").alias("old")), "id", "left")
+    named = normalized(updates, "set_played_by", aliases, tasks).drop("changed")
+    held = dealt(stored.select("id", F.struct("name", "groups", "tags", "note", "events", "played_by").alias("old")), tasks, "id")
+    rows = named.join(held, "id", "left")
     differs = lambda new, old: F.when(~new.eqNullSafe(old), new)
     old_note = F.coalesce("old.note", F.lit(""))
     events = merged_events(F.col("old.events"), F.col("add_events"))

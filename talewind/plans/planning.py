@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, names, patch, planner, reports
-from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table
+from ..sources.tables import EDGES_SQL, NODES_SQL, edges, nodes, table, tasks
 from .changes import _NODE_PATCH, node_patch
 from .text import query_into
 
@@ -57,7 +57,7 @@ def patch_node_updates(spark: SparkSession, d: str) -> DataFrame:
         "CASE WHEN o_orderkey % 5 = 0 THEN 'ring' ELSE o_orderpriority END AS add_note", f"{events} AS add_events",
         "CASE WHEN o_orderstatus = 'F' THEN concat('N', o_custkey) END AS set_name", "CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS set_played_by",
     )
-    found = planner.node_updates(stored, updates, players(spark))
+    found = planner.node_updates(stored, updates, players(spark), tasks(table(spark, d, "orders")))
     return found.select("idx", "id", "outcome", F.array_join("new_tags", "|").alias("new_tags"), "new_note", "new_name", "new_played_by")
 
 
