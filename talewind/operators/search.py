@@ -85,21 +85,19 @@ def first_hits(lines: DataFrame, file: str, start: str, end: str, text: str, ter
 def pattern_hits(texts: DataFrame, text: str, key: str, patterns: Mapping[str, str], around: int = 30, shown: int = 3) -> DataFrame:
     """pattern, hits, texts, excerpts: how often each pattern is found, in how many texts, and the first ``shown`` of them by key
     with ``around`` code points on both sides of their first hit."""
-    one = lambda name, p: F.struct(
-        F.lit(name).alias("pattern"),
-        F.regexp_count(F.col(text), F.lit(p)).alias("hits"),
-        F.regexp_substr(F.col(text), F.lit(p)).alias("hit"),
-    )
+    one = lambda name, p: F.struct(F.lit(name).alias("pattern"), F.regexp_count(F.col(text), F.lit(p)).alias("hits"))
     each = texts.select(key, text, F.explode(F.array(*[one(n, p) for n, p in patterns.items()])).alias("m")).filter("m.hits > 0")
     # where the first hit stands: what the pattern finds first is also where that very text stands first or later, so its
     # place is looked for from the text before it
-    at = F.coalesce(*[F.when(F.col("m.pattern") == n, F.length(F.regexp_extract(F.col(text), f"(?s)^(.*?)(?:{p})", 1))) for n, p in patterns.items()])
+    of = lambda find: F.coalesce(*[F.when(F.col("m.pattern") == n, find(p)) for n, p in patterns.items()])
+    hit = of(lambda p: F.regexp_substr(F.col(text), F.lit(p)))
+    at = of(lambda p: F.length(F.regexp_extract(F.col(text), f"(?s)^(.*?)(?:{p})", 1)))
     first = F.row_number().over(W.partitionBy("pattern").orderBy(key))
     begin = F.greatest(at - around, F.lit(0))
-    cut = each.select("m.pattern", "m.hits", F.col(key), F.substring(F.col(text), begin + 1, at - begin + F.length("m.hit") + around).alias("excerpt"))
-    counts = cut.groupBy("pattern").agg(F.sum("hits").alias("hits"), F.count("*").alias("texts"))
+    cut = each.select("m.pattern", "m.hits", F.col(key), F.substring(F.col(text), begin + 1, at - begin + F.length(hit) + around).alias("excerpt"))
+    counts = each.groupBy("m.pattern").agg(F.sum("m.hits").alias("hits"), F.count("*").alias("texts"))
     some = cut.withColumn("place", first).filter(F.col("place") <= shown)
-    return counts.join(some.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "excerpt"))), lambda s: s["excerpt"]).alias("excerpts")), "pattern")
+    return counts.join(some.groupBy("pattern").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "excerpt"))), lambda s: s["excerpt"]).alias("excerpts")), "pattern", "left")  # each has some; left, so nobody ranks them who doesn't ask for excerpts
 
 
 #: Names of so many bytes in all are sent to every task; of a longer list each group's names are dealt in parts of as many, and

@@ -43,7 +43,7 @@ def facets_every(spark: SparkSession, d: str) -> DataFrame:
 SELECT name AS pattern, sum(hits)::BIGINT AS hits, count(*) AS texts, string_agg(excerpt, '|' ORDER BY k) FILTER (k <= 3) AS excerpts FROM x GROUP BY name""")
 def lint_excerpts(spark: SparkSession, d: str) -> DataFrame:
     patterns = {"number": "[0-9]+", "shout": "!!+", "address": "[a-z0-9.]+@[a-z0-9.]+"}
-    found = search.pattern_hits(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", patterns)
+    found = search.pattern_hits(dealt_texts(spark, d), "text", "doc_id", patterns)
     return found.select("pattern", "hits", "texts", F.array_join("excerpts", "|").alias("excerpts"))
 
 

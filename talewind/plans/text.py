@@ -11,7 +11,7 @@ from ..operators import segments as seg
 from ..operators.names import mapped, normalized
 from ..operators.ordered import summed_before
 from ..sources import texts
-from ..sources.tables import table
+from ..sources.tables import dealt_texts, table
 
 Q, S = {}, {}
 
@@ -75,7 +75,7 @@ def text_grep(spark: SparkSession, d: str) -> DataFrame:
 (VALUES ('number', '[0-9]+'), ('shout', '!!+'), ('address', '[a-z0-9.]+@[a-z0-9.]+'), ('table', ' \| ')) p(name, pattern) WHERE regexp_matches(text, pattern) GROUP BY name""")
 def text_lint(spark: SparkSession, d: str) -> DataFrame:
     patterns = {"number": "[0-9]+", "shout": "!!+", "address": "[a-z0-9.]+@[a-z0-9.]+", "table": r" \| "}
-    found = search.pattern_hits(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", patterns)
+    found = search.pattern_hits(dealt_texts(spark, d), "text", "doc_id", patterns)
     return found.select(F.col("pattern").alias("name"), "hits", F.col("texts").alias("docs"))
 
 
