@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.durable import durable
+from ..sources.tables import tasks as table_tasks
+from . import contacts
+
 ORDER = ("event_ord", "src", "dst", "type")
 
 
@@ -125,33 +129,17 @@ def ego_groups(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFram
 def common_contacts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b (a < b), common: neighbours that both ends of the given pairs (of different nodes, in any order) have, if any.
 
-    A common neighbour closes a triangle of relations and the pair. Relations and pairs are turned to the end with more of
-    them, so no node keeps more than the root of twice their number; what a node keeps meets what its neighbours keep as a
-    list, and each triangle is found once.
+    A common neighbour closes a triangle of relations and the pair; those are counted over numbers that stand for the nodes.
     """
-    both = lambda x, y, e, p: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(e).alias("e"), F.lit(p).alias("p"))
-    every = edges.filter("src <> dst").select(*both("src", "dst", True, False)).unionByName(pairs.filter("a <> b").select(*both("a", "b", False, True)))
-    links = every.groupBy("a", "b").agg(F.max("e").alias("e"), F.max("p").alias("p"))
-    many = links.select(F.explode(F.array("a", "b")).alias("id"), "e", "p").groupBy("id").agg(F.count_if(F.col("e") | F.col("p")).alias("n"))
-    sized = links.join(many.withColumnsRenamed({"id": "a", "n": "n_a"}), "a").join(many.withColumnsRenamed({"id": "b", "n": "n_b"}), "b")
-    from_a = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    end = lambda x, y: F.struct(F.when(from_a, F.col(f"n_{x}")).otherwise(F.col(f"n_{y}")).alias("n"), F.when(from_a, F.col(x)).otherwise(F.col(y)).alias("id"), "e", "p")
-    kept = sized.select(F.when(from_a, F.col("a")).otherwise(F.col("b")).alias("u"), end("b", "a").alias("x")).groupBy("u").agg(F.array_sort(F.collect_list("x")).alias("list_"))
-    ids = lambda c, e, p: F.transform(F.filter(c, lambda x: (x["e"] == e) & (x["p"] == p)), lambda x: x["id"])
-    lists = lambda c, name: (ids(c, True, True).alias(f"{name}_ep"), ids(c, True, False).alias(f"{name}_e"), ids(c, False, True).alias(f"{name}_p"))
-    from_u = kept.select("u", "list_", F.posexplode("list_").alias("at_", "x")).filter(F.col("at_") + 1 < F.size("list_")).select("u", F.col("x.id").alias("v"), F.col("x.e").alias("e"), F.col("x.p").alias("p"), F.expr("slice(list_, at_ + 2, size(list_))").alias("rest"))
-    from_u = from_u.select("u", "v", "e", "p", *lists("rest", "u"))
-    met = from_u.join(kept.select(F.col("u").alias("v"), *lists("list_", "v")), "v")
-    met = met.filter(F.arrays_overlap(F.concat("u_ep", "u_e", "u_p"), F.concat("v_ep", "v_e", "v_p")))
-    shared = lambda u, v: F.array_intersect(F.concat("u_ep", u), F.concat("v_ep", v))
-    one = lambda x, y, n: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), n.cast("long").alias("n"))
-    none = F.expr("CAST(array() AS array<struct<a: string, b: string, n: bigint>>)")
-    found = F.concat(
-        F.when(F.col("p"), F.array(one(F.col("u"), F.col("v"), F.size(shared("u_e", "v_e"))))).otherwise(none),
-        F.when(F.col("e"), F.transform(shared("u_p", "v_e"), lambda w: one(F.col("u"), w, F.lit(1)))).otherwise(none),
-        F.when(F.col("e"), F.transform(shared("u_e", "v_p"), lambda w: one(F.col("v"), w, F.lit(1)))).otherwise(none),
-    )
-    return met.select(F.explode(found).alias("f")).filter("f.n > 0").groupBy("f.a", "f.b").agg(F.sum("f.n").alias("common"))
+    every = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(contacts.RELATION).alias("f"))
+    every = every.unionByName(pairs.filter("a <> b").select("a", "b", F.lit(contacts.ASKED).alias("f")))
+    ids = durable(every.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("number", F.monotonically_increasing_id()))
+    of = lambda x, y: ids.withColumnsRenamed({"id": x, "number": y})
+    links = durable(every.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "f"))
+    sizes = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    found = contacts.common(links, contacts.listed(sizes, 2 * links.count()), table_tasks(links))
+    named = found.join(of("a", "x"), "x").join(of("b", "y"), "y")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
 
 
 def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:

@@ -70,6 +70,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b: the parts of the relations' ends by their numbers, once for each line that makes one; what relations hold beside isn't shuffled."""
+    line = W.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_linenumber"), F.asc_nulls_last("l_partkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(edge_tasks(spark, sf_dir), "l_orderkey")
+    return lines.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(line).alias("b")).filter("a <> b")
+
+
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, n: how many lines a part has, by its number; it has twice as many relations at most."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).filter("id IS NOT NULL")
+
+
 #: The same tables for an independent engine.
 NODES_SQL = """nodes AS (
   SELECT 'P' || p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS ptype, [p_brand, p_type] AS groups,
