@@ -3,87 +3,32 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import packed
+
 #: Flags of a link: a relation, a pair that is asked for.
 RELATION, ASKED = 1, 2
 
 #: Nodes that are put in order by how much they are linked: so many at most, or the root of the number of links if that is more.
 LISTED = 100_000
 
-#: Links, or links of a neighbour, that a task packs or combines at once.
-MOST = 1 << 21
-
-_SENT = pa.schema([("task", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 _FOUND = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("n", pa.int64())])
 _OWN, _REST = 0, 1
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, best small ones, as bytes: the first byte of each number, then the second..., compressed."""
-    head, planes = [len(columns)], []
-    for c in (c.astype(np.int64) for c in columns):
-        c = (c << 1) ^ (c >> 63)
-        width = -(-int(c.view(np.uint64).max(initial=0)).bit_length() // 8)
-        head += [len(c), width]
-        planes.append(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
-    raw = np.array(head, dtype=np.int64).tobytes() + b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), dtype=np.uint8)
-    at = 8 + 16 * int(raw[:8].view(np.int64)[0])
-    columns = []
-    for size, width in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
-        c = np.zeros((size, 8), dtype=np.uint8)
-        c[:, :width] = raw[at : at + width * size].reshape(width, size).T
-        c = c.reshape(-1).view(np.uint64)
-        columns.append((c >> np.uint64(1)).view(np.int64) ^ -(c & np.uint64(1)).view(np.int64))
-        at += width * size
-    return columns
-
-
-def _mixed(ids: np.ndarray, more: np.ndarray | int = 0) -> np.ndarray:
-    """31 bits of each number, or pair of numbers."""
-    mixed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (more.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) if isinstance(more, np.ndarray) else np.uint64(0))
-    return (mixed >> np.uint64(33)).view(np.int64)
-
-
-def _task(ids: np.ndarray, tasks: int) -> np.ndarray:
-    return _mixed(ids) % tasks
-
-
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination of values begins."""
-    new = np.ones(len(columns[0]), dtype=bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
-
-
 def _once(order: np.ndarray, u: np.ndarray, v: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, ...]:
     """Links in the given order, each once with all of its flags."""
     u, v, f = u[order], v[order], f[order]
-    at = _starts(u, v)
+    at = packed.starts(u, v)
     return u[at], v[at], np.bitwise_or.reduceat(f, at) if len(at) else f
 
 
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-    at = _starts(keys).tolist()
-    for i, j in zip(at, [*at[1:], len(keys)], strict=True):
-        yield int(keys[i]), slice(i, j)
-
-
-def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-
 class _Places:
     """The order of nodes: those that are listed by their place there, after all others, which are ordered by number."""
 
@@ -99,30 +44,19 @@ class _Places:
 
 
 def _turned(batches: Iterator[pa.RecordBatch], places: _Places, tasks: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b, f) turned to the end that comes first, packed for that end's task."""
-
-    def sent(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, f = (np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]).astype(np.int64) for i in range(3))
+    """Links (a, b, f; without f all are relations and asked for) turned to the end that comes first, packed for that end's task."""
+    for rows in packed.chunks(batches, most):
+        a, b, *f = map(packed.values, rows.columns)
+        f = f[0] if f else np.full(len(a), RELATION | ASKED)
         p, q = places(a), places(b)
         turn = (p > q) | ((p == q) & (a > b))
         a, b = np.where(turn, b, a), np.where(turn, a, b)
-        u, v, f = _once(np.lexsort((b, a, _task(a, tasks))), a, b, f)
-        rows = [(t, _OWN, _pack(np.diff(u[s], prepend=0), v[s] - u[s], f[s])) for t, s in _runs(_task(u, tasks))]
-        yield from _batches(rows, _SENT)
-
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= most:
-            yield from sent(held)
-            held, n = [], 0
-    if n:
-        yield from sent(held)
+        u, v, f = _once(np.lexsort((b, a, packed.task(a, tasks))), a, b, f)
+        yield packed.batch([(t, _OWN, packed.pack(np.diff(u[s], prepend=0), v[s] - u[s], f[s])) for t, s in packed.runs(packed.task(u, tasks))])
 
 
 def _links(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    columns = [_unpack(b) for b in blobs]
+    columns = [packed.unpack(b) for b in blobs]
     u = np.concatenate([np.cumsum(c[0]) for c in columns])
     return u, u + np.concatenate([c[1] for c in columns]), np.concatenate([c[2] for c in columns])
 
@@ -135,10 +69,10 @@ def _rests(batches: Iterator[pa.RecordBatch], places: _Places, tasks: int, most:
     u, v, f = _links(blobs)
     del blobs
     u, v, f = _once(np.lexsort((v, places(v), u)), u, v, f)
-    at = _task(u, tasks)
+    at = packed.task(u, tasks)
     order = np.argsort(at, kind="stable")
-    yield from _batches([(t, _OWN, _pack(np.diff(u[order[s]], prepend=0), v[order[s]] - u[order[s]], f[order[s]])) for t, s in _runs(at[order])], _SENT)
-    first = _starts(u)
+    yield packed.batch([(t, _OWN, packed.pack(np.diff(u[order[s]], prepend=0), v[order[s]] - u[order[s]], f[order[s]])) for t, s in packed.runs(at[order])])
+    first = packed.starts(u)
     rest = np.repeat(np.append(first[1:], len(u)), np.diff(np.append(first, len(u)))) - np.arange(len(u)) - 1
     asking = np.flatnonzero(rest)
     step = np.diff(v, prepend=0)
@@ -147,16 +81,16 @@ def _rests(batches: Iterator[pa.RecordBatch], places: _Places, tasks: int, most:
     while i < len(asking):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
         some = asking[i:j]
-        to = _task(v[some], tasks)
+        to = packed.task(v[some], tasks)
         order = np.lexsort((v[some], to))
         some, to = some[order], to[order]
         upto = np.cumsum(rest[some])
         after = np.arange(upto[-1]) + np.repeat(some + 1 - (upto - rest[some]), rest[some])
         rows = []
-        for t, s in _runs(to):
+        for t, s in packed.runs(to):
             x, w = some[s], after[upto[s.start] - rest[some[s.start]] : upto[s.stop - 1]]
-            rows.append((t, _REST, _pack(np.diff(v[x], prepend=0), u[x] - v[x], f[x], rest[x], step[w], f[w])))
-        yield from _batches(rows, _SENT)
+            rows.append((t, _REST, packed.pack(np.diff(v[x], prepend=0), u[x] - v[x], f[x], rest[x], step[w], f[w])))
+        yield packed.batch(rows)
         i = j
 
 
@@ -169,7 +103,7 @@ def _closed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         x, y, k = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((y, x))
         x, y, k = x[order], y[order], k[order]
-        at = _starts(x, y)
+        at = packed.starts(x, y)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[at], y[at], np.add.reduceat(k, at))], schema=_FOUND)
 
     for batch in batches:
@@ -186,17 +120,17 @@ def _closed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 order = np.argsort(keys)
                 shift = max(0, 31 - (16 * len(u)).bit_length())
                 maybe = np.zeros((1 << 31) >> shift, dtype=bool)  # most links that aren't there are told by a look at this
-                maybe[_mixed(u, v) >> shift] = True
+                maybe[packed.mixed(u, v) >> shift] = True
                 index = firsts, seconds, keys[order], f[order], maybe, shift
             firsts, seconds, keys, flags, maybe, shift = index
-            v, u, f, rest, step, g = _unpack(data)
+            v, u, f, rest, step, g = packed.unpack(data)
             v = np.cumsum(v)
             u = u + v
             begin = np.cumsum(rest) - rest
             w = np.cumsum(step)
             w += np.repeat(v - (w[begin] - step[begin]), rest)
             of = np.repeat(np.arange(len(v)), rest)
-            hit = np.flatnonzero(maybe[_mixed(v[of], w) >> shift])
+            hit = np.flatnonzero(maybe[packed.mixed(v[of], w) >> shift])
             of, w, g = of[hit], w[hit], g[hit]
             u, v, f = u[of], v[of], f[of]
             a = np.minimum(np.searchsorted(firsts, v), len(firsts) - 1)
@@ -217,24 +151,40 @@ def _closed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield summed()
 
 
-def listed(sizes: DataFrame, total: int) -> np.ndarray:
-    """Ids of those of ``sizes`` (id, n) that hold the most of ``total``, the least first: as many as its root or ``LISTED`` at most."""
-    most = sizes.filter(F.col("n") > total / max(math.isqrt(total), LISTED)).select(F.col("id").cast("long"), F.col("n").cast("long")).toArrow()
-    ids, n = (most.column(i).to_numpy() for i in range(2))
+def _often(batches: Iterator[pa.RecordBatch], least: float, most: int) -> Iterator[pa.RecordBatch]:
+    for rows in packed.chunks(batches, most):
+        ids, n = np.unique(packed.values(rows.column(0)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[n >= least]), pa.array(n[n >= least])], names=["id", "n"])
+
+
+def listed(ids: DataFrame, total: int, most: int = packed.MOST) -> np.ndarray:
+    """Those numbers of ``ids`` (one column, ``total`` rows) that are there most, the rarest first: as many as the root of
+    ``total`` or ``LISTED`` at most.
+
+    Only what is frequent in some part of a task's rows is counted, so what is listed may be there more often than was
+    counted, and what isn't listed, up to twice as often as asked for.
+    """
+    often = total / max(math.isqrt(total), LISTED)
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).filter("id IS NOT NULL")
+    least = often / (ids.rdd.getNumPartitions() + total // most)
+    counts = ids.mapInArrow(lambda rows: _often(rows, least, most), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") > often).toArrow()
+    ids, n = (found.column(i).to_numpy() for i in range(2))
     return ids[np.lexsort((ids, n))]
 
 
-def common(links: DataFrame, order: np.ndarray, tasks: int, most: int = MOST) -> DataFrame:
-    """x, y, common: of the links (a, b, f: numbers and flags, in any direction and any number of times) that are asked for, how
-    many nodes both ends have a relation with, if any. ``order`` lists the nodes of many links, the least first.
+def common(rows: DataFrame, order: np.ndarray, tasks: int, links: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter, most: int = packed.MOST) -> DataFrame:
+    """x, y, common: of the links that are asked for, how many nodes both ends have a relation with, if any.
+
+    ``links`` makes links (a, b, f: two different numbers and flags, in any direction and any number of times) of a task's
+    ``rows``, where they aren't links already. ``order`` lists the nodes of many links, the rarest first.
 
     A node keeps its links to those that come after it: the listed ones come last, so if they are those with more links than
     the root of their number, none keeps more than about that. What it keeps after a neighbour is sent to the neighbour, which
     knows its own; each triangle is found once. Links are sent as differences of numbers, a few bytes each.
     """
     places = _Places(order)
-    sent, found = "task int, kind int, data binary", "x long, y long, n long"
-    turned = links.filter("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("f").cast("long")).mapInArrow(lambda rows: _turned(rows, places, tasks, most), sent)
-    rests = turned.repartitionById(tasks, F.col("task")).mapInArrow(lambda rows: _rests(rows, places, tasks, most), sent)
-    closed = rests.repartitionById(tasks, F.col("task")).sortWithinPartitions("kind").mapInArrow(lambda rows: _closed(rows, most), found)
+    turned = rows.mapInArrow(lambda b: _turned(links(b), places, tasks, most), packed.SENT)
+    rests = turned.repartitionById(tasks, F.col("task")).mapInArrow(lambda b: _rests(b, places, tasks, most), packed.SENT)
+    closed = rests.repartitionById(tasks, F.col("task")).sortWithinPartitions("kind").mapInArrow(lambda b: _closed(b, most), "x long, y long, n long")
     return closed.repartition(tasks, "x", "y").groupBy("x", "y").agg(F.sum("n").alias("common"))

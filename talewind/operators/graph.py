@@ -135,9 +135,9 @@ def common_contacts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     every = every.unionByName(pairs.filter("a <> b").select("a", "b", F.lit(contacts.ASKED).alias("f")))
     ids = durable(every.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("number", F.monotonically_increasing_id()))
     of = lambda x, y: ids.withColumnsRenamed({"id": x, "number": y})
-    links = durable(every.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "f"))
-    sizes = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    found = contacts.common(links, contacts.listed(sizes, 2 * links.count()), table_tasks(links))
+    links = durable(every.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("f").cast("long").alias("f")))
+    order = contacts.listed(links.select(F.explode(F.array("a", "b"))), 2 * links.count())
+    found = contacts.common(links, order, table_tasks(links))
     named = found.join(of("a", "x"), "x").join(of("b", "y"), "y")
     return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common")
 

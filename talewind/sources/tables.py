@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import packed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,16 +76,32 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b: the parts of the relations' ends by their numbers, once for each line that makes one; what relations hold beside isn't shuffled."""
-    line = W.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_linenumber"), F.asc_nulls_last("l_partkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(edge_tasks(spark, sf_dir), "l_orderkey")
-    return lines.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(line).alias("b")).filter("a <> b")
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, l_partkey of the lines, as numbers: those of an order in one task, in their order.
 
-
-def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, n: how many lines a part has, by its number; it has twice as many relations at most."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n")).filter("id IS NOT NULL")
+    They are dealt packed, and sorted by Spark: an order may have any number of lines.
+    """
+    names = ["l_orderkey", "l_linenumber", "l_partkey"]
+    n = edge_tasks(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("long").alias(c) for c in names])
+    dealt = lines.mapInArrow(lambda rows: packed.sent(rows, n), packed.SENT).repartitionById(n, F.col("task"))
+    lines = dealt.mapInArrow(lambda rows: packed.received(rows, names), ", ".join(f"{c} long" for c in names))
+    return lines.sortWithinPartitions(*[F.asc_nulls_last(c) for c in names])
+
+
+def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: of :func:`order_lines`, in a task, the parts of a line and of the next of its order, where both are there and differ.
+    They are the relations without their loops, once for each line that makes one."""
+    before = None
+    for batch in batches:
+        order, _, part = batch.columns
+        rows = [packed.values(order), order.is_valid().to_numpy(zero_copy_only=False), packed.values(part), part.is_valid().to_numpy(zero_copy_only=False)]
+        if before is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(before, rows, strict=True)]
+        before = [x[-1:] for x in rows]
+        o, o_there, p, p_there = rows
+        follow = (o[1:] == o[:-1]) & (o_there[1:] == o_there[:-1]) & p_there[1:] & p_there[:-1] & (p[1:] != p[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(p[:-1][follow]), pa.array(p[1:][follow])], names=["a", "b"])
 
 
 #: The same tables for an independent engine.
